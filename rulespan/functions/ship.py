@@ -8,11 +8,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = 500
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's own modules through Spark's file server, once for each application."""
+    """Sends the package's own modules through Spark's file server, once for each application.
+
+    Rows may be whole documents, so Arrow batches of this session are of BATCH rows at most: a batch and its copies
+    in Python then take a few MB.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
