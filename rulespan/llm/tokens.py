@@ -8,8 +8,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Entries of a cache; further pieces are encoded each time. Bounds memory, not results.
-CACHE = 600_000
+#: Entries of the caches of pieces and of words; what finds no room is encoded each time. Bounds memory, not results.
+PIECES, WORDS = 150_000, 250_000
 #: ASCII that is neither letter, digit, space nor control.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -59,8 +59,8 @@ class Encoder:
             self.odd = re.compile("[^\t-\r -~\xa0-ɏ]|<\\|")
             self.letter = _byte_letters()
             self.model = self.tokenizer.model
-            self.pieces = _Cache(self._piece)
-            self.cached_words = _Cache(self._word)
+            self.pieces = _Cache(self._piece, PIECES)
+            self.cached_words = _Cache(self._word, WORDS)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -89,12 +89,12 @@ class Encoder:
 
 
 class _Cache(dict):
-    def __init__(self, make) -> None:
-        self.make = make
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most = make, most
 
     def __missing__(self, k: str) -> bytes:
         v = self.make(k)
-        if len(self) < CACHE and len(k) < 100:
+        if len(self) < self.most and len(k) < 100:
             self[k] = v
         return v
 
