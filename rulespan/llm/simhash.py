@@ -85,8 +85,10 @@ def ball_links(fps: DataFrame, fp: str = "fp", bits: int = 64, radius: int = 2)
     """a, b: links between distinct fingerprints within an even radius, verified; their components are those of all such pairs."""
     if radius % 2:
         raise ValueError("the radius must be even: halves of an odd one don't bound a value's pairs by it")
-    near = F.explode(F.array(*(F.lit(m) for m in masks(bits, radius // 2))))
-    emitted = fps.select(F.col(fp).alias("fp")).distinct().select("fp", near.alias("mask")).select("fp", F.expr("fp ^ mask").alias("value"))
+    flips = F.array(*(F.lit(m) for m in masks(bits, radius // 2)))
+    emitted = fps.select(F.col(fp).alias("fp")).distinct().select("fp", F.posexplode(flips).alias("i", "mask")).select(F.expr("fp ^ mask").alias("value"), "i")
+    # the shuffle carries the mask's number, a byte once compressed; the fingerprint follows from it
+    emitted = emitted.repartition("value").select("value", F.col("value").bitwiseXOR(flips[F.col("i")]).alias("fp"))
     first = emitted.withColumn("a", F.min("fp").over(Window.partitionBy("value")))
     met = first.filter("a != fp").select("a", F.col("fp").alias("b"))
     return met.filter(F.bit_count(F.expr("a ^ b")) <= radius).distinct()
