@@ -88,8 +88,8 @@ def top_list(rows: DataFrame, group: Sequence[str], value: Column, k: int) -> Da
 
 def pinned(version: Column) -> Column:
     """An exact pin: not empty, `*`, `latest`, a range prefix or an x-range."""
-    v = F.trim(version)
-    return ~(v.isin("", "*", "latest") | v.rlike(r"^[\^~><]") | v.rlike(r"^\d+\.[xX]"))
+    v = F.regexp_replace(F.trim(version), "^[\"']+|[\"']+$", "")
+    return ~(v.isin("", "*", "latest") | v.rlike(r"^[\^~><]") | v.rlike(r"\d+\.[xX](\D|$)"))
 
 
 def age_days(at: Column, now: Column) -> Column:

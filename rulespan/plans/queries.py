@@ -198,7 +198,7 @@ def q_json_props(t):
 _VERSIONS = ["^1.0.0", "~2.1", "3.x", "3.X", "latest", ">=1", "*", "", "1.2.3", "=1.0", "1", "workspace:*", " 4.5.6 "]
 
 
-@query("SELECT v, NOT (trim(v) IN ('', '*', 'latest') OR regexp_matches(trim(v), '^[\\^~><]') OR regexp_matches(trim(v), '^\\d+\\.[xX]')) AS pinned FROM (VALUES " + ", ".join(f"('{v}')" for v in _VERSIONS) + ") x(v)")
+@query("SELECT v, NOT (trim(v) IN ('', '*', 'latest') OR regexp_matches(trim(v), '^[\\^~><]') OR regexp_matches(trim(v), '\\d+\\.[xX](\\D|$)')) AS pinned FROM (VALUES " + ", ".join(f"('{v}')" for v in _VERSIONS) + ") x(v)")
 def q_pin_classify(t):
     return t.values([(v,) for v in _VERSIONS], "v string").select("v", pr.pinned(c("v")).alias("pinned"))
 
@@ -464,3 +464,20 @@ def q_inventory_topk(t):
     top = paths.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("path")).cast("long")).filter("n <= 60").select("source", "n", c("path").alias("line"))
     more = paths.groupBy("source").agg(F.count("*").alias("total")).filter("total > 60")
     return top.union(more.select("source", lit(61).cast("long"), F.concat(lit("... ("), (c("total") - 60).cast("string"), lit(" more)"))))
+
+
+@query(None)
+def q_rules_engine(t):
+    """The whole engine, each source a repository and each document a module of it."""
+    from ..functions.ship import ship
+    from .engine import REPO_TYPES, evaluate
+
+    ship(t.spark)
+    files = t.documents.select(c("source").alias("repo"), F.concat(lit("src/pkg/d"), c("doc_id").cast("string"), lit(".py")).alias("path"), c("text").alias("content"))
+    kinds = F.array(*map(lit, REPO_TYPES))
+    none = "array<struct<rule:string,reason:string>>"
+    repos = t.documents.select("source").distinct().select(
+        c("source").alias("repo"), c("source").alias("name"), lit("python").alias("language"), kinds[F.pmod(F.crc32("source"), lit(8)).cast("int")].alias("repo_type"), lit(None).cast("string").alias("root"),
+        F.array().cast("array<string>").alias("traits"), F.array().cast(none).alias("exemptions"), F.array().cast(none).alias("deferrals"), lit(None).cast("int").alias("standards_age_days"),
+    )
+    return evaluate(files, repos)[0]
