@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.functions.ship import ship
-from rulespan.llm.common import raw, read_table, shared_dir
+from rulespan.llm.common import calm, raw, read_table, shared_dir
 from rulespan.llm.exact_dedup import exact_groups
 from rulespan.llm.language_id import UNKNOWN, Model, fit, infer
 from rulespan.llm.mixing import mix
@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             found = [infer(m, t.decode("utf-8", "replace")) if t is not None else (UNKNOWN, 0.0, {}) for t in raw(b.column("text"))]
             yield b.filter(pa.array([x != UNKNOWN and share >= LEAST_SHARE for x, share, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, _ddl(docs))
+    return docs.mapInArrow(calm(keep), _ddl(docs))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -67,7 +67,6 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each round that takes words of a document, with the words taken; a whole document keeps its text as it is."""
     ship(spark)
-    mixed = mix(docs, carry=docs.columns)
     names, at = docs.columns, docs.columns.index("text")
     lengths = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -77,21 +76,21 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         places = [m.span() for m in _WORD.finditer(text)]
         return "\n".join(text[places[s["start"]][0] : places[s["end"] - 1][1]].decode("utf-8", "replace") for s in spans)
 
-    def emit(parts):
-        for b in parts:
-            index, texts = [], []
-            for i, (t, size, spans) in enumerate(zip(raw(b.column(f"c{at}")), b.column("size").to_pylist(), b.column("spans").to_pylist())):
-                for r in spans:
-                    index.append(i)
-                    texts.append(cut(t, r, size))
-            out = b.take(pa.array(index, pa.int64()))
-            cols = {n: out.column(f"c{i}") for i, n in enumerate(names)}
-            cols["text"] = pa.array(texts, pa.string())
-            if lengths is not None:
-                cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out.column(f"c{lengths}").type)
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return mixed.mapInArrow(emit, _ddl(docs))
+    def emit(t: pa.Table) -> pa.Table:
+        texts_in = t.column(f"c{at}").combine_chunks().cast(pa.binary()).to_pylist()
+        index, texts = [], []
+        for i, (text, size, spans) in enumerate(zip(texts_in, t.column("size").to_pylist(), t.column("spans").to_pylist())):
+            for r in spans:
+                index.append(i)
+                texts.append(cut(text, r, size))
+        out = t.take(pa.array(index, pa.int64()))
+        cols = {n: out.column(f"c{i}") for i, n in enumerate(names)}
+        cols["text"] = pa.array(texts, pa.string())
+        if lengths is not None:
+            cols["n_chars"] = pa.array([len(x) for x in texts], pa.int64()).cast(out.column(f"c{lengths}").type)
+        return pa.table(cols)
+
+    return mix(docs, carry=names, finish=(emit, _ddl(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

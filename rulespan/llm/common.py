@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -61,6 +64,29 @@ def key_text(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(*cols, *(df[c].alias(c) for c in more))
 
 
+def relax(keep_tokens: bool = False) -> None:
+    """Gives memory that a task has freed back to the system: idle Python workers then hold little."""
+    if not keep_tokens and (tokens := sys.modules.get(f"{__package__}.tokens")):
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def calm(f: Callable, keep_tokens: bool = False) -> Callable:
+    """f over batches, and relax() when its task ends."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(parts)
+        finally:
+            relax(keep_tokens)
+
+    return run
+
+
 def raw(column: pa.Array) -> list:
     """The strings of a column as UTF-8 bytes; nulls are None."""
     return column.cast(pa.binary()).to_pylist() if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary()).to_pylist()

@@ -19,7 +19,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import batches, key_text, materialise, open_fs, raw, shared_dir
+from .common import batches, calm, key_text, materialise, open_fs, raw, shared_dir
 
 FANOUT = 16
 _LOCAL = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("best", pa.int64()), ("best_row", pa.int64()), ("text", pa.binary())])
@@ -138,7 +138,7 @@ def grace(records: Iterator[Record], folder: str, budget: int, level: int = 0, s
             f.drop()
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 48 << 20, row: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 32 << 20, row: str | None = None) -> DataFrame:
     """Per row of docs: key, row, keep_id, group_size, kept, text_sha256; one row of each content is kept.
 
     Texts are equal when identical; null counts as empty. The row with the largest key stays, null keys being
@@ -193,7 +193,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budge
 
         yield from batches(rows(), _LOCAL, 1000)
 
-    local = materialise(source.mapInArrow(collapse, LOCAL), "grace-local")
+    local = materialise(source.mapInArrow(calm(collapse), LOCAL), "grace-local")
     folder = shared_dir(spark, "grace-spill")
 
     def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +206,6 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budge
         yield from batches(grace(records(), folder, budget), _CLASS)
 
     heads = local.filter("text is not null").select("hash", "rep", "n", "best", "best_row", "text")
-    classed = heads.repartition("hash").mapInArrow(classes, CLASS)
+    classed = heads.repartition("hash").mapInArrow(calm(classes), CLASS)
     kept = F.col("row") == F.col("keep_row")
     return local.select("key", "row", "rep").join(classed, "rep").select("key", "row", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

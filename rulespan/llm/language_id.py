@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, key_text, raw
+from .common import batches, calm, key_text, raw
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -114,7 +114,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(n[i, j])], names=["i", "j", "n"])
 
     counts = np.full((BUCKETS, len(languages)), smooth)
-    got = sample.select("text", "lang").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.select("text", "lang").mapInArrow(calm(count), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
     counts[got["j"].to_numpy(dtype=np.int64), got["i"].to_numpy(dtype=np.int64)] += got["n"].to_numpy(dtype=np.float64)
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
@@ -141,4 +141,4 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
         yield from batches(rows(), _OUT)
 
-    return key_text(docs, key, text).mapInArrow(predict, "key long, lang_pred string, score double, mixture map<string,double>")
+    return key_text(docs, key, text).mapInArrow(calm(predict), "key long, lang_pred string, score double, mixture map<string,double>")

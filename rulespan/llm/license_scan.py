@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, key_text, raw
+from .common import batches, calm, key_text, raw
 
 #: Phrases that stand word for word, and their labels. Fixed values.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -148,4 +148,4 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notic
 
         yield from batches(rows(), _OUT)
 
-    return key_text(docs, key, text).mapInArrow(scan, SCHEMA)
+    return key_text(docs, key, text).mapInArrow(calm(scan), SCHEMA)

@@ -9,7 +9,7 @@ all blocks come first and the rest of the quota is a seeded choice of blocks.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw
+from .common import calm, materialise, raw
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -118,15 +118,16 @@ def with_sizes(docs: DataFrame, key: str, text: str, source: str, carry: Sequenc
 
     fields = [f for f in taken.schema if f.name != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", size long"
-    sized = taken.mapInArrow(count, schema)
+    sized = taken.mapInArrow(calm(count), schema)
     return sized.withColumn("hash", F.xxhash64("key", "source", "size"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, finish: tuple[Callable[[pa.Table], pa.Table], str] | None = None) -> DataFrame:
     """Per row of docs: key, source, size, source_size, target, taken, spans (word ranges by round), and carry's columns.
 
     Null text has no words and none is taken; null sources are one source, last in order; rows alike in key, source
     and size are dealt alike. An empty table gives no rows. Only totals by source (one row a source) reach the driver.
+    finish: what makes other rows of a shard's result, and their schema; it runs in the same Python worker.
     """
     spark = docs.sparkSession
     slim = materialise(with_sizes(docs, key, text, source), "mix-sizes")
@@ -176,8 +177,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             "taken": pa.array([sum(x["end"] - x["start"] for r in rs for x in r) for rs in spans], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))),
         }
-        return pa.table({n: made[n] if n in made else t[n] for n in names})
+        out = pa.table({n: made[n] if n in made else t[n] for n in names})
+        return finish[0](out) if finish else out
 
     names = ["key", "source", "size", "source_size", "target", "taken", "spans", *(f.name for f in kept)]
     schema = "key long, source string, size long, source_size long, target double, taken long, spans array<array<struct<start:long,end:long>>>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
-    return rows.groupBy("shard").cogroup(quotas.groupBy("shard")).applyInArrow(select, schema)
+    return rows.groupBy("shard").cogroup(quotas.groupBy("shard")).applyInArrow(select, finish[1] if finish else schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, key_text, materialise, raw, shared_dir, write_file
+from .common import batches, calm, key_text, materialise, raw, shared_dir, write_file
 from .token_files import TokenFile, encode_file
 from .tokens import default_path, encoder
 
@@ -117,7 +117,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
                 names=["bin", "path", "source", "ids", "place", "which"],
             )
 
-    files = materialise(dealt.mapInArrow(write, "bin long, path string, source string, ids long, place long, which binary"), "packing-files")
+    files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "bin long, path string, source string, ids long, place long, which binary"), "packing-files")
 
     # one row for each bin and source; none for a document
     whole = files.agg(F.sum("ids")).first()[0] or 0
@@ -157,4 +157,4 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
         yield from batches(rows(), _PIECES, 5000)
 
     n = max(1, spark.sparkContext.defaultParallelism) * 4
-    return plans.select("path", "first", "which", "sources").repartition(n).mapInArrow(fill, "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return plans.select("path", "first", "which", "sources").repartition(n).mapInArrow(calm(fill), "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_text, raw
+from .common import calm, key_text, raw
 
 SYMBOLS = b"#*$%&|<>"
 #: Counts of each text, and what is derived from them.
@@ -74,7 +74,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             made = zip(*rows) if rows else ((),) * len(COUNTS)
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, pa.int64()) for c in made)], names=["key", *COUNTS])
 
-    counts = key_text(docs, key, text).mapInArrow(count, "key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    counts = key_text(docs, key, text).mapInArrow(calm(count), "key long, " + ", ".join(f"{c} long" for c in COUNTS))
     return counts.select("key", *COUNTS, *(F.expr(e).cast("double").alias(f"f_{c}") for c, e in FEATURES.items()))
 
 

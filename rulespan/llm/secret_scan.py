@@ -11,7 +11,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, key_text, raw
+from .common import batches, calm, key_text, raw
 
 #: Kinds in their order: three of the base, then those with a checksum in the secret.
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
@@ -118,4 +118,4 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
         yield from batches(rows(), _OUT)
 
-    return key_text(docs, key, text).mapInArrow(scan, SCHEMA)
+    return key_text(docs, key, text).mapInArrow(calm(scan), SCHEMA)

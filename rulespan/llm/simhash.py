@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_text, materialise, raw
+from .common import calm, key_text, materialise, raw
 from .components import connected_components
 
 SEED = 42
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
             fps = np.array([simhash(shingle_hashes(words_of(t), k)) for t in raw(b.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(fps)], names=["key", "fp"])
 
-    return key_text(docs, key, text).mapInArrow(make, "key long, fp long")
+    return key_text(docs, key, text).mapInArrow(calm(make), "key long, fp long")
 
 
 def masks(bits: int, radius: int) -> list[int]:
@@ -137,7 +137,7 @@ def _sketches(docs: DataFrame, tables: int, bits: int) -> DataFrame:
                     values.append([whole >> bits * i & (1 << bits) - 1 for i in range(tables)])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["row", "values"])
 
-    return docs.select("row", "text").mapInArrow(make, "row long, values array<long>")
+    return docs.select("row", "text").mapInArrow(calm(make), "row long, values array<long>")
 
 
 def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS) -> DataFrame:
@@ -170,5 +170,5 @@ def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity:
 
     left = src.select(F.col("row").alias("a"), F.col("text").alias("ta"))
     right = src.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(calm(verify), "a long, b long")
     return connected_components(links).select(F.col("node").alias("row"), "root")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, key_text, materialise, open_fs, raw, shared_dir, write_file
+from .common import batches, calm, key_text, materialise, open_fs, raw, shared_dir, write_file
 from .tokens import default_path, encoder
 
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_pydict({"file": [part], "path": [at], "docs": [totals[0]], "ids": [totals[1]]})
 
     dealt = key_text(docs, key, text).repartitionByRange("key").sortWithinPartitions("key", "text")
-    files = materialise(dealt.mapInArrow(write, "file long, path string, docs long, ids long"), "token-files")
+    files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "file long, path string, docs long, ids long"), "token-files")
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
@@ -166,4 +166,4 @@ def read_token_files(manifest: DataFrame, ids: bool = True) -> DataFrame:
 
     n = max(1, manifest.sparkSession.sparkContext.defaultParallelism) * 4
     dealt = manifest.select("path", "start").repartition(n)
-    return dealt.mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return dealt.mapInArrow(calm(read), "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, open_fs, raw, shared_dir, write_file
+from .common import batches, calm, materialise, open_fs, raw, shared_dir, write_file
 
 DICT_MAGIC = 0x184D2A5D
 #: Payloads of fewer bytes are always written in full.
@@ -172,7 +172,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", html: str = "html", u
         if n:
             yield pa.RecordBatch.from_pydict({"path": [at], "records": [n]})
 
-    return materialise(decide(pages, key, html, url, least).mapInArrow(write, "path string, records long"), "warc-files")
+    return materialise(decide(pages, key, html, url, least).mapInArrow(calm(write), "path string, records long"), "warc-files")
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -192,4 +192,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
         yield from batches(rows(), _OUT)
 
     n = max(1, archives.sparkSession.sparkContext.defaultParallelism) * 4
-    return archives.select("path").repartition(n).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path").repartition(n).mapInArrow(calm(read), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
