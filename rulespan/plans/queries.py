@@ -411,10 +411,10 @@ def q_payload_flatten(t):
     return ev.flatten(t.values(_JSON, "i int, payload string")).select("i", "flow_run_id", "flow_name", "state_name", "state_type", "start_time")
 
 
-@query("WITH m AS (SELECT o_orderkey AS run, count(l_orderkey) AS written, CAST(o_totalprice AS BIGINT) % 4 AS folders, o_orderstatus = 'F' AS snapshot FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), r AS (SELECT run, 'tabs' AS rule_id, 'WARN' AS severity FROM m WHERE written = 0 AND folders > 0 UNION ALL SELECT run, 'snapshot', 'ERROR' FROM m WHERE NOT snapshot) SELECT * FROM r UNION ALL SELECT run, 'ok', 'INFO' FROM m WHERE NOT (written = 0 AND folders > 0) AND snapshot")
+@query("WITH m AS (SELECT o_orderkey AS run, count(l_orderkey) AS written, CAST(floor(o_totalprice) AS BIGINT) % 4 AS folders, o_orderstatus = 'F' AS snapshot FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), r AS (SELECT run, 'tabs' AS rule_id, 'WARN' AS severity FROM m WHERE written = 0 AND folders > 0 UNION ALL SELECT run, 'snapshot', 'ERROR' FROM m WHERE NOT snapshot) SELECT * FROM r UNION ALL SELECT run, 'ok', 'INFO' FROM m WHERE NOT (written = 0 AND folders > 0) AND snapshot")
 def q_run_metrics_rules(t):
     n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    m = t.orders.join(n, c("l_orderkey") == c("o_orderkey"), "left").select(c("o_orderkey").alias("run"), F.coalesce("n", lit(0)).alias("written"), (F.round("o_totalprice").cast("long") % 4).alias("folders"), (c("o_orderstatus") == "F").alias("snapshot"))
+    m = t.orders.join(n, c("l_orderkey") == c("o_orderkey"), "left").select(c("o_orderkey").alias("run"), F.coalesce("n", lit(0)).alias("written"), (F.floor("o_totalprice").cast("long") % 4).alias("folders"), (c("o_orderstatus") == "F").alias("snapshot"))
     tabs, snap = (c("written") == 0) & (c("folders") > 0), ~c("snapshot")
     hits = F.array_compact(F.array(*(F.when(x, F.struct(lit(r).alias("rule_id"), lit(s).alias("severity"))) for x, r, s in ((tabs, "tabs", "WARN"), (snap, "snapshot", "ERROR"), (~tabs & ~snap, "ok", "INFO")))))
     return m.select("run", F.explode(hits).alias("x")).select("run", "x.*")
