@@ -105,13 +105,18 @@ def notice_spans(line: str, notices: tuple = NOTICES) -> list[tuple[str, int, in
     found = []
     for i, held in windows.items():
         label, notice, _, needed = notices[i]
+        word = counted = 0
         for a, b in held:
             a, b = max(0, a), min(len(line), b)
             for m in fuzzy[i].finditer(line, a, b):
                 if needed and not set(needed) <= set(m[0].split()):
                     continue
                 errors = sum(m.fuzzy_counts)
-                start = line.count(" ", 0, m.start()) - 1 + (line[m.start()] == " ")
+                # spaces before the match; windows of a notice may step back a little
+                at = m.start()
+                word += line.count(" ", counted, at) if at >= counted else -line.count(" ", at, counted)
+                counted = at
+                start = word - 1 + (line[at] == " ")
                 words = len(m[0].split())
                 if words:
                     found.append((label, start, start + words, errors, 1.0 - errors / len(notice)))
@@ -125,10 +130,11 @@ def scan_text(text: bytes, notices: tuple = NOTICES) -> tuple[int, list[tuple[st
     base = []
     for phrase, label in PHRASES:
         wanted = f" {phrase} ".encode()
-        at = joined.find(wanted)
+        at, word, counted = joined.find(wanted), 0, 0
         while at >= 0:
-            base.append((label, joined.count(b" ", 0, at)))
-            at = joined.find(wanted, at + 1)
+            word += joined.count(b" ", counted, at)
+            base.append((label, word))
+            counted, at = at, joined.find(wanted, at + 1)
     return len(words), base, notice_spans(joined.decode("utf-8", "replace"), notices)
 
 

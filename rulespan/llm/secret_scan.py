@@ -100,8 +100,12 @@ def find_secrets(text: bytes) -> list[tuple[str, int, int]]:
     found.sort()
     if text.isascii():
         return [(KINDS[k], a, b) for a, k, b in found]
-    points = lambda x: len(text[:x].decode("utf-8", "replace"))
-    return [(KINDS[k], points(a), points(b)) for a, k, b in found]
+    # every offset once, in order: matches are ASCII, so a cut at one never splits a character
+    point, past_byte, n = {}, 0, 0
+    for x in sorted({x for a, _, b in found for x in (a, b)}):
+        n += len(text[past_byte:x].decode("utf-8", "replace"))
+        point[x], past_byte = n, x
+    return [(KINDS[k], point[a], point[b]) for a, k, b in found]
 
 
 def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
