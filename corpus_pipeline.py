@@ -44,7 +44,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows of a written table have the same numbers whenever it is read with the same splits."""
+    """Rows of a written table have the same numbers whenever it is read with the same splits.
+
+    Splits would follow the executors alive when a plan is made; a count of its own for the session keeps them.
+    """
+    conf, count = docs.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    if not conf.get(count, None):
+        conf.set(count, str(docs.sparkSession.sparkContext.defaultParallelism))
     return docs.withColumn("__row", F.monotonically_increasing_id())
 
 
