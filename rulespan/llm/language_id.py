@@ -44,7 +44,8 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def has_letter(text: str) -> bool:
-    return bool(_LETTER.search(text))
+    # the pattern also takes numbers that are no digits, such as fractions
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def _em(p: np.ndarray, pi: np.ndarray, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
