@@ -1,7 +1,7 @@
 """Mixing of sources to target weights by Sainte-Lague apportionment.
 
 Sources get blocks of equal tokens by the highest quotients target / (2 a + 1), a being the blocks that a source has
-so far; a source's blocks are apportioned to its shards in the same way, by the shards' sizes. In a shard a
+so far; a source's blocks are apportioned to groups of shards, and a group's to its shards, in the same way, by their sizes. In a shard a
 source's documents, in seeded order, form one run of words that is cut into blocks of equal size; whole rounds of
 all blocks come first and the rest of the quota is a seeded choice of blocks.
 """
@@ -25,6 +25,8 @@ SHARE = 1.5
 REPEATS = 2
 BLOCK = 64
 SHARD_WORDS, SHARD_ROWS = 250_000, 5_000
+#: Shards of a source that one task apportions blocks to.
+GROUP = 4096
 
 
 def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> dict[str | None, float]:
@@ -141,17 +143,27 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     shard = F.pmod("hash", F.lit(shards)).alias("shard")
 
     dims = spark.createDataFrame([(s, sizes[s], float(targets[s]), int(q)) for s, q in zip(order, in_source)], "source string, source_size long, target double, blocks long")
-    per = slim.groupBy(shard, "source").agg(F.sum("size").alias("words"))
+    most = F.when(F.col("words") > 0, F.greatest(F.lit(1.0), F.bround(F.col("words") / BLOCK)) * repeats).otherwise(0.0).cast("long")
+    per = slim.groupBy(shard, "source").agg(F.sum("size").alias("words")).withColumn("most", most).withColumn("part", F.floor(F.col("shard") / GROUP))
 
     def apportion(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("shard")
-        most = [repeats * blocks_of(int(w)) for w in t.words]
-        full = float(t.target.iloc[0]) >= repeats * int(t.source_size.iloc[0])
-        quota = most if full else sainte_lague([float(w) for w in t.words], int(t.blocks.iloc[0]), most)
-        return pd.DataFrame({"shard": t.shard, "source": t.source, "words": t.words, "quota": quota, "source_size": t.source_size, "target": t.target})
-
-    joined = per.join(F.broadcast(dims), per["source"].eqNullSafe(dims["source"])).select("shard", per["source"], "words", "source_size", "target", "blocks")
-    quotas = materialise(joined.groupBy("source").applyInPandas(apportion, "shard long, source string, words long, quota long, source_size long, target double"), "mix-quotas")
+        """The quota of each unit of one source, from `blocks` of all its units."""
+        t = t.sort_values("unit")
+        words, limits = [float(w) for w in t.words], [int(m) for m in t.most]
+        t["quota"] = limits if t["full"].iloc[0] else sainte_lague(words, int(t.blocks.iloc[0]), limits)
+        return t
+
+    # blocks of a source go to groups of shards, those of a group to its shards: no task sees all shards
+    full = (F.col("target") >= repeats * F.col("source_size")).alias("full")
+    fields = "source string, unit long, words long, most long, blocks long, full boolean, quota long"
+    groups = per.groupBy("source", F.col("part").alias("unit")).agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
+    groups = groups.join(F.broadcast(dims), groups["source"].eqNullSafe(dims["source"])).select(groups["source"], "unit", "words", "most", "blocks", full)
+    given = groups.groupBy("source").applyInPandas(apportion, fields).select(F.col("source").alias("of"), F.col("unit").alias("part"), F.col("quota").alias("blocks"), "full")
+    inner = per.join(given, per["source"].eqNullSafe(given["of"]) & (per["part"] == given["part"]))
+    inner = inner.select(per["source"], F.col("shard").cast("long").alias("unit"), "words", "most", "blocks", "full", per["part"])
+    cut = inner.groupBy("source", "part").applyInPandas(apportion, fields + ", part long")
+    quotas = cut.join(F.broadcast(dims), cut["source"].eqNullSafe(dims["source"])).select(F.col("unit").alias("shard"), cut["source"], "words", "quota", "source_size", "target")
+    quotas = materialise(quotas, "mix-quotas")
 
     rows = with_sizes(docs, key, text, source, carry).withColumn("shard", F.pmod("hash", F.lit(shards)))
     kept = [f for f in rows.schema if f.name.startswith("c") and f.name[1:].isdigit()]
