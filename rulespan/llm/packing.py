@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -145,14 +146,18 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
                     names = [x["source"] for x in sources]
                     tag = [f"={s}" if s is not None else "-" for s in names]
                     of = struct.unpack(f"<{len(which) // 4}I", which)
-                    keys, ids, queues = [], [], {t: [] for t in tag}
-                    for i, (k, _, data) in enumerate(TokenFile(at).read()):
-                        keys.append(k)
-                        ids.append(data)
-                        queues[tag[of[i]]].append((i, len(data) // 4))
+                    file, queues = TokenFile(at), {t: [] for t in tag}
+                    for i, (_, n) in enumerate(file.docs):
+                        queues[tag[of[i]]].append((i, n))
                     share = {t: x["share"] for t, x in zip(tag, sources)}
-                    for i, start, n, seq, offset in pack(queues, share, {t: x["deficit"] for t, x in zip(tag, sources)}, width, least):
-                        yield keys[i], start, n, zlib.crc32(memoryview(ids[i])[4 * start : 4 * (start + n)]), len(ids[i]) // 4, first + seq, offset, names[of[i]]
+                    # lengths suffice to pack; ids are then read once, a document at a time
+                    cuts = [array("q") for _ in file.docs]
+                    for i, *piece in pack(queues, share, {t: x["deficit"] for t, x in zip(tag, sources)}, width, least):
+                        cuts[i].extend(piece)
+                    for i, (key, _, ids) in enumerate(file.read()):
+                        c = cuts[i]
+                        for start, n, seq, offset in zip(c[::4], c[1::4], c[2::4], c[3::4]):
+                            yield key, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), len(ids) // 4, first + seq, offset, names[of[i]]
 
         yield from batches(rows(), _PIECES, 5000)
 
