@@ -240,6 +240,7 @@ def test_language(spark, tables, empty):
     assert infer(m, en)[0] == "en" and infer(m, de)[0] == "de" and set(infer(m, en)[2]) == {"en"}
     mixed = infer(m, en * 6 + de * 4)[2]
     assert set(mixed) == {"en", "de"} and abs(mixed["en"] - 0.6) < 0.08
+    assert infer(m, "½ ² Ⅷ 7 _")[0] == "und" and infer(m, "½ a")[0] != "und"
     nothing = fit(empty)
     assert nothing.languages == [] and infer(nothing, "words")[0] == "und"
     assert identify(empty, m).count() == 0
@@ -564,6 +565,22 @@ def test_mixing(spark, tables):
     same([tuple(r.values()) for r in again], [tuple(r.values()) for r in rows])
 
 
+def test_quotas_of_many_groups_of_shards(spark, monkeypatch):
+    from rulespan.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rows = [(i, "w " * (i % 90), ("a", "b", None)[min(i % 7, 2)]) for i in range(600)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(r["key"] for r in out) == Counter(i for i, *_ in rows)
+    taken, target = Counter(), {}
+    for r in out:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= max(130, 0.02 * t) for s, t in target.items()), (taken, target)
+
+
 def test_sainte_lague_by_quotients():
     from rulespan.llm.mixing import sainte_lague
 
