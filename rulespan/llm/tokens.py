@@ -9,7 +9,7 @@ from array import array
 from functools import lru_cache
 
 #: Entries of the caches of pieces and of words; what finds no room is encoded each time. Bounds memory, not results.
-PIECES, WORDS = 100_000, 200_000
+PIECES, WORDS = 300_000, 300_000
 #: ASCII that is neither letter, digit, space nor control.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
