@@ -13,6 +13,7 @@ from ..functions.source_facts import source_rows
 from ..operators import findings as fd
 from ..operators import probes as pr
 from ..operators import rules as ru
+from ..operators.advice import advice
 
 FILES = "repo string, path string, content string"
 REPOS = "repo string, name string, language string, repo_type string, root string, traits array<string>, exemptions array<struct<rule:string,reason:string>>, deferrals array<struct<rule:string,reason:string>>, standards_age_days int"
@@ -151,7 +152,7 @@ def _cross(files: DataFrame, facts: DataFrame, repos: DataFrame) -> DataFrame:
 def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False) -> tuple[DataFrame, DataFrame]:
     """(findings, checked).
 
-    findings: repo, seq, rule_id, violation_id, severity, dimension, finding, deferred; seq orders the kinds of rules,
+    findings: repo, seq, rule_id, violation_id, severity, dimension, finding, suggestion (null where a rule was skipped), deferred; seq orders the kinds of rules,
     then their place in the list. checked: repo, rule_id, for every rule that applies, skipped ones too.
     mono_rules: also run the two monorepo rules, which are off by default.
     """
@@ -211,6 +212,6 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False) -> tu
     told = told.select("repo", F.lit(0).alias("seq"), "rule_id", F.lit("INFO").alias("severity"), F.lit(ru.STRUCT).alias("dimension"), F.concat(F.lit("Skipped: "), "reason").alias("finding"), F.lit(True).alias("wrapped"), F.lit(False).alias("always"))
     later = defer.join(skips, ["repo", "rule_id"], "left_anti").select("repo", "rule_id", F.lit(True).alias("later"))
     rows = kept.join(later, ["repo", "rule_id"], "left").withColumn("deferred", F.coalesce(F.col("later") & F.col("wrapped"), F.lit(False)))
-    rows = rows.withColumn("severity", F.when(F.col("deferred"), "INFO").otherwise(F.col("severity"))).drop("later").unionByName(told.withColumn("deferred", F.lit(False)))
-    final = fd.supersede(rows).select("repo", "seq", "rule_id", F.col("rule_id").alias("violation_id"), "severity", "dimension", "finding", "deferred")
+    rows = rows.withColumn("severity", F.when(F.col("deferred"), "INFO").otherwise(F.col("severity"))).drop("later").withColumn("told", F.lit(False)).unionByName(told.withColumn("deferred", F.lit(False)).withColumn("told", F.lit(True)))
+    final = fd.supersede(rows).select("repo", "seq", "rule_id", F.col("rule_id").alias("violation_id"), "severity", "dimension", "finding", F.when(F.col("told"), F.lit(None)).otherwise(advice(F.col("rule_id"))).alias("suggestion"), "deferred")
     return final, checked.select("repo", "rule_id").distinct()

@@ -91,7 +91,8 @@ def test_empty_repository(run):
 
 def test_exemptions_and_deferrals(run):
     rows = {(r["rule_id"], r["finding"]): r for r in run[0]["exempt"]}
-    assert rows["DOC-001", "Skipped: no readers"]["severity"] == "INFO"
+    skipped = rows["DOC-001", "Skipped: no readers"]
+    assert skipped["severity"] == "INFO" and skipped["suggestion"] is None
     assert texts(run, "exempt", "DOC-003") == []
     assert texts(run, "exempt", "PY-007") == ["Skipped: why", "pyproject.toml is absent."]
     put_off = rows["DOC-004", ".env.example is absent."]
@@ -169,3 +170,13 @@ def test_every_rule_is_wired():
 
     ids = {r.rule_id for r in ru.repo_rules()} | {x[0] for x in ru.FILE_RULES} | set(ru.SOURCE_RULES) | set(ru.CROSS_RULES)
     assert len(ids) == 106
+
+
+def test_every_rule_has_a_suggestion(run):
+    from rulespan.operators import rules as ru
+    from rulespan.operators.advice import ADVICE
+
+    assert set(ADVICE) == {r.rule_id for r in ru.repo_rules()} | {x[0] for x in ru.FILE_RULES} | set(ru.SOURCE_RULES) | set(ru.CROSS_RULES)
+    for rows in run[0].values():
+        for r in rows:
+            assert (r["suggestion"] is None) == r["finding"].startswith("Skipped: "), r
