@@ -122,42 +122,35 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _sketches(docs: DataFrame, tables: int, bits: int) -> DataFrame:
-    """row, values (a SimHash of `bits` bits for each table, over the set of word pairs); rows without words have none."""
+def _sketches(docs: DataFrame, tables: int, bits: int, k: int) -> DataFrame:
+    """row, n (distinct k-word shingles), values (a SimHash of `bits` bits for each table, over the set of word pairs); rows without words have none."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            rows, values = [], []
+            rows, sizes, values = [], [], []
             for r, t in zip(b.column("row").to_pylist(), raw(b.column("text"))):
-                h = np.unique(shingle_hashes(words_of(t), CANDIDATE_WORDS))
+                words = words_of(t)
+                h = np.unique(shingle_hashes(words, CANDIDATE_WORDS))
                 if len(h):
                     rows.append(r)
+                    sizes.append(len(set(shingles(words, k))))
                     wide = [simhash(_mixed(h, i)) for i in range(-(-tables * bits // 64))]
                     whole = sum(w << 64 * i for i, w in enumerate(wide))
                     values.append([whole >> bits * i & (1 << bits) - 1 for i in range(tables)])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["row", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["row", "n", "values"])
 
-    return docs.select("row", "text").mapInArrow(calm(make), "row long, values array<long>")
+    return docs.select("row", "text").mapInArrow(calm(make), "row long, n long, values array<long>")
 
 
-def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS) -> DataFrame:
-    """row, root: groups of rows joined by pairs whose sets of k-word shingles have at least this Jaccard similarity.
+def value_groups(members: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
+    """node, root: the components of all pairs of rows that share a value and have the similarity, which is exact.
 
-    Candidates come from ball hashing (radius 2) of `tables` independent SimHashes of `bits` bits; the exact
-    similarity of each candidate pair is then computed from both whole texts. row must be a unique long; rows in no
-    pair are not returned. Texts of fewer than k words are compared by their whole word sequence.
-    bits must exceed the binary logarithm of the rows by some bits (32 for up to 10^8 rows), tables keeps the recall.
+    members: value, row, n (the row's k-word shingles, distinct); src: row, text. In each round the rows of a value
+    fall into parts by a hash, and the smallest row of a part is a pivot: it is compared with all rows of the value
+    outside its component, then leaves the value. A value is done when its rows are in one component. So a pair is
+    left out only where it can join nothing more; parts grow fourfold, so rounds grow with the logarithm of a value's
+    rows. Alike rows cost a comparison each; of rows that share a value and are unlike, all pairs of like sizes are compared.
     """
-    src = docs.select(docs[row].cast("long").alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    sketch = materialise(_sketches(src, tables, bits), "similar")
-    tagged = sketch.select("row", F.posexplode("values").alias("t", "v")).select("row", F.expr(f"shiftleft(cast(t as bigint), {bits}) | v").alias("fp"))
-    heads = materialise(tagged.groupBy("fp").agg(F.min("row").alias("row")), "similar-heads")
-    same = tagged.join(heads.withColumnRenamed("row", "a"), "fp").select("a", F.col("row").alias("b"))
-    near = ball_links(heads, "fp", bits, 2)
-    names = heads.select(F.col("fp").alias("a"), F.col("row").alias("ra"))
-    other = heads.select(F.col("fp").alias("b"), F.col("row").alias("rb"))
-    met = near.join(names, "a").join(other, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = materialise(same.union(met).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -168,7 +161,43 @@ def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity:
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = src.select(F.col("row").alias("a"), F.col("text").alias("ta"))
-    right = src.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(calm(verify), "a long, b long")
-    return connected_components(links).select(F.col("node").alias("row"), "root")
+    left, texts, tested, links, roots, parts = members.withColumn("comp", F.col("row")), None, None, None, None, 1
+    while True:
+        undone = left.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
+        left = materialise(left.join(undone, "value", "left_semi"), "similar-left")
+        if left.isEmpty():
+            return roots if roots is not None else connected_components(left.select(F.col("row").alias("a"), F.col("row").alias("b")))
+        if texts is None:
+            texts = materialise(src.join(left.select("row").distinct(), "row", "left_semi"), "similar-texts")
+        part = F.pmod(F.xxhash64("row", F.lit(parts)), F.lit(parts))
+        pivots = left.groupBy("value", part.alias("part")).agg(F.min(F.struct("row", "comp", "n")).alias("p"))
+        pivots = materialise(pivots.select(F.col("value").alias("pvalue"), F.col("p.row").alias("prow"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn")), "similar-pivots")
+        # sets of this similarity are of like sizes; one more for a hash that two shingles share
+        like = F.least("n", "pn") + 1 >= similarity * F.greatest("n", "pn")
+        met = left.join(pivots, (F.col("value") == F.col("pvalue")) & (F.col("comp") != F.col("pcomp")) & like)
+        pairs = met.select(F.least("row", "prow").alias("a"), F.greatest("row", "prow").alias("b")).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        ta, tb = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
+        found = materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(calm(verify), "a long, b long"), "similar-links")
+        left = left.join(pivots.select(F.col("pvalue").alias("value"), F.col("prow").alias("row")), ["value", "row"], "left_anti")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = connected_components(links).select(F.col("node").alias("row"), "root")
+            left = left.join(roots, "row", "left").select("value", "row", "n", F.coalesce("root", "row").alias("comp"))
+        parts *= 4
+
+
+def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS) -> DataFrame:
+    """row, root: groups of rows joined by pairs whose sets of k-word shingles have at least this Jaccard similarity.
+
+    Candidates come from ball hashing (radius 2) of `tables` independent SimHashes of `bits` bits; the exact
+    similarity of each pair that shares a value is then computed from both whole texts. row must be a unique long; rows in no
+    pair are not returned. Texts of fewer than k words are compared by their whole word sequence.
+    bits must exceed the binary logarithm of the rows by some bits (32 for up to 10^8 rows), tables keeps the recall.
+    """
+    src = docs.select(docs[row].cast("long").alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    sketch = materialise(_sketches(src, tables, bits, k), "similar")
+    flips = F.array(*(F.lit(m) for m in masks(bits, 1)))
+    tagged = sketch.select("row", "n", F.posexplode("values").alias("t", "v")).select("row", "n", F.expr(f"shiftleft(cast(t as bigint), {bits}) | v").alias("fp"), F.explode(flips).alias("mask"))
+    return value_groups(tagged.select(F.expr("fp ^ mask").alias("value"), "row", "n"), src, k, similarity)

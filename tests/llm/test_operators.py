@@ -534,6 +534,27 @@ def test_similar_groups(spark):
     assert len(found) >= 0.93 * len(want) > 20
 
 
+def test_all_pairs_of_a_value_are_compared(spark):
+    """The smallest row of a value is unlike the others; some are joined to it only through a third row."""
+    from rulespan.llm.simhash import value_groups
+
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    # windows of one text: rows of near starts are alike, the first row and the last are not
+    texts = [(i, " ".join(base[s : s + 100])) for i, s in enumerate([60, 0, 5, 10, 15, 40, 45, 90, 92, 97, 30, 58])] + [(90, "one two three four five six")]
+    shingled = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in texts}
+    want = {i: i for i in shingled}
+    for _ in texts:
+        for a in shingled:
+            for b in shingled:
+                if len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    src = spark.createDataFrame(texts, "row long, text string")
+    members = spark.createDataFrame([(v, i, len(x)) for i, x in shingled.items() for v in (7, 8)], "value long, row long, n long")
+    found = {r["row"]: r["root"] for r in got(value_groups(members, src, 5, 0.8))}
+    assert {i: found.get(i, i) for i in want} == want and len(set(want.values())) > 3
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 
 
