@@ -112,32 +112,37 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 # --- similarity of five-word shingles, for the pipeline -----------------------------------------------------------
 
-TABLES, TABLE_BITS, CANDIDATE_WORDS = 8, 32, 2
+#: Bands of MinHashes: a pair of similarity s shares a band's value with probability s^BAND_HASHES, for any kind of edit.
+BANDS, BAND_HASHES = 32, 6
 
 
-def _mixed(h: np.ndarray, i: int) -> np.ndarray:
-    """Another 64-bit hash of what h is a hash of."""
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def band_values(hashes: np.ndarray, bands: int = BANDS, size: int = BAND_HASHES) -> np.ndarray:
+    """A signed long for each band: the hash of the `size` smallest values that as many hash functions take on distinct hashes."""
+    n = bands * size
+    draw = np.random.default_rng(SEED)
+    factor, add = (draw.integers(0, 1 << 64, (n, 1), dtype=np.uint64) for _ in range(2))
+    factor |= np.uint64(1)
+    least = np.full(n, np.uint64((1 << 64) - 1))
+    for i in range(0, len(hashes), 2048):
+        least = np.minimum(least, (hashes[None, i : i + 2048] * factor + add).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED + i) for i, x in enumerate(least.reshape(bands, size))], dtype=np.uint64).view(np.int64)
 
 
-def _sketches(docs: DataFrame, tables: int, bits: int, k: int) -> DataFrame:
-    """row, n (distinct k-word shingles), values (a SimHash of `bits` bits for each table, over the set of word pairs); rows without words have none."""
+def _banded(docs: DataFrame, k: int, bands: int, size: int) -> DataFrame:
+    """row, n (distinct k-word shingles), values (of the bands); rows without words have none."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows, sizes, values = [], [], []
             for r, t in zip(b.column("row").to_pylist(), raw(b.column("text"))):
-                words = words_of(t)
-                h = np.unique(shingle_hashes(words, CANDIDATE_WORDS))
+                h = np.unique(shingle_hashes(words_of(t), k))
                 if len(h):
                     rows.append(r)
-                    sizes.append(len(set(shingles(words, k))))
-                    wide = [simhash(_mixed(h, i)) for i in range(-(-tables * bits // 64))]
-                    whole = sum(w << 64 * i for i, w in enumerate(wide))
-                    values.append([whole >> bits * i & (1 << bits) - 1 for i in range(tables)])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["row", "n", "values"])
+                    sizes.append(len(h))
+                    values.append(band_values(h, bands, size))
+            flat = pa.array(np.concatenate(values) if values else np.array([], dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["row", "n", "values"])
 
     return docs.select("row", "text").mapInArrow(calm(make), "row long, n long, values array<long>")
 
@@ -188,16 +193,14 @@ def value_groups(members: DataFrame, src: DataFrame, k: int, similarity: float)
         parts *= 4
 
 
-def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = TABLE_BITS) -> DataFrame:
+def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, bands: int = BANDS, size: int = BAND_HASHES) -> DataFrame:
     """row, root: groups of rows joined by pairs whose sets of k-word shingles have at least this Jaccard similarity.
 
-    Candidates come from ball hashing (radius 2) of `tables` independent SimHashes of `bits` bits; the exact
-    similarity of each pair that shares a value is then computed from both whole texts. row must be a unique long; rows in no
+    Candidates are pairs that share a value of one of `bands` bands of `size` MinHashes each of these same sets: a pair
+    at similarity s is missed with probability (1 - s^size)^bands, below 0.0001 at 0.8, wherever the texts differ. The
+    exact similarity of candidates is then computed from both whole texts. row must be a unique long; rows in no
     pair are not returned. Texts of fewer than k words are compared by their whole word sequence.
-    bits must exceed the binary logarithm of the rows by some bits (32 for up to 10^8 rows), tables keeps the recall.
     """
     src = docs.select(docs[row].cast("long").alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    sketch = materialise(_sketches(src, tables, bits, k), "similar")
-    flips = F.array(*(F.lit(m) for m in masks(bits, 1)))
-    tagged = sketch.select("row", "n", F.posexplode("values").alias("t", "v")).select("row", "n", F.expr(f"shiftleft(cast(t as bigint), {bits}) | v").alias("fp"), F.explode(flips).alias("mask"))
-    return value_groups(tagged.select(F.expr("fp ^ mask").alias("value"), "row", "n"), src, k, similarity)
+    banded = materialise(_banded(src, k, bands, size), "similar")
+    return value_groups(banded.select(F.explode("values").alias("value"), "row", "n"), src, k, similarity)

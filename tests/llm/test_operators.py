@@ -555,6 +555,28 @@ def test_all_pairs_of_a_value_are_compared(spark):
     assert {i: found.get(i, i) for i in want} == want and len(set(want.values())) > 3
 
 
+@pytest.mark.parametrize("low, high", [(0.8, 0.82), (0.82, 0.85), (0.85, 0.9)])
+def test_block_edits_are_found(spark, low, high):
+    """Near copies that differ in one connected passage: added, dropped or replaced; the exact join is over the pairs planted."""
+    from rulespan.llm.simhash import similar_groups
+
+    rnd = random.Random(int(100 * low))
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(5))
+    shingled = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    rows, want = [], {}
+    while len(want) < 150:
+        w = [word() for _ in range(rnd.randint(150, 400))]
+        at, n = rnd.randrange(len(w)), rnd.randint(5, len(w) // 4)
+        v = w[:at] + ([word() for _ in range(n)] if rnd.random() < 0.7 else []) + w[at + rnd.choice((0, n)) :]
+        a, b = shingled(w), shingled(v)
+        if low <= len(a & b) / len(a | b) < high:
+            i = 2 * len(want)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+            want[i + 1] = i
+    found = {r["row"]: r["root"] for r in got(similar_groups(spark.createDataFrame(rows, "r long, text string"), "r", "text")) if r["row"] != r["root"]}
+    assert found.items() <= want.items() and len(found) >= 0.99 * len(want), len(found) / len(want)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 
 
