@@ -3,7 +3,7 @@
 A model holds, for each learned language, log likelihoods of hashed character trigrams. A document's trigrams are
 taken as drawn from a mixture of languages; expectation-maximisation estimates its proportions. The set of languages
 is selected by penalised likelihood: of the sets of the 1, 2, ... most frequent languages the one whose log
-likelihood, less a penalty for each further language, is largest.
+likelihood, less a penalty for each further language, is largest. No number of languages and no least share bounds it.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def _em(p: np.ndarray, pi: np.ndarray, rounds: int, tolerance: float = 1e-3) ->
     return pi, float(np.log(p @ pi).sum())
 
 
-def infer(model: Model, text: str, penalty: float = 3.0, rounds: int = 12, most: int = 3) -> tuple[str, float, dict[str, float]]:
+def infer(model: Model, text: str, penalty: float = 3.0, rounds: int = 12) -> tuple[str, float, dict[str, float]]:
     """(language, its proportion, proportions of the selected set)."""
     if not model.languages or not has_letter(text):
         return UNKNOWN, 0.0, {}
@@ -70,21 +70,23 @@ def infer(model: Model, text: str, penalty: float = 3.0, rounds: int = 12, most:
     logp = model.logp[grams]
     # by trigram relative to the likeliest language, so that nothing underflows
     p = np.exp(logp - logp.max(axis=1, keepdims=True))
-    pi, _ = _em(p, np.full(p.shape[1], 1.0 / p.shape[1], dtype=np.float32), rounds)
+    pi, whole = _em(p, np.full(p.shape[1], 1.0 / p.shape[1], dtype=np.float32), rounds)
+    # by concavity no proportions, of whatever set, are likelier than this
+    bound = whole + len(p) * float(np.log(max(1.0, float((p.T @ (1.0 / (p @ pi))).max()) / len(p))))
     order = np.argsort(-pi, kind="stable")
+    order = order[pi[order] > 0]
     cost = penalty * np.log(len(p) + 1.0)
     best, chosen, shares = -np.inf, order[:1], np.ones(1, dtype=np.float32)
-    for k in range(1, min(most, len(order)) + 1):
-        some = order[:k]
-        if k > 1 and pi[some[-1]] < 0.02:
+    for k in range(1, len(order) + 1):
+        if bound - cost * (k - 1) <= best:
             break
+        some = order[:k]
         if k == 1:
             got, like = np.ones(1, dtype=np.float32), float(np.log(p[:, some[0]]).sum())
         else:
             got, like = _em(np.ascontiguousarray(p[:, some]), pi[some] / pi[some].sum(), rounds)
-        if like - cost * (k - 1) <= best:
-            break
-        best, chosen, shares = like - cost * (k - 1), some, got
+        if like - cost * (k - 1) > best:
+            best, chosen, shares = like - cost * (k - 1), some, got
     mix = {model.languages[i]: float(s) for i, s in zip(chosen, shares)}
     language = max(mix, key=lambda x: (mix[x], x))
     return language, min(1.0, max(0.0, mix[language])), mix

@@ -255,6 +255,26 @@ def test_language_held_out(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) >= 0.97 * len(rows) > 0
 
 
+def test_language_sets_of_any_size():
+    """Four languages and small shares: only the penalised likelihood decides."""
+    from rulespan.llm.language_id import BUCKETS, Model, infer, trigrams
+
+    rnd = random.Random(13)
+    letters = ["abcdefgh", "efghijkl", "ijklmnop", "mnopqrst", "qrstuvab", "uvwxyzcd"]
+    prose = lambda i, n: " ".join("".join(rnd.choice(letters[i]) for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    counts = np.full((BUCKETS, 6), 0.5)
+    for i in range(6):
+        counts[:, i] += np.bincount(trigrams(prose(i, 20_000)), minlength=BUCKETS)
+    model = Model([f"l{i}" for i in range(6)], np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    language, score, mix = infer(model, " ".join(prose(i, n) for i, n in enumerate((184, 72, 72, 72))))
+    assert language == "l0" and set(mix) == {"l0", "l1", "l2", "l3"} and 0.4 < score < 0.5
+    _, _, mix = infer(model, " ".join(prose(i, 100) for i in range(6)))
+    assert len(mix) == 6
+    _, score, mix = infer(model, prose(2, 9850) + " " + prose(5, 150))
+    assert set(mix) == {"l2", "l5"} and 0.97 < score < 0.99
+    assert set(infer(model, prose(3, 300))[2]) == {"l3"}
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------
 
 
