@@ -2,12 +2,14 @@
 
 Method: each notice of k permitted edits is split into k + 1 pieces. By the pigeonhole principle a
 text within k edits holds one piece unchanged, so an Aho-Corasick pass over the pieces finds every
-candidate place; the regex library then matches the whole notice with at most k errors in a window
-around it and reports the span.
+candidate place. From each word that can start the notice there, one pass of Myers' bit-parallel edit distance
+gives the errors up to every later word end. Of the spans within k errors that hold the needed words, those of the
+fewest errors that do not overlap are reported, so no place is lost to a better one beside it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,7 +75,6 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
 @lru_cache(2)
 def _matcher(notices: tuple):
     import ahocorasick
-    import regex
 
     at: dict[str, list[tuple[int, int]]] = {}
     for i, (_, notice, edits, _) in enumerate(notices):
@@ -83,43 +84,57 @@ def _matcher(notices: tuple):
     for piece, where in at.items():
         seeds.add_word(piece, (len(piece), where))
     seeds.make_automaton()
-    fuzzy = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}(?![^ ])") for _, n, e, _ in notices]
-    return seeds, fuzzy
+    bits = [{c: sum(1 << j for j, x in enumerate(n) if x == c) for c in set(n)} for _, n, _, _ in notices]
+    return seeds, bits
+
+
+def word_ends(line: str, start: int, notice: str, edits: int, bits: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """(errors, end) of each span from start to the end of a word that is within the edits of the notice."""
+    m = len(notice)
+    mask, high = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = mask, 0, m
+    last = min(len(line) - 1, start + m + edits)
+    for at in range(start, last):
+        eq = bits.get(line[at], 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up), up & xh
+        score += bool(ph & high) - bool(mh & high)
+        # each further character lowers the distance by one at most
+        if score - (last - at - 1) > edits:
+            return
+        ph, mh = ph << 1 | 1, mh << 1
+        up, down = (mh | ~(xv | ph)) & mask, ph & xv & mask
+        if score <= edits and line[at + 1] == " ":
+            yield score, at + 1
 
 
 def notice_spans(line: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, float]]:
     """(label, first word, word after the last, errors, score) in line, words joined and framed by single spaces."""
-    seeds, fuzzy = _matcher(notices)
-    windows: dict[int, list[list[int]]] = {}
+    seeds, bits = _matcher(notices)
+    starts: dict[int, set[int]] = {}
     for end, (size, where) in seeds.iter(line):
         for i, offset in where:
-            edits = notices[i][2]
-            a = end + 1 - size - offset - edits - 1
-            b = a + len(notices[i][1]) + 2 * edits + 2
-            held = windows.setdefault(i, [])
-            # seeds come by their ends, so windows of one notice come nearly by their starts; overlapping ones merge
-            if held and a <= held[-1][1]:
-                held[-1][0], held[-1][1] = min(a, held[-1][0]), max(b, held[-1][1])
-            else:
-                held.append([a, b])
+            edits, first = notices[i][2], end + 1 - size - offset
+            at = line.find(" ", max(0, first - edits - 1), max(0, first + edits))
+            while at >= 0:
+                starts.setdefault(i, set()).add(at + 1)
+                at = line.find(" ", at + 1, max(0, first + edits))
     found = []
-    for i, held in windows.items():
-        label, notice, _, needed = notices[i]
+    for i, places in starts.items():
+        label, notice, edits, needed = notices[i]
+        spans = [(errors, a, b) for a in places for errors, b in word_ends(line, a, notice, edits, bits[i]) if set(needed) <= set(line[a:b].split())]
+        taken: list[tuple[int, int, int]] = []
+        for errors, a, b in sorted(spans):
+            # spans taken are apart, so only the neighbours of a place can overlap
+            j = bisect_left(taken, (a, b, errors))
+            if not (j and taken[j - 1][1] > a or j < len(taken) and taken[j][0] < b):
+                taken.insert(j, (a, b, errors))
         word = counted = 0
-        for a, b in held:
-            a, b = max(0, a), min(len(line), b)
-            for m in fuzzy[i].finditer(line, a, b):
-                if needed and not set(needed) <= set(m[0].split()):
-                    continue
-                errors = sum(m.fuzzy_counts)
-                # spaces before the match; windows of a notice may step back a little
-                at = m.start()
-                word += line.count(" ", counted, at) if at >= counted else -line.count(" ", at, counted)
-                counted = at
-                start = word - 1 + (line[at] == " ")
-                words = len(m[0].split())
-                if words:
-                    found.append((label, start, start + words, errors, 1.0 - errors / len(notice)))
+        for a, b, errors in taken:
+            word += line.count(" ", counted, a)
+            counted = a
+            found.append((label, word - 1, word - 1 + len(line[a:b].split()), errors, 1.0 - errors / len(notice)))
     return sorted(set(found), key=lambda x: (x[1], x[2], x[0], x[3]))
 
 

@@ -103,6 +103,33 @@ def test_fuzzy_notices_meet_their_edits():
     assert base == [] and spans[0][0] == "mit" and (spans[0][1], spans[0][2]) == (2, 7)
 
 
+def test_adjacent_and_dual_notices_against_brute_force():
+    from rulespan.llm.license_scan import NOTICES, notice_spans
+
+    def plain(line):
+        words, out = line.split(), set()
+        for label, notice, edits, needed in NOTICES:
+            for i in range(len(words)):
+                for j in range(i + 1, len(words) + 1):
+                    if abs(len(t := " ".join(words[i:j])) - len(notice)) <= edits and set(needed) <= set(words[i:j]) and distance(t, notice) <= edits:
+                        out.add((label, i, j, distance(t, notice)))
+        return out
+
+    rnd = random.Random(17)
+    texts = ["licenced undr the gnu general public license version 3 or licensed under the gnu general public license version 2"]
+    texts += ["released under the mit license released undr the mit lisence", "licensed under the gnu general public license version v 3"]
+    for _ in range(12):
+        (_, a, k, _), (_, b, m, _) = rnd.choice(NOTICES), rnd.choice(NOTICES)
+        texts.append(" ".join(f"{edited(a, rnd.randint(0, k), rnd)} {rnd.choice(['', 'or', 'and also'])} {edited(b, rnd.randint(0, m), rnd)} end".split()))
+    for t in texts:
+        mine, all_ = {s[:4] for s in notice_spans(f" {t} ")}, plain(t)
+        assert mine <= all_ and {x[0] for x in mine} == {x[0] for x in all_}, t
+        # a place that is not reported overlaps one that is
+        assert all(any(a < j and i < b for x, a, b, _ in mine if x == label) for label, i, j, _ in all_), t
+    assert {s[0] for s in notice_spans(f" {texts[0]} ")} == {"gpl-3", "gpl-2"}
+    assert len([s for s in notice_spans(f" {texts[1]} ") if s[0] == "mit"]) >= 2
+
+
 # --- 2, 8 -------------------------------------------------------------------------------------------------------
 
 
