@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -15,20 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which all executors see.
+_LOCAL: dict[str, str] = {}
+#: ASCII white space.
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 
-    Only where that setting is unset (tests in one process) a temporary folder takes its place.
-    Hadoop's file system removes the path when the driver ends.
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors see.
+
+    Where it is unset, a temporary folder takes its place in local mode (tests in one process); a cluster has no such
+    folder that all see, so there this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rulespan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="rulespan-")
+    return _LOCAL[context.applicationId]
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Hadoop's file system removes it when the driver ends."""
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+    store, at = _store(spark, path)
     store.mkdirs(at)
     store.deleteOnExit(at)
     return path
@@ -38,7 +56,44 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and its rows no longer change."""
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialise() that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.get("_stored_at")):
+            store, at = _store(t.sparkSession, path)
+            store.delete(at, True)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, with as many underscores as it takes to be none of the columns, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The whole text in parts of about size bytes, cut behind ASCII white space: no word is split.
+
+    So lists of words stay small however long the text is; a part is larger only where one word is.
+    """
+    at = 0
+    while len(text) - at > size:
+        m = _SPACE.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
+def count_words(text: bytes) -> int:
+    return sum(len(c.split()) for c in word_chunks(text))
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
