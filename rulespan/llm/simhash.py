@@ -4,11 +4,12 @@ Two fingerprints within an even radius r have a value within r / 2 of both. So e
 values within r / 2 of itself, the values are shuffled, and fingerprints that share a value are links after
 verification. Fingerprints that share a value are within r of each other all together, so the links from a
 value's smallest fingerprint to the others join what all its pairs join, without their square.
+Texts are read in parts, so that memory holds counts or eight bytes a shingle, never a text's list of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import calm, key_text, materialise, raw
+from .common import calm, discard, key_text, materialise, raw, word_chunks
 from .components import connected_components
 
 SEED = 42
@@ -38,38 +39,48 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
+def shingle_blocks(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """The hashes of all k-word shingles of the whole text, A-Z lowered, a part of the text at a time.
 
-
-def shingles(words: list[bytes], k: int) -> list[bytes]:
-    if len(words) < k:
-        return [b" ".join(words)] if words else []
-    joined = zip(*(words[i:] for i in range(k)))
-    return [b" ".join(x) for x in joined]
+    Fewer words than k: the whole sequence is the one shingle; no words: nothing.
+    """
+    digest, last, n = xxhash.xxh64_intdigest, [], 0
+    for chunk in word_chunks(text):
+        words = chunk.translate(_LOWER).split()
+        n += len(words)
+        last += words
+        if len(last) >= k:
+            yield np.array([digest(b" ".join(x), SEED) for x in zip(*(last[i:] for i in range(k)))], dtype=np.uint64)
+            last = last[len(last) - k + 1 :]
+    if 0 < n < k:
+        yield np.array([digest(b" ".join(last), SEED)], dtype=np.uint64)
 
 
-def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, SEED) for s in shingles(words, k)], dtype=np.uint64)
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    blocks = list(shingle_blocks(text, k))
+    return np.concatenate(blocks) if blocks else np.array([], dtype=np.uint64)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """Bit i is 1 if over half the hashes have it."""
-    if not len(hashes):
-        return 0
-    return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view("<u8")[0])
+def simhash(blocks: Iterable[np.ndarray]) -> int:
+    """Bit i is 1 if over half of all hashes in the blocks have it; 0 without hashes."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
+        counts += bit_counts(h)
+        n += len(h)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """key, fp (the 64 bits as a signed long) of each row: A-Z lowered, words between ASCII space, k-word shingles, repeats included.
 
-    Fewer words than k: the whole sequence is the one shingle. No words, or null text: fingerprint zero.
+    Fewer words than k: the whole sequence is the one shingle. No words, or null text: fingerprint zero. Very long
+    texts are counted part by part. Each row gives one row, repeated ones too; an empty table gives none; other
+    columns, whatever their names, change nothing.
     """
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            fps = np.array([simhash(shingle_hashes(words_of(t), k)) for t in raw(b.column("text"))], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash(shingle_blocks(t, k)) for t in raw(b.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(fps)], names=["key", "fp"])
 
     return key_text(docs, key, text).mapInArrow(calm(make), "key long, fp long")
@@ -82,7 +93,11 @@ def masks(bits: int, radius: int) -> list[int]:
 
 
 def ball_links(fps: DataFrame, fp: str = "fp", bits: int = 64, radius: int = 2) -> DataFrame:
-    """a, b: links between distinct fingerprints within an even radius, verified; their components are those of all such pairs."""
+    """a, b: links between distinct fingerprints within an even radius, verified; their components are those of all such pairs.
+
+    Repeated fingerprints count once. A value has at most as many fingerprints as a ball has values, 65 here, so no
+    group grows with the input. An empty table gives no links.
+    """
     if radius % 2:
         raise ValueError("the radius must be even: halves of an odd one don't bound a value's pairs by it")
     flips = F.array(*(F.lit(m) for m in masks(bits, radius // 2)))
@@ -94,13 +109,12 @@ def ball_links(fps: DataFrame, fp: str = "fp", bits: int = 64, radius: int = 2)
     return met.filter(F.bit_count(F.expr("a ^ b")) <= radius).distinct()
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
-    """Per row of docs: key, fp, component_id (the smallest key that links reach, the row's own included; null keys are ignored where another is).
+def fingerprint_groups(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """key, fp, component_id of each row of prints (key, fp): the smallest key that links between fingerprints reach.
 
     Rows of equal fingerprints, fingerprint zero too, are one node whatever their number; nothing is emitted for
-    their pairs. An empty table gives no rows.
+    their pairs.
     """
-    prints = materialise(fingerprints(docs, key, text, k), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("key").alias("least"))
     roots = connected_components(ball_links(nodes, "fp", 64, radius)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -110,10 +124,21 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     return prints.join(classes, "fp").select("key", "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
+    """Per row of docs: key, fp, component_id (the smallest key that links reach, the row's own included; null keys are ignored where another is).
+
+    Repeated rows and rows of equal fingerprints are in one component. An empty table gives no rows. Texts, nulls and
+    other columns: as in fingerprints().
+    """
+    return fingerprint_groups(materialise(fingerprints(docs, key, text, k), "simhash"), radius)
+
+
 # --- similarity of five-word shingles, for the pipeline -----------------------------------------------------------
 
 #: Bands of MinHashes: a pair of similarity s shares a band's value with probability s^BAND_HASHES, for any kind of edit.
 BANDS, BAND_HASHES = 32, 6
+#: Rows that one copy of a pivot's text is compared with.
+COMPARED = 256
 
 
 def band_values(hashes: np.ndarray, bands: int = BANDS, size: int = BAND_HASHES) -> np.ndarray:
@@ -129,51 +154,84 @@ def band_values(hashes: np.ndarray, bands: int = BANDS, size: int = BAND_HASHES)
 
 
 def _banded(docs: DataFrame, k: int, bands: int, size: int) -> DataFrame:
-    """row, n (distinct k-word shingles), values (of the bands); rows without words have none."""
+    """row, fp (SimHash of the k-word shingles), n (distinct shingles), values (of the bands); rows without words have none."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            rows, sizes, values = [], [], []
+            rows, fps, sizes, values = [], [], [], []
             for r, t in zip(b.column("row").to_pylist(), raw(b.column("text"))):
-                h = np.unique(shingle_hashes(words_of(t), k))
-                if len(h):
+                every = shingle_hashes(t, k)
+                if len(every):
+                    h = np.unique(every)
                     rows.append(r)
+                    fps.append(simhash([every]))
                     sizes.append(len(h))
                     values.append(band_values(h, bands, size))
             flat = pa.array(np.concatenate(values) if values else np.array([], dtype=np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["row", "n", "values"])
+            made = [pa.array(rows, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "fp", "n", "values"])
 
-    return docs.select("row", "text").mapInArrow(calm(make), "row long, n long, values array<long>")
+    return docs.select("row", "text").mapInArrow(calm(make), "row long, fp long, n long, values array<long>")
 
 
-def value_groups(members: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
-    """node, root: the components of all pairs of rows that share a value and have the similarity, which is exact.
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """row, set: the distinct 64-bit hashes of the k-word shingles of each whole text, ascending, as bytes."""
 
-    members: value, row, n (the row's k-word shingles, distinct); src: row, text. In each round the rows of a value
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([np.unique(shingle_hashes(t, k)).tobytes() for t in raw(b.column("text"))], pa.binary())], names=["row", "set"])
+
+    return texts.mapInArrow(calm(make), "row long, set binary")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (row, set) have the Jaccard similarity.
+
+    A set a that many pairs share is copied once for COMPARED of them, and so dealt to many tasks; the other set goes
+    along once a pair. A task holds two sets at a time.
+    """
+
+    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.array([], dtype=np.uint64)
+        for p in parts:
+            found = []
+            for a, b, t in zip(p.column("a").to_pylist(), p.column("b").to_pylist(), p.column("set").to_pylist()):
+                h = np.frombuffer(t, dtype=np.uint64)
+                if b is None:
+                    base = h
+                else:
+                    at = np.searchsorted(base, h)
+                    both = int((base[np.minimum(at, len(base) - 1)] == h).sum()) if len(base) else 0
+                    if both >= similarity * (len(base) + len(h) - both) - 1e-9:
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("copies"))
+    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").alias("copy"))
+    others = dealt.join(sets, F.col("b") == F.col("row")).select("a", "copy", "b", "set")
+    own = copies.join(sets, F.col("a") == F.col("row")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "set")
+    return own.union(others).repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").asc_nulls_first()).mapInArrow(calm(check), "a long, b long")
+
+
+def value_groups(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """row, root: the components of all pairs of rows that share a value and have the similarity.
+
+    members: value, row, n (the row's k-word shingles, distinct); texts: row, text. In each round the rows of a value
     fall into parts by a hash, and the smallest row of a part is a pivot: it is compared with all rows of the value
     outside its component, then leaves the value. A value is done when its rows are in one component. So a pair is
-    left out only where it can join nothing more; parts grow fourfold, so rounds grow with the logarithm of a value's
+    left out only where it can join nothing more; parts grow eightfold, so rounds grow with the logarithm of a value's
     rows. Alike rows cost a comparison each; of rows that share a value and are unlike, all pairs of like sizes are compared.
     """
-
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            keep = []
-            for x, y in zip(raw(p.column("ta")), raw(p.column("tb"))):
-                x, y = set(shingles(words_of(x), k)), set(shingles(words_of(y), k))
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, texts, tested, links, roots, parts = members.withColumn("comp", F.col("row")), None, None, None, None, 1
+    left, sets, tested, links, roots, parts = members.withColumn("comp", F.col("row")), None, None, None, None, 1
     while True:
         undone = left.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
-        left = materialise(left.join(undone, "value", "left_semi"), "similar-left")
+        former, left = left, materialise(left.join(undone, "value", "left_semi"), "similar-left")
+        discard(former.__dict__.get("_from"))
         if left.isEmpty():
-            return roots if roots is not None else connected_components(left.select(F.col("row").alias("a"), F.col("row").alias("b")))
-        if texts is None:
-            texts = materialise(src.join(left.select("row").distinct(), "row", "left_semi"), "similar-texts")
+            return roots if roots is not None else left.select("row", F.col("row").alias("root"))
+        if sets is None:
+            sets = materialise(shingle_sets(texts.join(left.select("row").distinct(), "row", "left_semi"), k), "similar-sets")
         part = F.pmod(F.xxhash64("row", F.lit(parts)), F.lit(parts))
         pivots = left.groupBy("value", part.alias("part")).agg(F.min(F.struct("row", "comp", "n")).alias("p"))
         pivots = materialise(pivots.select(F.col("value").alias("pvalue"), F.col("p.row").alias("prow"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn")), "similar-pivots")
@@ -183,24 +241,29 @@ def value_groups(members: DataFrame, src: DataFrame, k: int, similarity: float)
         pairs = met.select(F.least("row", "prow").alias("a"), F.greatest("row", "prow").alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        ta, tb = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-        found = materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(calm(verify), "a long, b long"), "similar-links")
-        left = left.join(pivots.select(F.col("pvalue").alias("value"), F.col("prow").alias("row")), ["value", "row"], "left_anti")
+        found = materialise(similar_pairs(pairs, sets, similarity), "similar-links")
+        rest = left.join(pivots.select(F.col("pvalue").alias("value"), F.col("prow").alias("row")), ["value", "row"], "left_anti")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             roots = connected_components(links).select(F.col("node").alias("row"), "root")
-            left = left.join(roots, "row", "left").select("value", "row", "n", F.coalesce("root", "row").alias("comp"))
-        parts *= 4
+            rest = rest.join(roots, "row", "left").select("value", "row", "n", F.coalesce("root", "row").alias("comp"))
+        rest._from, left = left, rest
+        parts *= 8
 
 
-def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, bands: int = BANDS, size: int = BAND_HASHES) -> DataFrame:
+def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, bands: int = BANDS, size: int = BAND_HASHES, radius: int = 2) -> DataFrame:
     """row, root: groups of rows joined by pairs whose sets of k-word shingles have at least this Jaccard similarity.
 
-    Candidates are pairs that share a value of one of `bands` bands of `size` MinHashes each of these same sets: a pair
-    at similarity s is missed with probability (1 - s^size)^bands, below 0.0001 at 0.8, wherever the texts differ. The
-    exact similarity of candidates is then computed from both whole texts. row must be a unique long; rows in no
-    pair are not returned. Texts of fewer than k words are compared by their whole word sequence.
+    Candidates are rows whose fingerprints fall into one group by ball hashing (fingerprint_groups), and pairs that
+    share a value of one of `bands` bands of `size` MinHashes of the same shingles, for what differs by more bits: a
+    pair at similarity s is missed by these with probability (1 - s^size)^bands, below 0.0001 at 0.8, wherever the
+    texts differ. The similarity of candidates is then computed from the shingles of both whole texts. row must be a unique long; rows
+    in no pair are not returned, and so are rows without words and null texts. Repeated texts are similar. Texts of
+    fewer than k words are compared by their whole word sequence. Very long texts take eight bytes a shingle. An
+    empty table gives no rows; other columns, whatever their names, change nothing.
     """
     src = docs.select(docs[row].cast("long").alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     banded = materialise(_banded(src, k, bands, size), "similar")
-    return value_groups(banded.select(F.explode("values").alias("value"), "row", "n"), src, k, similarity)
+    groups = fingerprint_groups(banded.select(F.col("row").alias("key"), "fp"), radius).select(F.col("key").alias("row"), F.xxhash64("component_id").alias("value"))
+    balls = groups.join(banded.select("row", "n"), "row").select("value", "row", "n")
+    return value_groups(banded.select(F.explode("values").alias("value"), "row", "n").union(balls), src, k, similarity)
