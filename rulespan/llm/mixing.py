@@ -1,49 +1,38 @@
 """Mixing of sources to target weights by Sainte-Lague apportionment.
 
-Sources get blocks of equal tokens by the highest quotients target / (2 a + 1), a being the blocks that a source has
-so far; a source's blocks are apportioned to groups of shards, and a group's to its shards, in the same way, by their sizes. In a shard a
-source's documents, in seeded order, form one run of words that is cut into blocks of equal size; whole rounds of
-all blocks come first and the rest of the quota is a seeded choice of blocks.
+Blocks of one word go to sources by the highest quotients target / (2 a + 1), a being the blocks that a source has so
+far: the quotients of at least one half give each source its target, rounded. A source's blocks are apportioned to groups of its own shards, and a group's to
+its shards, in the same way by their sizes. In a shard its documents, in seeded order, form one run of words that is
+cut into runs of equal size; whole rounds of all of them come first, the rest of the quota is a seeded choice, and the
+last one chosen is cut where the quota ends. So every shard, and every source however thin, meets its quota exactly.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import calm, materialise, raw
+from .common import calm, count_words, materialise, raw, word_chunks
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 REPEATS = 2
+#: Words of the runs that are chosen in a shard.
 BLOCK = 64
 SHARD_WORDS, SHARD_ROWS = 250_000, 5_000
 #: Shards of a source that one task apportions blocks to.
 GROUP = 4096
-
-
-def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> dict[str | None, float]:
-    """Target words by source: weights repeat over sources by code point, null last; what exceeds repeats x size is shared anew."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, out = share * sum(sizes.values()), {}
-    free = list(order)
-    while free:
-        rest, sum_w = total - sum(out.values()), sum(w[s] for s in free)
-        over = [s for s in free if rest * w[s] / sum_w > repeats * sizes[s]]
-        if not over:
-            out |= {s: rest * w[s] / sum_w for s in free}
-            break
-        out |= {s: float(repeats * sizes[s]) for s in over}
-        free = [s for s in free if s not in out]
-    return out
+#: Row hashes that a task remembers to tell repeated rows.
+REMEMBERED = 200_000
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int]) -> list[int]:
@@ -51,7 +40,6 @@ def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int]) -> l
 
     A divisor near the result gives nearly all seats at once; a heap of quotients gives or takes the rest.
     """
-    n = len(weights)
     seats = min(seats, sum(m for m, w in zip(most, weights) if w > 0))
     given = lambda d: [min(m, int(w / d + 0.5)) if w > 0 else 0 for w, m in zip(weights, most)]
     lo, hi = 0.0, 4 * max([1.0, *weights])
@@ -68,22 +56,25 @@ def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int]) -> l
         out[i] += 1
         if out[i] < most[i]:
             heapq.heappush(free, (-weights[i] / (2 * out[i] + 1), i))
-    assert n == len(out)
     return out
 
 
-def blocks_of(words: int) -> int:
-    return max(1, round(words / BLOCK)) if words else 0
-
-
 def chosen_blocks(words: int, quota: int, seed: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of a run's blocks, and how often each is taken."""
-    n = blocks_of(words)
+    """Bounds of a shard's runs, and how often each is taken: quota words in all."""
+    n = max(1, round(words / BLOCK)) if words else 0
     bounds = np.arange(n + 1, dtype=np.int64) * words // max(n, 1)
-    times = np.full(n, quota // max(n, 1), dtype=np.int64)
-    if n and quota % n:
+    times = np.full(n, quota // max(words, 1), dtype=np.int64)
+    rest = quota % words if words else 0
+    if rest:
         rank = np.array([xxhash.xxh64_intdigest(f"{seed}/{i}") for i in range(n)], dtype=np.uint64)
-        times[np.argsort(rank, kind="stable")[: quota % n]] += 1
+        order = np.argsort(rank, kind="stable")
+        ends = np.cumsum((bounds[1:] - bounds[:-1])[order])
+        whole = int(np.searchsorted(ends, rest, "right"))
+        times[order[:whole]] += 1
+        if part := rest - (int(ends[whole - 1]) if whole else 0):
+            at = int(order[whole])
+            bounds = np.insert(bounds, at + 1, bounds[at] + part)
+            times = np.insert(times, at, times[at] + 1)
     return bounds, times
 
 
@@ -108,84 +99,130 @@ def taken_spans(start: int, size: int, bounds: np.ndarray, times: np.ndarray) ->
     return out
 
 
+def cut_spans(text: bytes, spans: Sequence[tuple[int, int]], size: int) -> bytes:
+    """The words of the spans, as they stand in the text, a line for each span; the whole text where that is one span."""
+    if list(spans) == [(0, size)]:
+        return text
+    wanted = {x for s in spans for x in (s[0], s[1] - 1)}
+    last = max(wanted, default=-1)
+    place: dict[int, tuple[int, int]] = {}
+    n = at = 0
+    for chunk in word_chunks(text):
+        if n > last:
+            break
+        here = len(chunk.split())
+        if any(n <= x < n + here for x in wanted):
+            for i, m in enumerate(_WORD.finditer(chunk), n):
+                if i in wanted:
+                    place[i] = (at + m.start(), at + m.end())
+        n += here
+        at += len(chunk)
+    return b"\n".join(text[place[a][0] : place[b - 1][1]] for a, b in spans)
+
+
 def with_sizes(docs: DataFrame, key: str, text: str, source: str, carry: Sequence[str] = ()) -> DataFrame:
-    """key, source, size, hash of each row, and the columns in carry as c0, c1, ..."""
+    """key, source, tag (source, never null), size, again, hash of each row, and the columns in carry as c0, c1, ...
+
+    again: 0, but for rows that a task has seen before (same key, source and size) a number of their own. It is part
+    of the hash, so that repeated rows do not all fall into one shard.
+    """
     taken = docs.select(docs[key].cast("long").alias("key"), docs[source].cast("string").alias("source"), docs[text].cast("string").alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
 
-    def count(parts):
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen: set[int] = set()
+        own = TaskContext.get().partitionId() << 32
         for b in parts:
-            sizes = [0 if t is None else len(t.split()) for t in raw(b.column("text"))]
+            sizes = [0 if t is None else count_words(t) for t in raw(b.column("text"))]
+            again = []
+            for row in zip(b.column("key").to_pylist(), b.column("source").to_pylist(), sizes):
+                h = xxhash.xxh64_intdigest(repr(row))
+                own += 1
+                again.append(own if h in seen else 0)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(h)
             cols = {n: b.column(n) for n in b.schema.names if n != "text"}
-            yield pa.RecordBatch.from_pydict(cols | {"size": pa.array(sizes, pa.int64())})
+            yield pa.RecordBatch.from_pydict(cols | {"size": pa.array(sizes, pa.int64()), "again": pa.array(again, pa.int64())})
 
     fields = [f for f in taken.schema if f.name != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", size long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", size long, again long"
     sized = taken.mapInArrow(calm(count), schema)
-    return sized.withColumn("hash", F.xxhash64("key", "source", "size"))
+    tag = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
+    return sized.withColumn("tag", tag).withColumn("hash", F.xxhash64("key", "source", "size", "again"))
+
+
+def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+    """tag, source_size, target, quota, full, shards of each source, from source, tag and size of the rows.
+
+    Weights repeat over sources by code point, null last. What exceeds repeats x size is shared anew by weight: in
+    the order of repeats x size / weight, sources are full as long as the rest, shared among the others, exceeds theirs.
+    The windows run over one row a source and hold one at a time.
+    """
+    per = sized.groupBy("tag", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    nth = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    ranked = per.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (nth % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(repeats)))
+    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), "tag")
+    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy((F.col("cap") / F.col("w")).desc(), F.col("tag").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # weights are sums of few different numbers; sizes are whole: both sums are exact
+    level = ranked.withColumn("rest", F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest_w", F.sum("w").over(rest))
+    level = level.withColumn("free", F.col("rest") * F.col("w") / F.col("rest_w") <= F.col("cap"))
+    first = F.min(F.when(F.col("free"), F.struct((F.col("cap") / F.col("w")).alias("at"), "tag", "rest", "rest_w"))).over(Window.partitionBy(F.lit(0)))
+    found = level.withColumn("first", first)
+    shared = F.col("first.rest") * F.col("w") / F.col("first.rest_w")
+    is_free = F.col("first").isNotNull() & (F.struct((F.col("cap") / F.col("w")).alias("at"), F.col("tag").alias("tag")) >= F.struct(F.col("first.at").alias("at"), F.col("first.tag").alias("tag")))
+    target = F.when(is_free, shared).otherwise(F.col("cap"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n") / SHARD_ROWS)).cast("long")
+    quota = F.least(F.floor(F.col("target") + 0.5), F.col("cap")).cast("long")
+    return found.withColumn("target", target).select("tag", "source_size", "target", quota.alias("quota"), shards.alias("shards"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, finish: tuple[Callable[[pa.Table], pa.Table], str] | None = None) -> DataFrame:
     """Per row of docs: key, source, size, source_size, target, taken, spans (word ranges by round), and carry's columns.
 
-    Null text has no words and none is taken; null sources are one source, last in order; rows alike in key, source
-    and size are dealt alike. An empty table gives no rows. Only totals by source (one row a source) reach the driver.
+    Null text has no words and none is taken; null sources are one source, last in order; repeated rows are dealt
+    each by itself; very long texts are counted part by part; carried columns are held under other names, so none
+    clashes. An empty table gives no rows. Nothing of the input reaches the driver; tables of one row a source are
+    joined, and broadcast only where Spark finds them small. A task holds a shard: about SHARD_WORDS words or SHARD_ROWS rows.
     finish: what makes other rows of a shard's result, and their schema; it runs in the same Python worker.
     """
-    spark = docs.sparkSession
-    slim = materialise(with_sizes(docs, key, text, source), "mix-sizes")
-    totals = {r["source"]: (int(r["words"]), int(r["n"])) for r in slim.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
-    words, n = sum(w for w, _ in totals.values()), sum(n for _, n in totals.values())
-    shards = max(1, -(-words // SHARD_WORDS), -(-n // SHARD_ROWS))
-    sizes = {s: w for s, (w, _) in totals.items()}
-    targets = source_targets(sizes, weights, share, repeats)
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    in_source = sainte_lague([targets[s] for s in order], round(sum(targets.values()) / BLOCK), [int(1e18)] * len(order)) if words else [0] * len(order)
-    shard = F.pmod("hash", F.lit(shards)).alias("shard")
-
-    dims = spark.createDataFrame([(s, sizes[s], float(targets[s]), int(q)) for s, q in zip(order, in_source)], "source string, source_size long, target double, blocks long")
-    most = F.when(F.col("words") > 0, F.greatest(F.lit(1.0), F.bround(F.col("words") / BLOCK)) * repeats).otherwise(0.0).cast("long")
-    per = slim.groupBy(shard, "source").agg(F.sum("size").alias("words")).withColumn("most", most).withColumn("part", F.floor(F.col("shard") / GROUP))
+    sized = materialise(with_sizes(docs, key, text, source, carry), "mix-rows")
+    dims = materialise(source_targets(sized, weights, share, repeats), "mix-sources")
+    dealt = sized.join(dims.select("tag", "shards"), "tag").withColumn("shard", F.pmod("hash", "shards")).drop("shards")
+    per = dealt.groupBy("tag", "shard").agg(F.sum("size").alias("words")).withColumn("part", F.floor(F.col("shard") / GROUP))
+    per = materialise(per, "mix-shards")
 
     def apportion(t: pd.DataFrame) -> pd.DataFrame:
         """The quota of each unit of one source, from `blocks` of all its units."""
         t = t.sort_values("unit")
-        words, limits = [float(w) for w in t.words], [int(m) for m in t.most]
-        t["quota"] = limits if t["full"].iloc[0] else sainte_lague(words, int(t.blocks.iloc[0]), limits)
+        words = [int(w) for w in t.words]
+        t["quota"] = sainte_lague([float(w) for w in words], int(t.blocks.iloc[0]), [repeats * w for w in words])
         return t
 
     # blocks of a source go to groups of shards, those of a group to its shards: no task sees all shards
-    full = (F.col("target") >= repeats * F.col("source_size")).alias("full")
-    fields = "source string, unit long, words long, most long, blocks long, full boolean, quota long"
-    groups = per.groupBy("source", F.col("part").alias("unit")).agg(F.sum("words").alias("words"), F.sum("most").alias("most"))
-    groups = groups.join(F.broadcast(dims), groups["source"].eqNullSafe(dims["source"])).select(groups["source"], "unit", "words", "most", "blocks", full)
-    given = groups.groupBy("source").applyInPandas(apportion, fields).select(F.col("source").alias("of"), F.col("unit").alias("part"), F.col("quota").alias("blocks"), "full")
-    inner = per.join(given, per["source"].eqNullSafe(given["of"]) & (per["part"] == given["part"]))
-    inner = inner.select(per["source"], F.col("shard").cast("long").alias("unit"), "words", "most", "blocks", "full", per["part"])
-    cut = inner.groupBy("source", "part").applyInPandas(apportion, fields + ", part long")
-    quotas = cut.join(F.broadcast(dims), cut["source"].eqNullSafe(dims["source"])).select(F.col("unit").alias("shard"), cut["source"], "words", "quota", "source_size", "target")
-    quotas = materialise(quotas, "mix-quotas")
-
-    rows = with_sizes(docs, key, text, source, carry).withColumn("shard", F.pmod("hash", F.lit(shards)))
-    kept = [f for f in rows.schema if f.name.startswith("c") and f.name[1:].isdigit()]
+    fields = "tag string, part long, unit long, words long, blocks long, quota long"
+    groups = per.groupBy("tag", F.col("part").alias("unit")).agg(F.sum("words").alias("words")).join(dims.select("tag", F.col("quota").alias("blocks")), "tag").select("tag", F.lit(0).cast("long").alias("part"), "unit", "words", "blocks")
+    given = groups.groupBy("tag").applyInPandas(apportion, fields).select("tag", F.col("unit").alias("part"), F.col("quota").alias("blocks"))
+    cut = per.join(given, ["tag", "part"]).select("tag", "part", F.col("shard").alias("unit"), "words", "blocks").groupBy("tag", "part").applyInPandas(apportion, fields)
+    quotas = materialise(cut.select("tag", F.col("unit").alias("shard"), "words", "quota").join(dims.select("tag", "source_size", "target"), "tag"), "mix-quotas")
+
+    kept = [f for f in sized.schema if f.name.startswith("c") and f.name[1:].isdigit()]
 
     def select(t: pa.Table, q: pa.Table) -> pa.Table:
-        tag = [f"={s}" if s is not None else "-" for s in t["source"].to_pylist()]
-        quota = {f"={s}" if s is not None else "-": r for s, *r in zip(*(q[c].to_pylist() for c in ("source", "words", "quota", "source_size", "target")))}
-        keys, sizes_ = t["key"].to_pylist(), t["size"].to_pylist()
-        rank = [xxhash.xxh64_intdigest(f"{seed}/{h}") for h in t["hash"].to_pylist()]
-        order_ = sorted(range(t.num_rows), key=lambda i: (tag[i], rank[i], keys[i] is not None, keys[i] or 0))
-        spans, of, at, last = [], [], 0, None
-        for i in order_:
-            if tag[i] != last:
-                last, at = tag[i], 0
-                bounds, times = chosen_blocks(quota[last][0], quota[last][1], f"{seed}/{t['shard'][i]}/{last}")
-            spans.append([[{"start": a, "end": b} for a, b in r] for r in taken_spans(at, sizes_[i], bounds, times)])
-            of.append(quota[last])
-            at += sizes_[i]
-        t = t.take(pa.array(order_, pa.int64()))
+        words, quota, source_size, target = (q[c][0].as_py() for c in ("words", "quota", "source_size", "target"))
+        bounds, times = chosen_blocks(words, quota, f"{seed}/{q['shard'][0]}/{q['tag'][0]}")
+        keys, sizes, hashes = (t[c].to_pylist() for c in ("key", "size", "hash"))
+        rank = [xxhash.xxh64_intdigest(f"{seed}/{h}") for h in hashes]
+        order = sorted(range(t.num_rows), key=lambda i: (rank[i], keys[i] is not None, keys[i] or 0, sizes[i]))
+        spans, at = [], 0
+        for i in order:
+            spans.append([[{"start": a, "end": b} for a, b in r] for r in taken_spans(at, sizes[i], bounds, times)])
+            at += sizes[i]
+        t = t.take(pa.array(order, pa.int64()))
         made = {
-            "source_size": pa.array([x[2] for x in of], pa.int64()),
-            "target": pa.array([x[3] for x in of], pa.float64()),
+            "source_size": pa.array([source_size] * len(order), pa.int64()),
+            "target": pa.array([target] * len(order), pa.float64()),
             "taken": pa.array([sum(x["end"] - x["start"] for r in rs for x in r) for rs in spans], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))),
         }
@@ -194,4 +231,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     names = ["key", "source", "size", "source_size", "target", "taken", "spans", *(f.name for f in kept)]
     schema = "key long, source string, size long, source_size long, target double, taken long, spans array<array<struct<start:long,end:long>>>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
-    return rows.groupBy("shard").cogroup(quotas.groupBy("shard")).applyInArrow(select, finish[1] if finish else schema)
+    return dealt.groupBy("tag", "shard").cogroup(quotas.groupBy("tag", "shard")).applyInArrow(select, finish[1] if finish else schema)
