@@ -9,7 +9,7 @@ The list becomes one ordered Spark conditional expression.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import calm, key_text, raw
+from .common import calm, key_text, raw, word_chunks
 
 SYMBOLS = b"#*$%&|<>"
+#: Bytes that begin a character in UTF-8.
+_HEADS = bytes([*range(0x80), *range(0xC0, 0x100)])
 #: Counts of each text, and what is derived from them.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks")
 FEATURES = {
@@ -37,36 +39,54 @@ FEATURES = {
 TRAIN_ROWS = 20_000
 
 
+def _lines(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while (end := text.find(b"\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
 def text_counts(text: bytes) -> tuple[int, ...]:
-    """Words by ASCII white space; the counts in the order of COUNTS."""
-    words = text.split()
-    n = len(words)
+    """Words by ASCII white space; the counts in the order of COUNTS.
+
+    Memory: 8 bytes a word and a line with a word. Windows and lines are told apart by 64-bit hashes.
+    """
+    windows, last, n = array("q"), [], 0
+    for chunk in word_chunks(text):
+        words = chunk.split()
+        n += len(words)
+        last += words
+        windows.extend(map(hash, zip(last, last[1:], last[2:])))
+        last = last[-2:]
     spaces = sum(text.count(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
-    points = len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
-    seen: set[bytes] = set()
-    dup = lines = 0
-    for line in text.split(b"\n"):
-        if line.split(None, 1):
-            lines += 1
-            if line in seen:
-                dup += 1
-            seen.add(line)
+    # code points: all bytes but those that continue one
+    points = len(text) if text.isascii() else len(text) - len(text.translate(None, _HEADS))
+    seen = array("q", (hash(line) for line in _lines(text) if line and not line.isspace()))
+    lines = len(seen)
+    dup = lines - len(np.unique(np.frombuffer(seen, dtype=np.int64))) if lines > 1 else 0
     repeat = 0
-    if n >= 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(times := Counter(windows)) < len(windows):
-            end = 0
-            for i, w in enumerate(windows):
-                if times[w] > 1:
-                    repeat += i + 3 - max(i, end)
-                    end = i + 3
+    if len(windows) > 1:
+        w = np.frombuffer(windows, dtype=np.int64)
+        order = np.argsort(w)
+        same = w[order[1:]] == w[order[:-1]]
+        if same.any():
+            twice = np.zeros(n, dtype=bool)
+            for at in (order[1:][same], order[:-1][same]):
+                for i in range(3):
+                    twice[at + i] = True
+            repeat = int(twice.sum())
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     digits = len(text) - len(text.translate(None, b"0123456789"))
     return n, points - spaces, sum(text.count(bytes([c])) for c in SYMBOLS), dup, repeat, lines, upper, digits, text.count(b"!") + text.count(b"?")
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, COUNTS and FEATURES of each row. Null text has no words; all its counts are 0."""
+    """key, COUNTS and FEATURES of each row. Null text has no words; all its counts are 0.
+
+    Each row gives one row, repeated ones and null keys too; very long texts are read part by part; an empty table
+    gives no rows; other columns, whatever their names, change nothing.
+    """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -121,18 +141,22 @@ def _best(x: dict[str, np.ndarray], y: np.ndarray) -> Condition | None:
     return best
 
 
-def learn(x: dict[str, np.ndarray], positive: np.ndarray, seed: int = 42, most: int = 24, least: int = 5) -> list[Rule]:
-    """Rules for the positive class, in order. x: a column of each feature."""
+def learn(x: dict[str, np.ndarray], positive: np.ndarray, seed: int = 42, least: int = 5) -> list[Rule]:
+    """Rules for the positive class, in order. x: a column of each feature.
+
+    Neither rules nor their conditions are limited in number: only the error on the pruning part, fewer than `least`
+    positives left and conditions without gain end them. Fewer positives than that: no rules.
+    """
     rules: list[Rule] = []
     left = np.ones(len(positive), dtype=bool)
     rng = np.random.default_rng(seed)
     grow_part = rng.random(len(positive)) < 2 / 3
-    while len(rules) < most and (left & positive).sum() >= least:
+    while (left & positive).sum() >= least:
         g, q = left & grow_part, left & ~grow_part
         if not positive[g].any():
             break
         gx, gy, rule = {f: v[g] for f, v in x.items()}, positive[g], []
-        while not gy.all() and len(rule) < 6 and (c := _best(gx, gy)):
+        while not gy.all() and (c := _best(gx, gy)):
             hit = c.holds(gx)
             rule.append(c)
             gx, gy = {f: v[hit] for f, v in gx.items()}, gy[hit]
@@ -169,7 +193,8 @@ def verdict(rules: Sequence[Rule]) -> Column:
 def fit_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> list[Rule]:
     """Rules for label 0, from statistics() and a table of labels. Null labels don't count; of a key's labels the smallest does.
 
-    About `rows` labelled rows at most (by a hash of the key) come to the driver. Without labels of both kinds: no rules.
+    About `rows` labelled rows at most (by a hash of the key) come to the driver. Without labels of both kinds, and
+    for empty tables: no rules. Repeated rows count as often as they are there.
     """
     one = labels.select(labels[key].cast("long").alias("key"), labels[label].alias("label")).filter("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label"))
     n = one.count()
