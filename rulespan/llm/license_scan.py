@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, calm, key_text, raw
+from .common import batches, calm, key_text, raw, word_chunks
 
 #: Phrases that stand word for word, and their labels. Fixed values.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -139,9 +139,8 @@ def notice_spans(line: str, notices: tuple = NOTICES) -> list[tuple[str, int, in
 
 
 def scan_text(text: bytes, notices: tuple = NOTICES) -> tuple[int, list[tuple[str, int]], list[tuple]]:
-    words = text.translate(_SEPARATE).split(b" ")
-    words = [w for w in words if w]
-    joined = b" " + b" ".join(words) + b" "
+    body = b" ".join(b" ".join(w) for c in word_chunks(text.translate(_SEPARATE)) if (w := c.split()))
+    n, joined = body.count(b" ") + 1 if body else 0, b" " + body + b" "
     base = []
     for phrase, label in PHRASES:
         wanted = f" {phrase} ".encode()
@@ -150,14 +149,15 @@ def scan_text(text: bytes, notices: tuple = NOTICES) -> tuple[int, list[tuple[st
             word += joined.count(b" ", counted, at)
             base.append((label, word))
             counted, at = at, joined.find(wanted, at + 1)
-    return len(words), base, notice_spans(joined.decode("utf-8", "replace"), notices)
+    return n, base, notice_spans(joined.decode("utf-8", "replace"), notices)
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: tuple = NOTICES) -> DataFrame:
     """Per row of docs: key, n_words, base (label and word of each exact phrase), spans (notices within their edits).
 
     One narrow pass without a shuffle. Null text: as empty (no words, no spans). Null keys, repeated rows and
-    other columns, whatever their names, change nothing: each row gives one row.
+    other columns, whatever their names, change nothing: each row gives one row, and an empty table none. Of a very
+    long text memory holds the words joined, never a list of them all.
     """
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,7 +111,8 @@ def find_secrets(text: bytes) -> list[tuple[str, int, int]]:
 def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key and its spans. One narrow pass without a shuffle.
 
-    Null text: as empty (no spans). Null keys, repeated rows and other columns change nothing.
+    Null text: as empty (no spans). Null keys, repeated rows and other columns, whatever their names, change nothing: each
+    row gives one row, and an empty table none. Very long texts are walked once; memory holds the text and its hits.
     """
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
