@@ -12,18 +12,19 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import batches, calm, key_text, materialise, open_fs, raw, shared_dir
+from .common import batches, calm, materialise, open_fs, raw, shared_dir, unused
 
 FANOUT = 16
-_LOCAL = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("best", pa.int64()), ("best_row", pa.int64()), ("text", pa.binary())])
-LOCAL = "key long, row long, rep long, hash long, n long, best long, best_row long, text binary"
+#: Of one task's rows of a content, the one that may stay (its number is `rep`) carries content, hash and count.
+_LOCAL = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+LOCAL = "key long, row long, rep long, hash long, n long, text binary"
 _CLASS = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
 CLASS = "rep long, keep_id long, keep_row long, group_size long, text_sha256 string"
 
@@ -138,74 +139,100 @@ def grace(records: Iterator[Record], folder: str, budget: int, level: int = 0, s
             f.drop()
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 32 << 20, row: str | None = None) -> DataFrame:
-    """Per row of docs: key, row, keep_id, group_size, kept, text_sha256; one row of each content is kept.
-
-    Texts are equal when identical; null counts as empty. The row with the largest key stays, null keys being
-    least; of rows that share both key and text one stays. An empty table gives no rows.
-    budget: bytes of distinct contents that one task holds; more go to spill files.
-    row: a column of unique longs that names rows in the result; without it rows are numbered.
-    """
+def _dealt(docs: DataFrame, key: str, text: str, budget: int, carry: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(local, classed): a row for each row of docs with its number, its class's number in its task, and carried columns
+    c0, c1, ...; and the class of each of those numbers. local is a written table, so numbers no longer change."""
     spark = docs.sparkSession
-    source = key_text(docs, key, text, *([row] if row else []))
-    if row:
-        source = source.withColumnRenamed(row, "own_row")
-
-    row_given = row is not None
+    # null texts count as empty, but stay null in what is carried
+    source = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
+    held = [f"c{i}" for i in range(len(carry))]
 
     def collapse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 36
-
-        def flush(table: Table, members: list, stats: list):
-            reps: dict[int, int] = {}
-            for k, row, e in members:
-                n, best, best_row = stats[e]
-                if e in reps:
-                    yield k, row, reps[e], None, None, None, None, None
+        i = TaskContext.get().partitionId() << 36
+        held_back: list[pa.RecordBatch] = []
+        table, members, stats, size = Table(), [], [], 0
+
+        def flush():
+            first = held_back[0].column("row")[0].as_py()
+            total = sum(b.num_rows for b in held_back)
+            cols = {c: [None] * total for c in ("hash", "n", "text")}
+            for e, (n, _, best_row) in enumerate(stats):
+                h = table.hashes[e]
+                at = best_row - first
+                cols["hash"][at], cols["n"][at], cols["text"][at] = h - (1 << 64) if h >> 63 else h, n, table.texts[e]
+            done = 0
+            for b in held_back:
+                part = {c: pa.array(v[done : done + b.num_rows], _LOCAL.field(c).type) for c, v in cols.items()}
+                part["rep"] = pa.array([stats[e][2] for e in members[done : done + b.num_rows]], pa.int64())
+                done += b.num_rows
+                yield pa.RecordBatch.from_arrays([part[c] if c in part else b.column(c) for c in (*_LOCAL.names, *held)], names=[*_LOCAL.names, *held])
+
+        for b in parts:
+            keys, rows = b.column("key").to_pylist(), range(i, i + b.num_rows)
+            i += b.num_rows
+            for k, t, row in zip(keys, raw(b.column("text")), rows):
+                h = xxhash.xxh64_intdigest(t)
+                e = table.find(h, t)
+                if e < 0:
+                    e = table.put(e, h, t)
+                    stats.append([1, k, row])
                 else:
-                    reps[e] = row
-                    h = table.hashes[e]
-                    yield k, row, row, h - (1 << 64) if h >> 63 else h, n, best, best_row, table.texts[e]
-
-        def rows():
-            table, members, stats, i = Table(), [], [], 0
-            for part in parts:
-                numbered = part.column("own_row").to_pylist() if row_given else range(base + i, base + i + part.num_rows)
-                i += part.num_rows
-                for k, t, row in zip(part.column("key").to_pylist(), raw(part.column("text")), numbered):
-                    h = xxhash.xxh64_intdigest(t)
-                    e = table.find(h, t)
-                    if e < 0:
-                        e = table.put(e, h, t)
-                        stats.append([1, k, row])
-                    else:
-                        s = stats[e]
-                        s[0] += 1
-                        if better((k, row), (s[1], s[2])):
-                            s[1], s[2] = k, row
-                    members.append((k, row, e))
-                    if table.size > budget or len(members) > 200_000:
-                        yield from flush(table, members, stats)
-                        table, members, stats = Table(), [], []
-            yield from flush(table, members, stats)
-
-        yield from batches(rows(), _LOCAL, 1000)
-
-    local = materialise(source.mapInArrow(calm(collapse), LOCAL), "grace-local")
+                    s = stats[e]
+                    s[0] += 1
+                    if better((k, row), (s[1], s[2])):
+                        s[1], s[2] = k, row
+                members.append(e)
+            slim = [c for c in b.schema.names if c != "text"]
+            held_back.append(pa.RecordBatch.from_arrays([*(b.column(c) for c in slim), pa.array(rows, pa.int64())], names=[*slim, "row"]))
+            size += sum(b.column(c).nbytes for c in held)
+            if table.size > budget or len(members) > 200_000 or size > budget:
+                yield from flush()
+                held_back, table, members, stats, size = [], Table(), [], [], 0
+        if members:
+            yield from flush()
+
+    schema = LOCAL + "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in held)
+    local = materialise(source.mapInArrow(calm(collapse), schema), "grace-local")
     folder = shared_dir(spark, "grace-spill")
 
     def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for part in parts:
-                c = [part.column(x).to_pylist() for x in ("hash", "rep", "n", "best", "best_row", "text")]
-                for h, *rest in zip(*c):
-                    yield (h & 0xFFFFFFFFFFFFFFFF, *rest)
+                for h, rep, n, best, t in zip(*(part.column(x).to_pylist() for x in ("hash", "rep", "n", "key", "text"))):
+                    yield h & 0xFFFFFFFFFFFFFFFF, rep, n, best, rep, t
 
         yield from batches(grace(records(), folder, budget), _CLASS)
 
-    heads = local.filter("text is not null").select("hash", "rep", "n", "best", "best_row", "text")
-    classed = heads.repartition("hash").mapInArrow(calm(classes), CLASS)
+    heads = local.filter("text is not null").select("hash", "rep", "n", "key", "text")
+    return local, heads.repartition("hash").mapInArrow(calm(classes), CLASS)
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 32 << 20) -> DataFrame:
+    """Per row of docs: key, row, keep_id, group_size, kept, text_sha256; one row of each content is kept.
+
+    Texts are equal when identical; null counts as empty. The row with the largest key stays, null keys being
+    least; of rows that share both key and text one stays. Rows are numbered. An empty table gives no rows; other
+    columns, whatever their names, change nothing.
+    budget: bytes of distinct contents that one task holds, and the longest content; more go to spill files.
+    """
+    local, classed = _dealt(docs, key, text, budget, ())
     kept = F.col("row") == F.col("keep_row")
     return local.select("key", "row", "rep").join(classed, "rep").select("key", "row", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 32 << 20) -> DataFrame:
+    """The rows of docs that exact_groups() keeps, with all columns as they were.
+
+    The row that stays is one of those that carry their class's content, so whole rows are taken from the table of the
+    first pass; docs is read once. A null text that stays is null.
+    """
+    others = [c for c in docs.columns if c != text]
+    null = unused(docs.columns, "null")
+    local, classed = _dealt(docs.withColumn(null, docs[text].isNull()), key, text, budget, [*others, null])
+    gone = classed.filter("rep != keep_row").select("rep")
+    heads = local.filter("text is not null").join(gone, "rep", "left_anti")
+    place = {c: F.col(f"c{i}") for i, c in enumerate([*others, null])}
+    place[text] = F.when(~place[null], F.col("text").cast(docs.schema[text].dataType))
+    return heads.select(*(place[c].alias(c) for c in docs.columns))
