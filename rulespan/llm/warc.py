@@ -1,7 +1,8 @@
 """WARC archives in which every record is a Zstandard frame and a dictionary leads the file.
 
 A file starts with a skippable frame (0x184D2A5D) that holds the dictionary; each record follows as a frame of its
-own, compressed with it, so that a reader can start at any record. The dictionary is trained on records of the file.
+own, compressed with it, so that a reader can start at any record. The dictionary is trained on records of the file;
+where they are too few or too alike to train on, it is raw content: the records' own bytes.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from .common import batches, calm, materialise, open_fs, raw, shared_dir, write_
 DICT_MAGIC = 0x184D2A5D
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
-#: Bytes of a file's dictionary, and of the records it is trained on, which are taken evenly over a file's first records.
-DICT_BYTES, SAMPLE_BYTES = 64 << 10, 4 << 20
+#: Bytes of a file's dictionary, and of the sample it is trained on: parts of records of PART_BYTES, taken evenly over a
+#: file's first HELD_BYTES of records, which a task holds until then.
+DICT_BYTES, SAMPLE_BYTES, PART_BYTES, HELD_BYTES = 64 << 10, 4 << 20, 32 << 10, 16 << 20
 #: Bytes of a dictionary's segments: given, not searched for, which would take ten times as long.
 SEGMENT = 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,22 +78,19 @@ def parse_record(record: bytes) -> dict:
 
 
 def train(records: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary, or nothing where records are too few to train on."""
+    """A dictionary for the records; empty only where there are none."""
     import zstandard
 
-    sample, most = [], SAMPLE_BYTES
-    step = max(1, sum(map(len, records)) // most)
-    for r in records[::step]:
-        sample.append(r[: 128 << 10])
-    if len(sample) < 16:
-        return b""
+    parts = [r[i : i + PART_BYTES] for r in records for i in range(0, len(r), PART_BYTES)]
+    sample = parts[:: max(1, sum(map(len, parts)) // SAMPLE_BYTES)]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample, k=SEGMENT, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        # raw content: matches are cheapest at its end, where the first records stand
+        return b"".join(reversed(sample))[-size:]
 
 
-def encode_archive(records: Iterable[bytes], held_bytes: int = 4 * SAMPLE_BYTES, level: int = 3) -> Iterator[bytes]:
+def encode_archive(records: Iterable[bytes], held_bytes: int = HELD_BYTES, level: int = 3) -> Iterator[bytes]:
     """The chunks of an archive: the dictionary is trained on the first held_bytes of records, then each record is a frame."""
     import zstandard
 
@@ -152,7 +151,12 @@ def decide(pages: DataFrame, key: str = "page_id", html: str = "html", url: str
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", folder: str | None = None, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT) -> DataFrame:
-    """Writes a record for each row; returns path and records of each archive. Null html is an empty payload, a null url no target; an empty table gives no archives."""
+    """Writes a record for each row; returns path and records of each archive.
+
+    Null html is an empty payload, a null url no target, a null key none in the record's id; repeated rows give a
+    record each; an empty table gives no archives. A task holds HELD_BYTES of records, or one record if it is longer.
+    Other columns, whatever their names, change nothing.
+    """
     folder = folder or shared_dir(pages.sparkSession, "warc")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
