@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, calm, key_text, materialise, raw, shared_dir, write_file
+from .common import batches, calm, materialise, raw, shared_dir, write_file
 from .token_files import TokenFile, encode_file
 from .tokens import default_path, encoder
 
@@ -82,15 +82,16 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
 
     targets: share by source; by default each source's share of all ids. Null text is as empty (the end id alone);
     null sources are one source of their own; null keys and repeated rows are packed as any others. An empty table
-    gives no pieces. Documents are dealt to partitions by a hash of key and text, so that each has about the mix of
-    the whole, encoded there once and kept in token files in the shared folder; sequence ids count through all
-    partitions without gaps.
+    gives no pieces; other columns, whatever their names, change nothing. Documents are dealt to partitions by a hash
+    of key and place, so that each has about the mix of the whole, encoded there once and kept in token files in the
+    shared folder; sequence ids count through all partitions without gaps. Very long texts are encoded whole and cut.
     """
     spark = docs.sparkSession
     path, folder = tokenizer or default_path(), shared_dir(spark, "packing")
     end = struct.pack("<I", end_id)
-    source_docs = key_text(docs, key, text, source).withColumnRenamed(source, "source") if source not in ("key", "text") else key_text(docs.withColumn("__source", docs[source]), key, text, "__source").withColumnRenamed("__source", "source")
-    dealt = source_docs.withColumn("source", F.col("source").cast("string")).repartition(F.xxhash64("key", "text"))
+    # a row's place is part of the hash: repeated rows are dealt to all partitions
+    source_docs = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), docs[source].cast("string").alias("source"))
+    dealt = source_docs.repartition(F.xxhash64("key", F.monotonically_increasing_id()))
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -114,10 +114,11 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:
-    """Writes docs in ascending key order (null keys first, equal keys by text) and returns a manifest.
+    """Writes docs in ascending key order (null keys first, equal keys by the text's first 32 characters, then by a hash of it) and returns a manifest.
 
     Manifest: file, path, docs, ids, start (ids in all files before). Text is range-partitioned by key and encoded
-    after that shuffle, once. Null text: as empty, the end id alone. An empty table gives no files.
+    after that shuffle, once; rows of one key, also of the null key, spread over ranges too, and repeated rows by their place. Null text: as empty, the end id alone. An empty table gives no files; other columns, whatever
+    their names, change nothing. A task holds one document's ids, however long, and a frame.
     """
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     path = tokenizer or default_path()
@@ -141,7 +142,9 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if totals[0]:
             yield pa.RecordBatch.from_pydict({"file": [part], "path": [at], "docs": [totals[0]], "ids": [totals[1]]})
 
-    dealt = key_text(docs, key, text).repartitionByRange("key").sortWithinPartitions("key", "text")
+    order = ("key", "head", "tie", "place")
+    dealt = key_text(docs, key, text).select("*", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "file long, path string, docs long, ids long"), "token-files")
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
@@ -151,7 +154,11 @@ _READ = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.i
 
 
 def read_token_files(manifest: DataFrame, ids: bool = True) -> DataFrame:
-    """Per document of the files: key, start, n_tokens, ids_crc32, and ids as bytes if asked for. One task a few files."""
+    """Per document of the files: key, start, n_tokens, ids_crc32, and ids as bytes if asked for. One task a few files.
+
+    start runs over all files in key order. Documents are read one at a time, repeated and empty ones too; a manifest
+    without files gives no rows.
+    """
     schema = _READ if ids else pa.schema(list(_READ)[:-1])
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
