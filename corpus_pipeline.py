@@ -1,27 +1,26 @@
 """A training corpus from documents: language, exact copies, near copies, mixture, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents, whatever
+further columns there are and whatever their names. An empty table gives an empty one. Rows are taken as they are: null
+keys, sources and languages stay, repeated rows are rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.functions.ship import ship
-from rulespan.llm.common import calm, raw, read_table, shared_dir
-from rulespan.llm.exact_dedup import exact_groups
+from rulespan.llm.common import calm, materialise, raw, read_table, shared_dir, unused
+from rulespan.llm.exact_dedup import distinct_rows
 from rulespan.llm.language_id import UNKNOWN, Model, fit, infer
-from rulespan.llm.mixing import mix
+from rulespan.llm.mixing import cut_spans, mix
 from rulespan.llm.packing import pack_documents
 from rulespan.llm.simhash import similar_groups
 
 #: A document whose main language has less than this share of its n-grams is rejected.
 LEAST_SHARE = 0.5
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -29,7 +28,11 @@ def _ddl(df: DataFrame) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which one language has at least LEAST_SHARE; texts that are null or have no letter go."""
+    """Keeps documents in which one language has at least LEAST_SHARE; texts that are null, empty or without a letter go.
+
+    Repeated rows are kept or go together. Where no row has a language, nothing is learned and all rows go. Very long
+    texts are judged whole.
+    """
     ship(spark)
     model = fit(docs)
     shared = spark.sparkContext.broadcast((model.languages, model.logp))
@@ -43,52 +46,45 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(calm(keep), _ddl(docs))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows of a written table have the same numbers whenever it is read with the same splits.
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text stays, that with the largest doc_id; null texts count as empty, null doc_ids as least.
 
-    Splits would follow the executors alive when a plan is made; a count of its own for the session keeps them.
+    Of rows equal in both one stays. Whole texts are compared, however long.
     """
-    conf, count = docs.sparkSession.conf, "spark.sql.files.minPartitionNum"
-    if not conf.get(count, None):
-        conf.set(count, str(docs.sparkSession.sparkContext.defaultParallelism))
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, that with the largest doc_id."""
     ship(spark)
-    rows = _numbered(docs)
-    gone = exact_groups(rows, row="__row").filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return distinct_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; groups are joined by pairs of five-word shingle similarity of 0.8 or more."""
+    """One document of each group stays; groups are joined by pairs of five-word shingle similarity of 0.8 or more.
+
+    Texts that are null or have no word are in no group and stay; of repeated texts one stays. The rows are written
+    once with numbers of their own, so that no number can change between two readings.
+    """
     ship(spark)
-    rows = _numbered(docs)
-    gone = similar_groups(rows, "__row", "text", k=5, similarity=0.8).filter("row != root").select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    row = unused(docs.columns, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    gone = similar_groups(rows, row, "text", k=5, similarity=0.8).filter("row != root").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each round that takes words of a document, with the words taken; a whole document keeps its text as it is."""
+    """A row for each round that takes words of a document, with the words taken; a whole document keeps its text as it is.
+
+    Texts that are null or have no word give no rows; null sources are one source; repeated rows are dealt each by
+    itself. n_chars, where it is there, follows the new text.
+    """
     ship(spark)
     names, at = docs.columns, docs.columns.index("text")
     lengths = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def cut(text: bytes, spans: list[dict], size: int) -> str:
-        if spans == [{"start": 0, "end": size}]:
-            return text.decode("utf-8", "replace")
-        places = [m.span() for m in _WORD.finditer(text)]
-        return "\n".join(text[places[s["start"]][0] : places[s["end"] - 1][1]].decode("utf-8", "replace") for s in spans)
-
     def emit(t: pa.Table) -> pa.Table:
         texts_in = t.column(f"c{at}").combine_chunks().cast(pa.binary()).to_pylist()
         index, texts = [], []
         for i, (text, size, spans) in enumerate(zip(texts_in, t.column("size").to_pylist(), t.column("spans").to_pylist())):
             for r in spans:
                 index.append(i)
-                texts.append(cut(text, r, size))
+                texts.append(cut_spans(text, [(s["start"], s["end"]) for s in r], size).decode("utf-8", "replace"))
         out = t.take(pa.array(index, pa.int64()))
         cols = {n: out.column(f"c{i}") for i, n in enumerate(names)}
         cols["text"] = pa.array(texts, pa.string())
@@ -100,7 +96,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 token ids, sources in the proportions that the mixture has."""
+    """Pieces of the documents in sequences of 2048 token ids, sources in the proportions that the mixture has.
+
+    Empty and null texts are packed as the end id alone, null sources as one source, repeated rows each by itself.
+    """
     ship(spark)
     return pack_documents(docs).withColumnRenamed("key", "doc_id")
 
