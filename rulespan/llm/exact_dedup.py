@@ -194,8 +194,8 @@ def _dealt(docs: DataFrame, key: str, text: str, budget: int, carry: Sequence[st
             yield from flush()
 
     schema = LOCAL + "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in held)
-    local = materialise(source.mapInArrow(calm(collapse), schema), "grace-local")
     folder = shared_dir(spark, "grace-spill")
+    local = materialise(source.mapInArrow(calm(collapse), schema), "grace-local", folder)
 
     def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():

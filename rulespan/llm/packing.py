@@ -89,9 +89,9 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     spark = docs.sparkSession
     path, folder = tokenizer or default_path(), shared_dir(spark, "packing")
     end = struct.pack("<I", end_id)
-    # a row's place is part of the hash: repeated rows are dealt to all partitions
+    # rows' places are part of the hash, 64 at a time: rows of one key are dealt to all partitions, and the parts of a document stay together
     source_docs = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), docs[source].cast("string").alias("source"))
-    dealt = source_docs.repartition(F.xxhash64("key", F.monotonically_increasing_id()))
+    dealt = source_docs.repartition(F.xxhash64("key", F.shiftright(F.monotonically_increasing_id(), 6)))
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,7 +119,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
                 names=["bin", "path", "source", "ids", "place", "which"],
             )
 
-    files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "bin long, path string, source string, ids long, place long, which binary"), "packing-files")
+    files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "bin long, path string, source string, ids long, place long, which binary"), "packing-files", folder)
 
     # one row for each bin and source; none for a document
     whole = files.agg(F.sum("ids")).first()[0] or 0

@@ -120,7 +120,8 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", text: str = "text",
     after that shuffle, once; rows of one key, also of the null key, spread over ranges too, and repeated rows by their place. Null text: as empty, the end id alone. An empty table gives no files; other columns, whatever
     their names, change nothing. A task holds one document's ids, however long, and a frame.
     """
-    folder = folder or shared_dir(docs.sparkSession, "tokens")
+    # a folder of our own goes with the manifest
+    own = [] if folder else [folder := shared_dir(docs.sparkSession, "tokens")]
     path = tokenizer or default_path()
     end = struct.pack("<I", end_id)
 
@@ -145,7 +146,7 @@ def write_token_files(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = ("key", "head", "tie", "place")
     dealt = key_text(docs, key, text).select("*", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
     dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
-    files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "file long, path string, docs long, ids long"), "token-files")
+    files = materialise(dealt.mapInArrow(calm(write, keep_tokens=True), "file long, path string, docs long, ids long"), "token-files", *own)
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 

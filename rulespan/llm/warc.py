@@ -157,7 +157,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", html: str = "html", u
     record each; an empty table gives no archives. A task holds HELD_BYTES of records, or one record if it is longer.
     Other columns, whatever their names, change nothing.
     """
-    folder = folder or shared_dir(pages.sparkSession, "warc")
+    # a folder of our own goes with the table of its files
+    own = [] if folder else [folder := shared_dir(pages.sparkSession, "warc")]
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -176,7 +177,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", html: str = "html", u
         if n:
             yield pa.RecordBatch.from_pydict({"path": [at], "records": [n]})
 
-    return materialise(decide(pages, key, html, url, least).mapInArrow(calm(write), "path string, records long"), "warc-files")
+    return materialise(decide(pages, key, html, url, least).mapInArrow(calm(write), "path string, records long"), "warc-files", *own)
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
