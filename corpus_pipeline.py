@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespan.functions.ship import ship
-from rulespan.llm.common import calm, materialise, raw, read_table, shared_dir, unused
+from rulespan.llm.common import calm, materialise, raw, read_table, unused
 from rulespan.llm.exact_dedup import distinct_rows
 from rulespan.llm.language_id import UNKNOWN, Model, fit, infer
 from rulespan.llm.mixing import cut_spans, mix
@@ -113,7 +113,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
