@@ -9,7 +9,7 @@ Texts are read in parts, so that memory holds counts or eight bytes a shingle, n
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import calm, discard, key_text, materialise, raw, word_chunks
+from .common import calm, key_text, materialise, raw, word_chunks
 from .components import connected_components
 
 SEED = 42
@@ -137,8 +137,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 #: Bands of MinHashes: a pair of similarity s shares a band's value with probability s^BAND_HASHES, for any kind of edit.
 BANDS, BAND_HASHES = 32, 6
-#: Rows that one copy of a pivot's text is compared with.
-COMPARED = 256
+#: Rows of a block whose pairs one task compares, their shingles together, and columns of the matrices it multiplies.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 4 << 20, 2048
 
 
 def band_values(hashes: np.ndarray, bands: int = BANDS, size: int = BAND_HASHES) -> np.ndarray:
@@ -185,70 +185,155 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(calm(make), "row long, set binary")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (row, set) have the Jaccard similarity.
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Common elements of each of the sets x and each of y (or of x again): a product of incidence matrices, some columns at a time."""
+    every = x if y is None else x + y
+    which = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    _, column, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    which, column = which[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    which, column = which[order], np.cumsum(np.diff(column[order], prepend=-1) > 0) - 1
+    out = np.zeros((len(x), len(y or x)), dtype=np.float64)
+    ends = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+    for first, lo, hi in zip(range(0, len(ends) * COLUMNS, COLUMNS), ends, ends[1:]):
+        dense = np.zeros((len(every), COLUMNS), dtype=np.float32)
+        dense[which[lo:hi], column[lo:hi] - first] = 1
+        out += dense[: len(x)] @ dense[0 if y is None else len(x) :].T
+    return out
 
-    A set a that many pairs share is copied once for COMPARED of them, and so dealt to many tasks; the other set goes
-    along once a pair. A task holds two sets at a time.
-    """
 
-    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.array([], dtype=np.uint64)
+def _like(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float) -> np.ndarray:
+    both = _overlaps(x, y)
+    total = np.add.outer([float(len(s)) for s in x], [float(len(s)) for s in y or x])
+    return both >= similarity * (total - both) - 1e-9
+
+
+def spanning_links(rows: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what all pairs of the similarity join, no more than rows less one."""
+    near = _like(sets, None, similarity)
+    free, out = np.ones(len(rows), dtype=bool), []
+    for i in range(len(rows)):
+        stack = [i] if free[i] else []
+        free[i] = False
+        while stack:
+            a = stack.pop()
+            met = np.flatnonzero(near[a] & free)
+            free[met] = False
+            out += [(rows[a], rows[b]) for b in met]
+            stack += met.tolist()
+    return out
+
+
+def _grouped(parts: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows that agree in the columns names: (their values, the rows' other columns)."""
+    last, held = None, []
+    for p in parts:
+        others = [c for c in p.schema.names if c not in names]
+        for at, row in zip(zip(*(p.column(c).to_pylist() for c in names)), zip(*(p.column(c).to_pylist() for c in others))):
+            if at != last:
+                if held:
+                    yield last, held
+                last, held = at, []
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint64)
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links within each block of a value. rows: value, block, row."""
+
+    def links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(parts, ("value", "block")):
+            held.sort(key=lambda r: r[0])
+            found = spanning_links([r for r, _ in held], [_numbers(s) for _, s in held], similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    dealt = rows.join(sets, "row").select("value", "block", "row", "set").repartition("value", "block").sortWithinPartitions("value", "block")
+    return dealt.mapInArrow(calm(links), "a long, b long")
+
+
+def _outer_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between the rows of a value outside its largest component and all its others. rows: value, row, comp, main (the largest component), copies, blocks."""
+
+    def links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, comps, at = [], {}, None
         for p in parts:
-            found = []
-            for a, b, t in zip(p.column("a").to_pylist(), p.column("b").to_pylist(), p.column("set").to_pylist()):
-                h = np.frombuffer(t, dtype=np.uint64)
-                if b is None:
-                    base = h
-                else:
-                    at = np.searchsorted(base, h)
-                    both = int((base[np.minimum(at, len(base) - 1)] == h).sum()) if len(base) else 0
-                    if both >= similarity * (len(base) + len(h) - both) - 1e-9:
-                        found.append((a, b))
+            cols = [p.column(c).to_pylist() for c in ("value", "block", "outer", "held", "row", "comp", "set")]
+            found, batch = [], []
+
+            def compare():
+                if held and batch:
+                    near = _like([_numbers(s) for _, _, s in batch], [_numbers(s) for _, _, s in held], similarity)
+                    for i, j in np.argwhere(near):
+                        (a, ca, _), (b, cb, _) = batch[i], held[j]
+                        while ca in comps:
+                            ca = comps[ca]
+                        while cb in comps:
+                            cb = comps[cb]
+                        if ca != cb:
+                            comps[max(ca, cb)] = min(ca, cb)
+                            found.append((a, b))
+                batch.clear()
+
+            for value, block, outer, is_held, row, comp, data in zip(*cols):
+                if (value, block, outer) != at:
+                    compare()
+                    held, comps, at = [], {}, (value, block, outer)
+                (held if is_held else batch).append((row, comp, data))
+            compare()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("copies"))
-    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").alias("copy"))
-    others = dealt.join(sets, F.col("b") == F.col("row")).select("a", "copy", "b", "set")
-    own = copies.join(sets, F.col("a") == F.col("row")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "set")
-    return own.union(others).repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").asc_nulls_first()).mapInArrow(calm(check), "a long, b long")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    hashed = lambda n: F.pmod(F.xxhash64("row", F.lit(2)), F.col(n))
+    out = rows.filter("comp != main").select("value", spread("blocks").alias("block"), hashed("copies").alias("outer"), F.lit(True).alias("held"), "row", "comp")
+    all_rows = rows.select("value", hashed("blocks").alias("block"), spread("copies").alias("outer"), F.lit(False).alias("held"), "row", "comp")
+    dealt = out.union(all_rows).join(sets, "row").repartition("value", "block", "outer").sortWithinPartitions("value", "block", "outer", F.col("held").desc())
+    return dealt.select("value", "block", "outer", "held", "row", "comp", "set").mapInArrow(calm(links), "a long, b long")
 
 
 def value_groups(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """row, root: the components of all pairs of rows that share a value and have the similarity.
 
-    members: value, row, n (the row's k-word shingles, distinct); texts: row, text. In each round the rows of a value
-    fall into parts by a hash, and the smallest row of a part is a pivot: it is compared with all rows of the value
-    outside its component, then leaves the value. A value is done when its rows are in one component. So a pair is
-    left out only where it can join nothing more; parts grow eightfold, so rounds grow with the logarithm of a value's
-    rows. Alike rows cost a comparison each; of rows that share a value and are unlike, all pairs of like sizes are compared.
+    members: value, row, n (the row's k-word shingles, distinct); texts: row, text. Of values with the same rows one
+    counts. Rows of a value are dealt to blocks of bounded size, and a task compares all pairs of a block by a product of
+    matrices: no pair is a row of a table, and no more links leave a block than join it. Where a value has several blocks, one row of each component
+    is compared next, which leaves most rows in one large component; then all rows outside it are compared with every
+    row of the value. So no pair of a value is left out but of rows that are in one component already.
     """
-    left, sets, tested, links, roots, parts = members.withColumn("comp", F.col("row")), None, None, None, None, 1
-    while True:
-        undone = left.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
-        former, left = left, materialise(left.join(undone, "value", "left_semi"), "similar-left")
-        discard(former.__dict__.get("_from"))
-        if left.isEmpty():
-            return roots if roots is not None else left.select("row", F.col("row").alias("root"))
-        if sets is None:
-            sets = materialise(shingle_sets(texts.join(left.select("row").distinct(), "row", "left_semi"), k), "similar-sets")
-        part = F.pmod(F.xxhash64("row", F.lit(parts)), F.lit(parts))
-        pivots = left.groupBy("value", part.alias("part")).agg(F.min(F.struct("row", "comp", "n")).alias("p"))
-        pivots = materialise(pivots.select(F.col("value").alias("pvalue"), F.col("p.row").alias("prow"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn")), "similar-pivots")
-        # sets of this similarity are of like sizes; one more for a hash that two shingles share
-        like = F.least("n", "pn") + 1 >= similarity * F.greatest("n", "pn")
-        met = left.join(pivots, (F.col("value") == F.col("pvalue")) & (F.col("comp") != F.col("pcomp")) & like)
-        pairs = met.select(F.least("row", "prow").alias("a"), F.greatest("row", "prow").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialise(similar_pairs(pairs, sets, similarity), "similar-links")
-        rest = left.join(pivots.select(F.col("pvalue").alias("value"), F.col("prow").alias("row")), ["value", "row"], "left_anti")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = connected_components(links).select(F.col("node").alias("row"), "root")
-            rest = rest.join(roots, "row", "left").select("value", "row", "n", F.coalesce("root", "row").alias("comp"))
-        rest._from, left = left, rest
-        parts *= 8
+    mark = [F.count("*").alias("m"), F.sum("n").alias("n"), *(F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
+    groups = members.groupBy("value").agg(*mark).filter("m > 1").groupBy("m", "x0", "x1").agg(F.min_by(F.struct("value", "n"), "value").alias("of"))
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("long")
+    groups = groups.select(F.col("of.value").alias("value"), blocks(F.col("m"), F.col("of.n")).alias("blocks"))
+    rows = materialise(members.join(groups, "value").select("value", "row", "n", "blocks"), "similar-rows")
+    sets = materialise(shingle_sets(texts.join(rows.select("row").distinct(), "row", "left_semi"), k), "similar-sets")
+    links = materialise(_block_links(rows.select("value", F.pmod(F.xxhash64("row", F.lit(2)), "blocks").alias("block"), "row"), sets, similarity), "similar-links")
+    large = materialise(rows.filter("blocks > 1"), "similar-large")
+    roots = connected_components(links)
+    if not large.isEmpty():
+
+        def in_components() -> DataFrame:
+            found = roots.select(F.col("node").alias("row"), "root")
+            return large.join(found, "row", "left").select("value", "row", "n", "blocks", F.coalesce("root", "row").alias("comp"))
+
+        firsts = in_components().groupBy("value", "comp").agg(F.min_by(F.struct("row", "n"), "row").alias("r")).select("value", "r.*")
+        firsts = materialise(firsts, "similar-firsts")
+        count = firsts.groupBy("value").agg(blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        firsts = firsts.join(count, "value").select("value", F.pmod(F.xxhash64("row", F.lit(3)), "blocks").alias("block"), "row")
+        links = links.union(materialise(_block_links(firsts, sets, similarity), "similar-links"))
+        roots = connected_components(links)
+        sizes = in_components().groupBy("value", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+        main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "comp", "n")).alias("top"))
+        main = main.filter(F.col("m") > F.col("top.m")).select("value", "main", blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("copies"))
+        outer = materialise(in_components().join(main, "value").select("value", "row", "comp", "main", "copies", "blocks"), "similar-outer")
+        links = links.union(materialise(_outer_links(outer, sets, similarity), "similar-links"))
+        roots = connected_components(links)
+    return roots.select(F.col("node").alias("row"), "root")
 
 
 def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity: float = 0.8, bands: int = BANDS, size: int = BAND_HASHES, radius: int = 2) -> DataFrame:

@@ -583,10 +583,13 @@ def test_similar_groups(spark):
     assert len(found) >= 0.93 * len(want) > 20
 
 
-def test_all_pairs_of_a_value_are_compared(spark):
-    """The smallest row of a value is unlike the others; some are joined to it only through a third row."""
+@pytest.mark.parametrize("block", [1024, 4])
+def test_all_pairs_of_a_value_are_compared(spark, monkeypatch, block):
+    """The smallest row of a value is unlike the others; some are joined to it only through a third row; values of one block and of several."""
+    from rulespan.llm import simhash
     from rulespan.llm.simhash import value_groups
 
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     rnd = random.Random(5)
     base = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
     # windows of one text: rows of near starts are alike, the first row and the last are not
@@ -604,6 +607,34 @@ def test_all_pairs_of_a_value_are_compared(spark):
     assert {i: found.get(i, i) for i in want} == want and len(set(want.values())) > 3
 
 
+def test_blocks_and_outer_rows_find_every_link(spark, monkeypatch):
+    """One value of 300 near copies of which many are like few others: as by all pairs, in blocks of 16 rows."""
+    from rulespan.llm import simhash
+
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for j in range(rnd.randint(0, 9)):
+            w[rnd.randrange(len(w))] = f"x{i}.{j}"
+        texts.append((i, " ".join(w)))
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)))) for i, t in texts}
+    want = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in range(a):
+                if want[a] != want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    lo, hi = sorted((want[a], want[b]))
+                    want, changed = {i: lo if r == hi else r for i, r in want.items()}, True
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    members = spark.createDataFrame([(7, i, len(x)) for i, x in sets.items()], "value long, row long, n long")
+    found = {r["row"]: r["root"] for r in got(simhash.value_groups(members, spark.createDataFrame(texts, "row long, text string"), 5, 0.8))}
+    assert {i: found.get(i, i) for i in want} == want and 5 < len(set(want.values())) < 250
+
+
 @pytest.mark.parametrize("low, high", [(0.8, 0.82), (0.82, 0.85), (0.85, 0.9)])
 def test_block_edits_are_found(spark, low, high):
     """Near copies that differ in one connected passage: added, dropped or replaced; the exact join is over the pairs planted."""
