@@ -22,23 +22,23 @@ TESTS = "path LIKE 'tests/%' AND ext = 'py' AND startswith(name, 'test_')"
 MANIFESTS = "path IN ('pyproject.toml', 'requirements.txt', 'requirements/base.txt')"
 ASTRO_CONFIG = "path IN ('astro.config.mjs', 'astro.config.ts')"
 
-#: Tests of a file by SQL text, in the order of their bits.
-ATOMS: list[str] = []
+#: (files in scope, test of such a file) by SQL text, in the order of their bits.
+ATOMS: list[tuple[str, str]] = []
 
 
-def _bit(test: str) -> int:
-    if test not in ATOMS:
-        ATOMS.append(test)
-    return ATOMS.index(test)
+def _bit(scope: str, test: str) -> int:
+    if (scope, test) not in ATOMS:
+        ATOMS.append((scope, test))
+    return ATOMS.index((scope, test))
 
 
 def _read(i: int, row: str) -> Column:
     return F.coalesce(F.col(f"{row}{i // 60}").bitwiseAND(F.lit(1 << i % 60)) != 0, F.lit(False))
 
 
-def atom(test: str, row: str = "own") -> Column:
-    """Whether a file of the repository passes the test; row `root`: of its monorepo's root."""
-    return _read(_bit(test), row)
+def atom(test: str, row: str = "own", scope: str = "true") -> Column:
+    """Whether a file of the repository in scope passes the test; row `root`: of its monorepo's root."""
+    return _read(_bit(scope, test), row)
 
 
 def has(*paths: str, row: str = "own") -> Column:
@@ -51,12 +51,11 @@ def folder(prefix: str) -> Column:
 
 def tok(scope: str, *tokens: str, low: bool = False, row: str = "own") -> Column:
     """Whether a file in scope holds any of the tokens."""
-    text = "lower(content)" if low else "content"
-    return reduce(lambda a, b: a | b, (atom(f"{scope} AND contains({text}, {_quote(t)})", row) for t in tokens))
+    return reduce(lambda a, b: a | b, (atom(f"contains({'low' if low else 'content'}, {_quote(t)})", row, scope) for t in tokens))
 
 
 def rx(scope: str, pattern: str) -> Column:
-    return atom(f"{scope} AND content RLIKE {_quote(pattern)}")
+    return atom(f"content RLIKE {_quote(pattern)}", scope=scope)
 
 
 def _quote(s: str) -> str:
@@ -112,7 +111,16 @@ def _missing(items: list[tuple[Column, str]]) -> Column:
     return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(s)) for c, s in items))), ", ")
 
 
-def repo_rules() -> list[Rule]:
+@dataclass(frozen=True)
+class Names:
+    """Names that belong to one organisation: its checker's repository, module names of its shared Python library, hosts of its own API."""
+
+    checker: str = ""
+    shared_modules: tuple[str, ...] = ("common_python_utils",)
+    api_hosts: tuple[str, ...] = ()
+
+
+def repo_rules(names: Names = Names()) -> list[Rule]:
     """Rules about a repository, in the order of the findings."""
     r: list[Rule] = []
     add = lambda *a, **k: r.append(Rule(*a, **k))
@@ -161,7 +169,7 @@ def repo_rules() -> list[Rule]:
     std = "repo_type = 'standards-repo'"
     add("META-001", "WARN", STRUCT, std, ~tok(WORKFLOWS, "semantic-release", "semantic_release", low=True), _t("No GitHub Actions workflow references semantic-release."))
     add("META-001", "WARN", STRUCT, std, ~has(".releaserc.json", ".releaserc.cjs", ".releaserc.yaml"), _t("Missing .releaserc.* configuration alongside semantic-release."))
-    wired = atom(f"{PKG} AND (contains(lower(get_json_object(content, '$.scripts')), 'semantic-release') OR exists(array_union(coalesce(json_object_keys(get_json_object(content, '$.dependencies')), array()), coalesce(json_object_keys(get_json_object(content, '$.devDependencies')), array())), k -> contains(lower(k), 'semantic-release')))")
+    wired = atom("(contains(lower(get_json_object(content, '$.scripts')), 'semantic-release') OR exists(array_union(coalesce(json_object_keys(get_json_object(content, '$.dependencies')), array()), coalesce(json_object_keys(get_json_object(content, '$.devDependencies')), array())), k -> contains(lower(k), 'semantic-release')))", scope=PKG)
     add("META-001", "WARN", STRUCT, std, ~wired, _t("package.json lacks semantic-release wiring (script or dependency)."))
     add("META-001", "WARN", STRUCT, std, ~(tok(WORKFLOWS, "push:", low=True) & tok(WORKFLOWS, "main", low=True)), _t("No workflow appears to trigger on push to main."))
     for word in ("version", "updated"):
@@ -201,7 +209,7 @@ def repo_rules() -> list[Rule]:
     add("FE-005", "WARN", STRUCT, "is_react", tok("path LIKE 'src/%' AND ext = 'tsx'", "<form", "<Form") & ~(pkg_low('"react-hook-form"') & pkg_low('"zod"')), _t("Form components exist but react-hook-form and/or zod is missing."))
     for rule, word, text in (("TEST-001", "normalization", "No normalization test found."), ("TEST-002", "dedup", "No deduplication test found."), ("TEST-004", "shape", "No output shape test found.")):
         add(rule, "WARN", TEST, "is_pipeline", tests & ~tok(TESTS, word, low=True), _t(text), wrapped=False)
-    add("PIPE-009", "WARN", PIPE, "is_pipeline AND name <> 'evaluator-cog'", src & ~tok(SRC_PY, "pipeline_eval", "post_evaluation", "/v1/evaluations", "evaluate_pipeline_run"), _t("Pipeline cog source has no clear evaluation-step signal."))
+    add("PIPE-009", "WARN", PIPE, f"is_pipeline AND name <> {_quote(names.checker)}", src & ~tok(SRC_PY, "pipeline_eval", "post_evaluation", "/v1/evaluations", "evaluate_pipeline_run"), _t("Pipeline cog source has no clear evaluation-step signal."))
     add("CD-015", "ERROR", CD, "is_pipeline", src & tok(SRC_PY, "flow.deploy(", "work_pool_name"), _t("work pool pattern detected — flow.deploy() or work_pool_name found."))
     add("CD-015", "ERROR", CD, "is_pipeline", src & tok("path = 'prefect.yaml'", "work_pool"), _t("work_pool configuration found in prefect.yaml."))
     add("CD-015", "WARN", CD, "is_pipeline", src & ~tok(SRC_PY, "prefect.serve(", "flow.serve("), _t("No prefect.serve() call found in source — flow registration pattern missing or unverifiable."))
@@ -237,7 +245,7 @@ def repo_rules() -> list[Rule]:
     add("API-011", "ERROR", STRUCT, "is_api", ~any_ci, _t("api-service has no .github/workflows/ci.yml — migration steps cannot be verified."))
     add("API-011", "ERROR", STRUCT, API_PY, any_ci & ~both_ci("alembic upgrade"), _t("ci.yml has no 'alembic upgrade head' step."))
     add("API-011", "ERROR", STRUCT, API_TS, any_ci & ~both_ci("drizzle-kit push", "drizzle-kit migrate"), _t("ci.yml has no 'drizzle-kit push' or 'drizzle-kit migrate' step."))
-    shared_py = tok(SRC_PY, "common_python_utils", "mini_app_polis")
+    shared_py = tok(SRC_PY, *names.shared_modules)
     add("CD-010", "ERROR", STRUCT, COG, ~tok(ENV, "HEALTHCHECKS_URL") | ~tok(SRC_PY, "healthchecks.io", low=True), _t("Layer 1 missing: no HEALTHCHECKS_URL env var or healthchecks.io ping in source."))
     add("CD-010", "ERROR", STRUCT, RUNTIME, ~shared_py, _t("Layer 2 missing: no common-python-utils logger usage."))
     add("CD-010", "ERROR", STRUCT, RUNTIME, ~tok(SRC_PY, "sentry_sdk") | ~tok(ENV, "SENTRY_DSN"), _t("Layer 3 missing: no sentry_sdk.init() or SENTRY_DSN in .env.example."))
@@ -249,7 +257,7 @@ def repo_rules() -> list[Rule]:
     add("CD-014", "WARN", STRUCT, "is_static", ~pages & ~netlify & ~vercel & ~gh, _t("No deployment target detected (no Cloudflare Pages markers in ci.yml or README)."))
     add("MONO-001", "ERROR", CROSS, "mono_rules AND language = 'typescript' AND root IS NOT NULL", ~tok(PKG, "common-typescript-utils") & ~tok(PKG, "common-typescript-utils", row="root"), _t("Monorepo: common-typescript-utils absent from both workspace root and per-app package.json."))
     add("MONO-002", "WARN", STRUCT, "mono_rules AND root IS NOT NULL", ~has(".github/workflows/ci.yml", row="root"), _t("Monorepo root missing .github/workflows/ci.yml."))
-    add("PIPE-011", "WARN", PIPE, "is_pipeline AND NOT is_trigger", src & ~folder("src/evaluator_cog") & ~tok(SRC_PY, "pipeline_eval", "evaluation_client", "/v1/evaluations", "/v1/pipeline_evaluations", "PipelineEvaluator"), _t("No AI evaluation task found in pipeline-cog source."))
+    add("PIPE-011", "WARN", PIPE, "is_pipeline AND NOT is_trigger", src & ~(folder("src/" + names.checker.replace("-", "_")) if names.checker else F.lit(False)) & ~tok(SRC_PY, "pipeline_eval", "evaluation_client", "/v1/evaluations", "/v1/pipeline_evaluations", "PipelineEvaluator"), _t("No AI evaluation task found in pipeline-cog source."))
     for gate, items in (
         (f"({RUNTIME}) AND language = 'python'", [(~tok(SRC_PY, "sentry_sdk"), "Sentry"), (~shared_py, "structured logging (common-python-utils)")]),
         (f"({RUNTIME}) AND language <> 'python'", [(~tok(SRC_TS, "@sentry/", "Sentry.init"), "Sentry"), (~tok(SRC_TS, "common-typescript-utils"), "structured logging (common-typescript-utils)")]),
@@ -301,6 +309,13 @@ _RELAY = "(contains(low, '{}')".format("') OR contains(low, '".join(RELAYS)) + "
 _DISPATCH = r"content RLIKE '(?i)(httpx|requests)\\.(post|put)\\([^\\)]*api\\.github\\.com/[^\"\'\\)]+/dispatches'"
 _CODE = f"ext IN ('py', 'ts', 'tsx', 'js') AND {_NO_TESTS} AND NOT contains(path, '.github/workflows/')"
 
+def file_rules(names: Names = Names()) -> tuple[tuple[str, str, str, str, str, str], ...]:
+    hosts = "".join(f"contains(content, {_quote(h)}) OR " for h in names.api_hosts)
+    return FILE_RULES + (
+        ("CD-012", "WARN", CD, f"({RUNTIME}) AND language = 'python'", f"{SRC_PY} AND {_NO_TESTS} AND NOT contains(content, 'X-Internal-API-Key') AND ({hosts}contains(content, '\"/v1/')) AND contains(content, 'httpx') AND NOT low RLIKE 'clerk|jwt|get_token|authenticate'", "Internal HTTP client without Clerk/JWT acquisition pattern (%s)."),
+    )
+
+
 #: Rules about a file: rule, severity, dimension, gate, test (low: the content in lower case), text with the path in place of %s.
 FILE_RULES = (
     ("FE-007", "ERROR", STRUCT, ANY, SRC_PY + r" AND content RLIKE 'https?://(localhost|[^\n]*railway\\.app|[^\n]*up\\.railway\\.app)'", "Hardcoded API URL found in %s."),
@@ -315,7 +330,6 @@ FILE_RULES = (
     ("PIPE-008", "WARN", STRUCT, "is_pipeline", _CODE + r" AND low RLIKE '\\bgh\\s+workflow\\s+run\\b'", "gh workflow run invocation in %s."),
     ("PIPE-008", "WARN", STRUCT, "is_pipeline", _CODE + r" AND content RLIKE '\\[\\s*[\'\"]gh[\'\"]\\s*,\\s*[\'\"]workflow[\'\"]\\s*,\\s*[\'\"]run[\'\"]'", "gh workflow run argv-style invocation in %s."),
     ("CD-012", "WARN", CD, f"({RUNTIME}) AND language = 'python'", f"{SRC_PY} AND {_NO_TESTS} AND contains(content, 'X-Internal-API-Key')", "X-Internal-API-Key header referenced in %s."),
-    ("CD-012", "WARN", CD, f"({RUNTIME}) AND language = 'python'", f"{SRC_PY} AND {_NO_TESTS} AND NOT contains(content, 'X-Internal-API-Key') AND (contains(content, 'api.kaianolevine') OR contains(content, '\"/v1/')) AND contains(content, 'httpx') AND NOT low RLIKE 'clerk|jwt|get_token|authenticate'", "Internal HTTP client without Clerk/JWT acquisition pattern (%s)."),
     ("PIPE-002", "WARN", PIPE, "is_pipeline", f"{SRC_PY} AND {_NO_TESTS} AND contains(content, 'session.add(') AND NOT contains(low, 'on_conflict') AND NOT contains(content, 'merge(')", "session.add() without merge()/on_conflict in %s."),
     ("PIPE-002", "WARN", PIPE, "is_pipeline", f"{SRC_PY} AND {_NO_TESTS}" + r" AND content RLIKE '(?i)\\bINSERT\\s+INTO\\b' AND NOT contains(low, 'on conflict')", "Raw INSERT without ON CONFLICT in %s."),
     ("PIPE-005", "WARN", PIPE, "is_pipeline", f"path LIKE 'src/%' AND ext IN ('py', 'ts') AND {_NO_TESTS} AND contains(content, 'files().delete(')", "Drive files().delete() referenced in %s."),

@@ -1,4 +1,9 @@
-"""All rules over all repositories as one plan: files and repositories in, findings and checked rules out."""
+"""All rules over all repositories: files and repositories in, findings and checked rules out.
+
+Contents are read in two passes, one for the tests of files and one for what needs a parse. Both leave small rows: the
+bits of a repository, and the facts of its files. The facts are written once, as every rule that compares files
+reads them.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.source_facts import source_rows
+from ..functions.store import materialise
 from ..operators import findings as fd
 from ..operators import probes as pr
 from ..operators import rules as ru
@@ -50,7 +56,6 @@ FLAGS = {
     "is_fastapi": "language = 'python' AND repo_type = 'api-service'",
     "dod": "CASE WHEN repo_type IN ('pipeline-cog', 'trigger-cog', 'evaluator-service') THEN 'new_cog' WHEN repo_type = 'api-service' THEN if(language = 'python', 'new_fastapi_service', 'new_hono_service') WHEN repo_type = 'static-site' THEN 'new_frontend_site' WHEN repo_type = 'react-app' THEN 'new_react_app' END",
 }
-CODE_LIKE = r"^(\w+\s*=|def\s+\w+|class\s+\w+|if\s+\w+.*:|for\s+\w+\s+in\b|return\s+\w+|import\s+\w+|from\s+\w+|\w+\(.*\)\s*$)"
 _NAME = r'(?m)^\s*name\s*=\s*"([^"]+)"'
 
 
@@ -71,19 +76,29 @@ def prepared(files: DataFrame) -> DataFrame:
 
 def repo_facts(files: DataFrame) -> DataFrame:
     """One row a repository: the bits of all atoms, first paths, lines of code, names. One pass, one shuffle of small rows."""
-    chunks = [ru.ATOMS[i : i + 60] for i in range(0, len(ru.ATOMS), 60)]
-    bits = [F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(t), F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for i, t in enumerate(c)))).alias(f"own{j}") for j, c in enumerate(chunks)]
+    none, either = F.lit(0).cast("long"), lambda x: reduce(lambda a, b: a.bitwiseOR(b), x)
+
+    def chunk(atoms: list[tuple[str, str]]) -> Column:
+        """The bits of one file; a scope is tested once for all of its tests."""
+        scopes: dict[str, list[Column]] = {}
+        for i, (scope, test) in enumerate(atoms):
+            scopes.setdefault(scope, []).append(F.when(F.expr(test), F.lit(1 << i)).otherwise(none))
+        return either(F.when(F.expr(scope), either(tests)).otherwise(none) for scope, tests in scopes.items())
+
+    bits = [F.bit_or(chunk(ru.ATOMS[i : i + 60])).alias(f"own{i // 60}") for i in range(0, len(ru.ATOMS), 60)]
     firsts = [F.min(F.when(F.expr(t), F.col("path"))).alias(n) for n, t in ru.FIRST_PATHS.items()]
     code = F.expr("startswith(path, 'src/') AND ext IN ('py', 'ts', 'tsx', 'js', 'mjs') AND content <> ''")
     loc = F.sum(F.when(code, F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"))).otherwise(0)).alias("loc")
     project = F.max(F.when(F.col("path") == "pyproject.toml", F.regexp_extract("content", _NAME, 1))).alias("project_name")
     package = F.regexp_extract("path", r"^src/([^/]+)/", 1)
     readme = F.max(F.when(F.col("path") == "README.md", F.col("low"))).alias("readme")
-    return files.groupBy("repo").agg(*bits, *firsts, loc, project, F.min(F.when(~package.isin("", "__pycache__"), package)).alias("src_package"), readme)
+    any_of = lambda name, *paths: F.bool_or(F.col("path").isin(*paths)).alias(name)
+    flavor = [any_of("astro", "astro.config.mjs", "astro.config.ts"), any_of("vite", "vite.config.ts", "vite.config.js", "vite.config.mjs"), any_of("own_release", ".releaserc.json"), F.bool_or(F.col("path").startswith("tests/")).alias("has_tests")]
+    return files.groupBy("repo").agg(*bits, *firsts, loc, project, F.min(F.when(~package.isin("", "__pycache__"), package)).alias("src_package"), readme, *flavor)
 
 
 def source_facts(files: DataFrame) -> DataFrame:
-    """repo, path, kind, text, detail of everything that needs a parse; a file's rows come from one pass over it."""
+    """repo, path, kind, text, detail of everything that needs a parse, written; a file's rows come from one pass over it."""
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -91,91 +106,86 @@ def source_facts(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["repo", "path", "kind", "text", "detail"])
 
-    wanted = files.filter("ext IN ('py', 'ts', 'tsx', 'js', 'jsx', 'astro') OR path IN ('package.json', '.releaserc.json', 'index.yaml')")
-    return wanted.select("repo", "path", "content").mapInArrow(scan, "repo string, path string, kind string, text string, detail string")
+    wanted = files.filter("ext IN ('py', 'ts', 'tsx', 'js', 'jsx', 'astro') OR path IN ('package.json', '.releaserc.json', 'index.yaml', '.env.example')")
+    return materialise(wanted.select("repo", "path", "content").mapInArrow(scan, "repo string, path string, kind string, text string, detail string"), "source-facts")
 
 
-def _cross(files: DataFrame, facts: DataFrame, repos: DataFrame) -> DataFrame:
-    """repo, rule_id, finding of the rules that compare files."""
+def _unseen(named: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """repo, name of the names (repo, name) that no text of their repository contains.
+
+    A repository's names, few and short, go as one array to each of its texts, which gives those that it contains:
+    a text is read once, whatever the number of names, and no text is grouped.
+    """
+    lists = named.groupBy("repo").agg(F.collect_set("name").alias("names"))
+    told = texts.join(lists, "repo").select("repo", F.explode(F.filter("names", lambda n: F.contains(F.col(text), n))).alias("name"))
+    return named.join(told.distinct(), ["repo", "name"], "left_anti")
+
+
+def _cross(files: DataFrame, facts: DataFrame, repos: DataFrame, own: DataFrame) -> DataFrame:
+    """repo, rule_id, finding of the rules that compare files. own: repo_facts()."""
     kind = lambda k: facts.filter(F.col("kind") == k)
     row = lambda df, rule, text: df.select("repo", F.lit(rule).alias("rule_id"), text.alias("finding"))
     out = []
-    stripped = F.trim(F.col("line"))
-    payload = F.trim(F.regexp_replace(stripped, r"^[#/ ]+", ""))
-    code = files.filter("startswith(path, 'src/') AND ext IN ('py', 'ts', 'tsx', 'astro') AND (contains(content, '#') OR contains(content, '//'))")
-    dead = pr.runs(pr.lines(code, ["repo", "path"]), ["repo", "path"], (stripped.startswith("#") | stripped.startswith("//")) & payload.rlike(CODE_LIKE), 3)
-    dead = dead.groupBy("repo", "path").agg((F.min("first_line") + 2).alias("line"))
-    out.append(row(dead, "DOC-008", F.format_string("Potential dead/commented-out code in %s near line %d.", "path", "line")))
-
     fields = kind("settings").select("repo", F.col("text").alias("key"), F.upper("text").alias("upper"), "detail")
     unknown = kind("access").select("repo", F.col("text").alias("key"), F.col("detail").alias("finding")).join(fields.select("repo").distinct(), "repo", "left_semi").join(fields, ["repo", "key"], "left_anti")
     out.append(row(unknown, "CFG-001", F.col("finding")))
     typed = fields.filter("detail = 'typed'").select("repo", "upper").distinct()
-    env = pr.lines(files.filter("path = '.env.example'"), ["repo"]).withColumn("s", F.trim("line"))
-    mark = F.lower("s").rlike("external|tooling")
-    shape = F.when(F.col("s").startswith("#"), F.when(mark, "M").otherwise("C")).when((F.col("s") == "") | ~F.col("s").contains("="), "B").otherwise("K")
-    env = env.withColumn("kind", shape)
-    env = env.withColumn("prev", pr.state_before(env, ["repo"], F.col("kind"), "C")).filter("kind = 'K' AND NOT (prev <=> 'M')").withColumn("key", F.trim(F.split("s", "=")[0])).withColumn("upper", F.upper("key"))
+    env = kind("env_key").select("repo", F.col("text").alias("key"), F.col("detail").alias("upper"))
     env = env.join(typed.select("repo").distinct(), "repo", "left_semi").join(typed, ["repo", "upper"], "left_anti")
     out.append(row(env, "CFG-002", F.format_string(".env.example key '%s' not declared on Settings.", "key")))
 
-    routes = kind("route").select("repo", F.col("text").alias("route")).distinct()
-    tests = files.filter(ru.TESTS).select("repo", F.col("content").alias("test"))
-    has_tests = files.filter("startswith(path, 'tests/')").select("repo").distinct()
-    seen = routes.join(tests, "repo", "left").groupBy("repo", "route").agg(F.coalesce(F.bool_or(F.col("test").contains(F.col("route"))), F.lit(False)).alias("seen"))
-    bare = seen.filter("NOT seen").join(has_tests, "repo", "left_semi")
-    top = pr.top_list(bare, ["repo"], F.col("route"), 5)
+    flags = own.select("repo", "astro", "vite", "own_release", "has_tests")
+    routes = kind("route").select("repo", F.col("text").alias("name")).distinct().join(flags.filter("has_tests").select("repo"), "repo", "left_semi")
+    top = pr.top_list(_unseen(routes, files.filter(ru.TESTS).select("repo", "content"), "content"), ["repo"], F.col("name"), 5)
     out.append(row(top, "TEST-010", F.concat(F.col("n").cast("string"), F.lit(" route(s) have no contract test referencing them: "), "first", F.when(F.col("n") > 5, " (and others)").otherwise(""), F.lit("."))))
 
-    flavor = files.groupBy("repo").agg(F.bool_or(F.expr(ru.ASTRO_CONFIG)).alias("astro"), F.bool_or(F.col("path").isin("vite.config.ts", "vite.config.js", "vite.config.mjs")).alias("vite")).filter("astro OR vite")
     wrong, right = F.when(F.col("astro"), "VITE_").otherwise("PUBLIC_"), F.when(F.col("astro"), "PUBLIC_").otherwise("VITE_")
-    env = kind("client_env").join(flavor, "repo").filter(F.startswith("text", wrong))
+    env = kind("client_env").join(flags.filter("astro OR vite"), "repo").filter(F.startswith("text", wrong))
     out.append(row(env, "XSTACK-004", F.concat("detail", F.lit(" uses "), wrong, F.lit(" prefix in a repo expecting "), right, F.lit("."))))
 
-    run = kind("run_url").select("repo", "path", F.col("text").alias("url"), "detail")
-    both = run.join(kind("build_url").select("repo", F.col("text").alias("url")).distinct(), ["repo", "url"], "left_semi").select("repo", "path").distinct()
+    run = kind("run_url").select("repo", "path", F.col("text").alias("name"), "detail")
+    both = run.join(kind("build_url").select("repo", F.col("text").alias("name")).distinct(), ["repo", "name"], "left_semi").select("repo", "path").distinct()
     out.append(row(both, "FE-009", F.format_string("Astro component performs runtime fetch of URL also used in frontmatter (%s).", "path")))
     docs = files.filter("path = 'README.md' OR (startswith(path, 'docs/') AND ext = 'md')").select("repo", "low")
-    told = run.join(docs, "repo", "left").groupBy("repo", "path", "url", "detail").agg(F.coalesce(F.bool_or(F.col("low").contains(F.col("url"))), F.lit(False)).alias("told"))
-    first = told.filter("NOT told").groupBy("repo", "path").agg(F.min_by("url", "detail").alias("url"))
-    out.append(row(first, "FE-010", F.format_string("Runtime fetch URL not documented in README/docs (%s: %s).", "path", "url")))
+    silent = _unseen(run.select("repo", "name").distinct(), docs, "low")
+    first = run.join(silent, ["repo", "name"], "left_semi").groupBy("repo", "path").agg(F.min_by("name", "detail").alias("name"))
+    out.append(row(first, "FE-010", F.format_string("Runtime fetch URL not documented in README/docs (%s: %s).", "path", "name")))
 
     release = kind("VER-008").select(F.col("repo").alias("at"), "text")
-    own = files.filter("path = '.releaserc.json'").select("repo").distinct().withColumn("own", F.lit(True))
-    place = repos.join(own, "repo", "left").select("repo", F.when(F.col("own"), F.col("repo")).otherwise(F.col("root")).alias("at"))
+    place = repos.join(flags, "repo", "left").select("repo", F.when(F.col("own_release"), F.col("repo")).otherwise(F.col("root")).alias("at"))
     out.append(row(place.join(release, "at"), "VER-008", F.col("text")))
-    for rule in ("FE-008", "META-003"):
+    for rule in ("DOC-008", "FE-008", "META-003"):
         out.append(row(kind(rule), rule, F.col("text")))
     return reduce(DataFrame.unionByName, out)
 
 
-def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(findings, checked).
+def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names: ru.Names = ru.Names()) -> tuple[DataFrame, DataFrame]:
+    """(findings, checked). A check that breaks off on a file gives a row of the rule CHECKER; the others go on.
 
     findings: repo, seq, rule_id, violation_id, severity, dimension, finding, suggestion (null where a rule was skipped), deferred; seq orders the kinds of rules,
     then their place in the list. checked: repo, rule_id, for every rule that applies, skipped ones too.
-    mono_rules: also run the two monorepo rules, which are off by default.
+    mono_rules: also run the two monorepo rules, which are off by default. names: what belongs to one organisation.
     """
-    rules = ru.repo_rules()
+    rules, by_path = ru.repo_rules(names), ru.file_rules(names)
     files = prepared(files)
     repos = repos.withColumn("repo_type", repo_type(F.col("repo_type"))).withColumn("mono_rules", F.lit(mono_rules))
     repos = repos.select("*", *(F.expr(e).alias(n) for n, e in FLAGS.items()))
-    facts = repo_facts(files)
+    facts = materialise(repo_facts(files), "repo-facts")
     n = -(-len(ru.ATOMS) // 60)
     roots = facts.select(F.col("repo").alias("root"), *(F.col(f"own{i}").alias(f"root{i}") for i in range(n)))
     init = files.filter("path RLIKE '^src/[^/]+/__init__\\\\.py$'").select("repo", F.regexp_extract("path", "^src/([^/]+)/", 1).alias("src_package"), F.col("low").alias("init"))
     own = repos.join(facts, "repo", "left").join(roots, "root", "left").join(init, ["repo", "src_package"], "left")
-    names = [F.coalesce(F.lower(c), F.lit("")) for c in ("project_name", "src_package")]
+    called = [F.coalesce(F.lower(c), F.lit("")) for c in ("project_name", "src_package")]
     texts = [F.coalesce(c, F.lit("")) for c in ("init", "readme")]
-    documented = reduce(lambda a, b: a & b, (t.contains(x) for t in texts for x in names))
-    split = (names[0] != "") & F.col("src_package").isNotNull() & (F.replace("project_name", F.lit("-"), F.lit("_")) != F.col("src_package"))
+    documented = reduce(lambda a, b: a & b, (t.contains(x) for t in texts for x in called))
+    split = (called[0] != "") & F.col("src_package").isNotNull() & (F.replace("project_name", F.lit("-"), F.lit("_")) != F.col("src_package"))
     own = own.withColumn("split_identity", F.coalesce(split & ~documented, F.lit(False))).fillna({"project_name": "", "loc": 0})
 
     entry = lambda i, r: F.struct(F.lit(i).alias("seq"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.dimension).alias("dimension"), F.when(F.coalesce(F.expr(r.gate) & r.test, F.lit(False)), r.text).alias("finding"), F.lit(r.wrapped).alias("wrapped"), F.lit(r.always).alias("always"))
     found = own.select("repo", F.explode(F.array(*(entry(i, r) for i, r in enumerate(rules)))).alias("x")).select("repo", "x.*").filter("finding IS NOT NULL")
 
     gates: dict[str, str] = {}
-    for rule, gate in [*((r.rule_id, r.gate) for r in rules if r.wrapped), *((x[0], x[3]) for x in ru.FILE_RULES), *((k, v[2]) for k, v in (ru.SOURCE_RULES | ru.CROSS_RULES).items())]:
+    for rule, gate in [*((r.rule_id, r.gate) for r in rules if r.wrapped), *((x[0], x[3]) for x in by_path), *((k, v[2]) for k, v in (ru.SOURCE_RULES | ru.CROSS_RULES).items())]:
         gates[rule] = f"({gates[rule]}) OR ({gate})" if rule in gates else gate
     every = dict(gates)
     for r in rules:
@@ -184,19 +194,22 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False) -> tu
     listed = F.array_compact(F.array(*(F.when(F.expr(g), F.struct(F.lit(k).alias("rule_id"), F.lit(k in gates).alias("wrapped"))) for k, g in every.items())))
     checked = repos.select("repo", "language", F.explode(listed).alias("x")).select("repo", "language", "x.*")
 
-    tests = F.array_compact(F.array(*(F.when(F.expr(t), F.struct(F.lit(1000 + i).alias("seq"), F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(dim).alias("dimension"), F.format_string(text, "path").alias("finding"))) for i, (rule, sev, dim, _, t, text) in enumerate(ru.FILE_RULES))))
+    tests = F.array_compact(F.array(*(F.when(F.expr(t), F.struct(F.lit(1000 + i).alias("seq"), F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(dim).alias("dimension"), F.format_string(text, "path").alias("finding"))) for i, (rule, sev, dim, _, t, text) in enumerate(by_path))))
     by_file = files.select("repo", F.explode(tests).alias("x")).select("repo", "x.*")
     facts_rows = source_facts(files)
     kinds = ru.SOURCE_RULES | ru.CROSS_RULES
     look = lambda i: F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v[i])))
     place = F.create_map(*(F.lit(x) for i, k in enumerate(kinds) for x in (k, 2000 + i)))
     from_source = facts_rows.filter(F.col("kind").isin(*ru.SOURCE_RULES)).select("repo", F.col("kind").alias("rule_id"), F.col("text").alias("finding"), F.col("path").endswith(".py").alias("py"))
-    from_cross = _cross(files, facts_rows, repos).select("repo", "rule_id", "finding", F.lit(None).cast("boolean").alias("py"))
+    from_cross = _cross(files, facts_rows, repos, facts).select("repo", "rule_id", "finding", F.lit(None).cast("boolean").alias("py"))
     parsed = from_source.union(from_cross).select("repo", place[F.col("rule_id")].alias("seq"), "rule_id", look(0)[F.col("rule_id")].alias("severity"), look(1)[F.col("rule_id")].alias("dimension"), "finding", "py")
     some = by_file.withColumn("py", F.lit(None).cast("boolean")).unionByName(parsed)
     some = some.join(checked.filter("wrapped").select("repo", "rule_id", "language"), ["repo", "rule_id"]).filter("rule_id NOT IN ('API-004', 'TEST-013') OR py = (language = 'python')")
     found = found.unionByName(some.select("repo", "seq", "rule_id", "severity", "dimension", "finding", F.lit(True).alias("wrapped"), F.lit(False).alias("always")))
 
+    broke = facts_rows.filter("kind = 'CHECKER'").join(repos.select("repo"), "repo", "left_semi").distinct()
+    found = found.unionByName(broke.select("repo", F.lit(3000).alias("seq"), F.lit("CHECKER").alias("rule_id"), F.lit("WARN").alias("severity"), F.lit(ru.STRUCT).alias("dimension"), F.col("text").alias("finding"), F.lit(False).alias("wrapped"), F.lit(True).alias("always")))
+
     cuts = lambda table: F.create_map(*(F.lit(k) if i == 0 else F.array(*map(F.lit, sorted(v))) for k, v in table.items() for i in (0, 1)))
     none = F.array().cast("array<string>")
     by_type = F.coalesce(F.try_element_at(cuts(TYPE_SKIPS), F.col("repo_type")), none)

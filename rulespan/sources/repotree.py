@@ -2,6 +2,8 @@
 
 Each folder directly below the given one is a repository and a partition. Spark's own file sources leave out names
 that begin with a dot or underscore, which many rules ask for. Any file system that pyarrow knows can be read.
+Files are read one at a time and whole. Option `largest`: bytes above which a file's content is null (generated
+bundles); by default there is no such limit.
 """
 
 from __future__ import annotations
@@ -12,8 +14,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "repo string, path string, name string, ext string, is_dir boolean, size long, content string, decode_ok boolean"
-#: Files above this many bytes have no content (generated bundles, archives); a row still tells that they are there.
-LARGEST = 16 << 20
 
 
 class RepoPartition(InputPartition):
@@ -23,7 +23,7 @@ class RepoPartition(InputPartition):
 
 class RepoReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.largest = options["path"], int(options.get("largest", 0))
         self.skip = {x for x in options.get("skip", ".git,node_modules,__pycache__").split(",") if x}
 
     def _store(self):
@@ -47,7 +47,7 @@ class RepoReader(DataSourceReader):
                 continue
             folder = i.type == fs.FileType.Directory
             content, ok = None, True
-            if not folder and i.size <= LARGEST:
+            if not folder and not (self.largest and i.size > self.largest):
                 with store.open_input_stream(i.path, compression=None) as f:
                     data = f.read()
                 try:
