@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import filled, strip
+
 #: What a rule's row replaces when both are there for a repo. Fixed values.
 SUPERSEDES = (("CD-010", "CD-002"), ("CD-010", "CD-009"))
 
@@ -26,7 +31,7 @@ def applies(applies_to: Column, *kinds: Column) -> Column:
 
 def exception_rule(raw: Column) -> Column:
     """The rule id of an exception line, a comment cut; null if nothing is left."""
-    return F.nullif(F.trim(F.split(raw, "#")[0]), F.lit(""))
+    return filled(F.split(raw, "#")[0])
 
 
 def skip_reason(exempt: Column, deferred: Column) -> Column:
@@ -75,16 +80,43 @@ def dedup_siblings(findings: DataFrame) -> DataFrame:
     return tagged.select(*cols).union(rest.select(*cols))
 
 
-def with_status(findings: DataFrame, repos: DataFrame, text: str) -> DataFrame:
-    """A SUCCESS row for each repo without findings."""
+def status_text(repo: Column, checks: str, version: Column | str) -> Column:
+    """The text of a repository without findings. checks: `deterministic`, `conformance`, or `LLM` where only a model's findings are posted."""
+    return F.concat(repo, F.lit(f" passed all {checks} checks for standards v"), version if isinstance(version, Column) else F.lit(version), F.lit("."))
+
+
+def with_status(findings: DataFrame, repos: DataFrame, text: Column | str) -> DataFrame:
+    """A SUCCESS row for each repo without findings; text may read the columns of repos."""
     clean = repos.join(findings.select("repo").distinct(), "repo", "left_anti")
-    row = clean.select("repo", F.lit("STATUS").alias("rule_id"), F.lit("SUCCESS").alias("severity"), F.lit(text).alias("finding"))
+    row = clean.select("repo", F.lit("STATUS").alias("rule_id"), F.lit("SUCCESS").alias("severity"), (text if isinstance(text, Column) else F.lit(text)).alias("finding"))
     return findings.unionByName(row, allowMissingColumns=True)
 
 
+def to_post(checked: DataFrame, reviewed: DataFrame, only_reviewed: bool) -> DataFrame:
+    """Findings of checks and of a model's review, or of the review alone."""
+    return reviewed if only_reviewed else checked.unionByName(reviewed, allowMissingColumns=True)
+
+
+def run_id(kind: str, version: Column, flow_run: Column, now: Column) -> Column:
+    """kind-version-run, the run being the flow run's id, or the time where there is none."""
+    return F.concat_ws("-", F.lit(kind), version, F.coalesce(filled(flow_run), F.date_format(now, "yyyyMMdd'T'HHmmss")))
+
+
+def standards_version(override: Column, fetched: Column) -> Column:
+    """The version that is set, else the one fetched, else `unknown`."""
+    return F.coalesce(filled(override), filled(fetched), F.lit("unknown"))
+
+
+def unmarked_rules(rules: DataFrame) -> DataFrame:
+    """rule_id, problem: a row for each rule whose notes do not say how it is checked, however often it is listed."""
+    first = F.split(F.regexp_replace(F.coalesce("check_notes", F.lit("")), r"^\s+", ""), "\n")[0]
+    problem = F.when(F.trim(first) == "", "no notes").when(~first.rlike(r"(?i)^\s*(DETERMINISTIC|LLM)\s+CHECK\s*\."), "no marker")
+    return rules.select(F.coalesce("rule_id", F.lit("<unknown>")).alias("rule_id"), problem.alias("problem")).filter("problem IS NOT NULL").groupBy("rule_id").agg(F.min("problem").alias("problem"))
+
+
 def severity(raw: Column, default: str = "INFO") -> Column:
-    """Upper case; WARNING is WARN; what isn't known is the default (INFO in the sink, WARN for direct findings)."""
-    s = F.upper(F.trim(F.coalesce(raw, F.lit(""))))
+    """Upper case, as it is otherwise; WARNING is WARN; what isn't known is the default (INFO in the sink, WARN for direct findings)."""
+    s = F.upper(F.coalesce(F.nullif(raw, F.lit("")), F.lit(default)))
     return F.when(s == "WARNING", "WARN").when(s.isin("CRITICAL", "ERROR", "WARN", "INFO", "SUCCESS"), s).otherwise(default)
 
 
@@ -94,15 +126,45 @@ def severity_counts(rows: DataFrame, group: str, sev: Column) -> DataFrame:
 
 
 def payload(findings: DataFrame) -> DataFrame:
-    """The sink's rows: empty texts go, severity is normalised, empty optional fields are null, the dimension has a default."""
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    return findings.filter(blank("finding").isNotNull()).select(
+    """The sink's rows: texts are stripped and empty ones go, severity is normalised, empty optional fields are null, the dimension has a default."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    return findings.filter(filled(F.col("finding")).isNotNull()).select(
         *(c for c in findings.columns if c not in ("finding", "severity", "dimension", "suggestion", "violation_id")),
-        F.trim("finding").alias("finding"), severity(F.col("severity")).alias("severity"), F.coalesce(blank("dimension"), F.lit("pipeline_consistency")).alias("dimension"),
+        strip(F.col("finding")).alias("finding"), severity(F.col("severity")).alias("severity"), F.coalesce(blank("dimension"), F.lit("pipeline_consistency")).alias("dimension"),
         blank("suggestion").alias("suggestion"), blank("violation_id").alias("violation_id"),
     )
 
 
+def unsent(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of payload() but those equal to their repository's latest stored row in run, text, severity and dimension. stored: repo, at, run_id, finding, severity, dimension."""
+    same = ["run_id", "finding", "severity", "dimension"]
+    last = latest(stored.select("repo", "at", *same), "repo", F.struct("at", *same)).select("repo", strip(F.col("run_id")).alias("run_id"), strip(F.col("finding")).alias("finding"), F.upper("severity").alias("severity"), strip(F.col("dimension")).alias("dimension"))
+    return rows.join(last, ["repo", *same], "left_anti")
+
+
+def deliver(rows: DataFrame, post: Callable[[dict], None], folder: str) -> DataFrame:
+    """Posts each row by post(row), which raises where it fails, and writes all rows to folder with `error`, null for those delivered.
+
+    The table is what is read afterwards, so no row is posted twice by reading it again; rows with an error are the
+    dead letters. A task that is lost after some posts is run again: the sink drops repeats by unsent().
+    """
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            errors = []
+            for row in b.to_pylist():
+                try:
+                    post(row)
+                    errors.append(None)
+                except Exception as x:
+                    errors.append(str(x) or type(x).__name__)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(errors, pa.string())], names=[*b.schema.names, "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", error string"
+    rows.mapInArrow(send, schema).write.mode("append").parquet(folder)
+    return rows.sparkSession.read.schema(schema).parquet(folder)
+
+
 def latest(rows: DataFrame, group: str, order: Column) -> DataFrame:
     """The latest row of each group, by partial aggregation."""
     return rows.groupBy(group).agg(F.max_by(F.struct(*(c for c in rows.columns if c != group)), order).alias("x")).select(group, "x.*")

@@ -5,7 +5,7 @@ files: repo, path, ext, content. Every function gives one plan for all repositor
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,12 @@ def missing_list(flags: DataFrame, names: dict[str, str], out: str = "missing")
     return flags.withColumn(out, F.array_join(F.array_compact(F.array(*(F.when(~F.col(c), F.lit(label)) for c, label in names.items()))), ", "))
 
 
+def first_of_texts(rows: DataFrame, text: str, order: Column, wanted: Sequence[str]) -> DataFrame:
+    """The first row, in order, of each text: grouped by SHA-256, so texts are neither shuffled nor sorted."""
+    best = F.min_by(F.struct(*wanted), order).alias("best")
+    return rows.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("mark")).agg(best).select("best.*")
+
+
 def first_per_group(rows: DataFrame, group: Sequence[str], order: Column, wanted: Sequence[str]) -> DataFrame:
     """The first row of each group in order, by partial aggregation."""
     best = F.min_by(F.struct(*wanted), order).alias("best")
@@ -67,23 +73,46 @@ def lines(files: DataFrame, keys: Sequence[str], content: str = "content") -> Da
     return files.select(*keys, F.posexplode(F.split(content, "\n")).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
 
 
-def runs(rows: DataFrame, keys: Sequence[str], test: Column, least: int) -> DataFrame:
-    """Runs of at least `least` consecutive lines that pass the test: keys, first line, length."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    hit = rows.filter(test).withColumn("island", F.col("pos") - F.row_number().over(w))
-    return hit.groupBy(*keys, "island").agg(F.min("pos").cast("long").alias("first_line"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("island")
+def runs(files: DataFrame, keys: Sequence[str], content: str, test: Callable[[Column], Column], least: int) -> DataFrame:
+    """Runs of at least `least` consecutive lines that pass the test: keys, first_line, n.
+
+    All of a file is in its row, so its lines become marks, a character each, and runs are matches in that text: no
+    line is a row and nothing is shuffled.
+    """
+    marks = F.array_join(F.transform(F.split(content, "\n"), lambda x: F.when(test(x), "x").otherwise(".")), "")
+    found = F.regexp_extract_all(F.regexp_replace(marks, f"(x{{{least},}})", "$1|"), F.lit(r"[x.]*\|"), F.lit(0))
+    at = files.select(*keys, found.alias("parts"))
+    # each part ends with a run and a bar; its place is the length of the parts before it
+    place = F.transform("parts", lambda p, i: F.struct(F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + F.length(x) - 1).alias("before"), p.alias("part")))
+    part = at.select(*keys, F.explode(place).alias("p"))
+    n = F.length(F.regexp_extract("p.part", r"(x+)\|$", 1)).cast("long")
+    return part.select(*keys, (F.col("p.before") + F.length("p.part") - n).alias("first_line"), n.alias("n"))
+
 
+def after_state(files: DataFrame, keys: Sequence[str], content: str, kind: Callable[[Column], Column], skip: str, wanted: str, but: str) -> DataFrame:
+    """keys, pos (from 1) of the lines of kind `wanted` whose last line before, those of kind `skip` left out, is not of kind `but`.
 
-def state_before(rows: DataFrame, keys: Sequence[str], kind: Column, skip: str) -> Column:
-    """The last kind in the lines before, those of kind `skip` left out."""
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return F.last(F.when(kind != skip, kind), ignorenulls=True).over(w)
+    kind gives one character a line. A file is in its row: the state is a look back in the text of its lines' kinds.
+    """
+    kinds = F.array_join(F.transform(F.split(content, "\n"), kind), "")
+    bare = files.select(*keys, kinds.alias("kinds"))
+    # a line after `but` and any skipped ones is marked in lower case
+    marked = F.regexp_replace("kinds", f"({but}{skip}*+){wanted}", f"$1{wanted.lower()}")
+    out = bare.select(*keys, F.posexplode(F.split(marked, "")).alias("pos", "k")).filter(F.col("k") == wanted)
+    return out.select(*keys, (F.col("pos") + 1).cast("long").alias("pos"))
 
 
 def top_list(rows: DataFrame, group: Sequence[str], value: Column, k: int) -> DataFrame:
-    """Per group: how many distinct values, and the first k in order, joined."""
-    agg = rows.groupBy(*group).agg(F.sort_array(F.collect_set(value)).alias("v"))
-    return agg.select(*group, F.size("v").cast("long").alias("n"), F.array_join(F.slice("v", 1, k), ", ").alias("first"))
+    """Per group: how many distinct values, and the first k in order, joined.
+
+    Distinct values are shuffled once, by group and value; the first k of each are found by a ranked window, of which
+    Spark keeps k rows a task before it sorts a group.
+    """
+    single = rows.select(*group, value.alias("v")).filter("v IS NOT NULL").distinct()
+    first = single.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("v"))).filter(F.col("at") <= k)
+    heads = first.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"].cast("string")), ", ").alias("first"))
+    counts = single.groupBy(*group).agg(F.count("*").alias("n"))
+    return counts.join(heads, list(group)).select(*group, "n", "first")
 
 
 def pinned(version: Column) -> Column:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import model_responses as mr
+from ..functions import repo_config as rc
+from ..functions.store import shared_dir
 from ..operators import findings as fd
 from ..operators import probes as pr
 from ..streaming import events as ev
@@ -141,16 +144,18 @@ def q_html_scripts(t):
     return t.pages.select("page_id", big(F.size(F.regexp_extract_all("html", lit(r"(?is)<script.*?</script>"), lit(0)))).alias("scripts"), big(F.length(F.array_join(bodies, ""))).alias("chars"))
 
 
-@query(f"WITH h AS ({_HREFS}) SELECT DISTINCT page_id, href FROM h WHERE page_id % 2 = 1 AND href IN (SELECT href FROM h WHERE page_id % 2 = 0)")
+@query(f"WITH h AS ({_HREFS}) SELECT DISTINCT page_id, href FROM h WHERE href IN (SELECT href FROM h GROUP BY href HAVING count(DISTINCT page_id) > 1)")
 def q_semi_shared_url(t):
-    h = _hrefs(t)
-    return h.filter("page_id % 2 = 1").join(h.filter("page_id % 2 = 0").select("href"), "href", "left_semi").select("page_id", "href").distinct()
+    """Links that another page has too."""
+    h = _hrefs(t).distinct()
+    return h.join(h.groupBy("href").agg(F.count("*").alias("n")).filter("n > 1"), "href", "left_semi").select("page_id", "href")
 
 
-@query(f"WITH h AS ({_HREFS}) SELECT DISTINCT href FROM h WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, h.href))")
+@query(f"WITH h AS ({_HREFS}), d AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark) SELECT DISTINCT href FROM h WHERE NOT EXISTS (SELECT 1 FROM d WHERE w = ltrim(href, '/'))")
 def q_anti_undocumented(t):
-    words = F.broadcast(t.benchmark.select("text"))  # the reference's docs corpus of one repo: a table of a few hundred rows
-    return _hrefs(t).select("href").distinct().join(words, c("text").contains(c("href")), "left_anti")
+    """Links whose target no text names as a word: words of texts are joined, no text is searched for each link."""
+    words = t.benchmark.select(F.explode(F.split("text", r"\s+")).alias("w")).distinct()
+    return _hrefs(t).select("href").distinct().join(words, F.expr("ltrim('/', href)") == c("w"), "left_anti")
 
 
 # --- lines ------------------------------------------------------------------------------------------------------
@@ -166,14 +171,13 @@ _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 
 @query(_LINES + ", h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l WHERE length(line) < 60) SELECT doc_id, min(pos)::BIGINT AS first_line, count(*) AS n FROM h GROUP BY doc_id, island HAVING count(*) >= 3")
 def q_comment_runs(t):
-    return pr.runs(pr.lines(t.documents, ["doc_id"], "text"), ["doc_id"], F.length("line") < 60, 3)
+    return pr.runs(t.documents, ["doc_id"], "text", lambda x: F.length(x) < 60, 3)
 
 
 @query(_LINES + ", k AS (SELECT *, CASE WHEN contains(line, 'License') THEN 'M' WHEN length(line) < 40 THEN 'C' WHEN length(line) < 90 THEN 'B' ELSE 'K' END AS kind FROM l), s AS (SELECT *, last_value(CASE WHEN kind <> 'C' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM k) SELECT doc_id, pos::BIGINT AS pos FROM s WHERE kind = 'K' AND prev IS DISTINCT FROM 'M'")
 def q_line_state(t):
-    kind = F.when(c("line").contains("License"), "M").when(F.length("line") < 40, "C").when(F.length("line") < 90, "B").otherwise("K")
-    rows = pr.lines(t.documents, ["doc_id"], "text").withColumn("kind", kind)
-    return rows.withColumn("prev", pr.state_before(rows, ["doc_id"], c("kind"), "C")).filter("kind = 'K' AND NOT (prev <=> 'M')").select("doc_id", big(c("pos")).alias("pos"))
+    kind = lambda x: F.when(x.contains("License"), "M").when(F.length(x) < 40, "C").when(F.length(x) < 90, "B").otherwise("K")
+    return pr.after_state(t.documents, ["doc_id"], "text", kind, "C", "K", "M")
 
 
 # --- sets and lists ---------------------------------------------------------------------------------------------
@@ -195,12 +199,14 @@ def q_json_props(t):
     return t.events.select("event_id", F.from_json("props", "k long").getField("k").alias("k")).filter("k IS NOT NULL")
 
 
-_VERSIONS = ["^1.0.0", "~2.1", "3.x", "3.X", "latest", ">=1", "*", "", "1.2.3", "=1.0", "1", "workspace:*", " 4.5.6 "]
+_VERSIONS = ["^1.{}.0", "~2.{}", "3.{}.x", "{}.X", "latest", ">={}", "*", "", "1.{}.3", "=1.{}", "{}", "workspace:*", " 4.{}.6 "]
+_LIST = "[" + ", ".join(f"'{v}'" for v in _VERSIONS) + "]"
 
 
-@query("SELECT v, NOT (trim(v) IN ('', '*', 'latest') OR regexp_matches(trim(v), '^[\\^~><]') OR regexp_matches(trim(v), '\\d+\\.[xX](\\D|$)')) AS pinned FROM (VALUES " + ", ".join(f"('{v}')" for v in _VERSIONS) + ") x(v)")
+@query(f"SELECT p_partkey, v, NOT (trim(v) IN ('', '*', 'latest') OR regexp_matches(trim(v), '^[\\^~><]') OR regexp_matches(trim(v), '\\d+\\.[xX](\\D|$)')) AS pinned FROM (SELECT p_partkey, replace({_LIST}[CAST(p_partkey % 13 AS INT) + 1], '{{}}', CAST(p_size AS VARCHAR)) AS v FROM part)")
 def q_pin_classify(t):
-    return t.values([(v,) for v in _VERSIONS], "v string").select("v", pr.pinned(c("v")).alias("pinned"))
+    v = F.replace(F.element_at(F.array(*map(lit, _VERSIONS)), (c("p_partkey") % 13 + 1).cast("int")), lit("{}"), c("p_size").cast("string"))
+    return t.part.select("p_partkey", v.alias("v")).select("p_partkey", "v", pr.pinned(c("v")).alias("pinned"))
 
 
 @query("SELECT o_orderkey, days FROM (SELECT o_orderkey, floor((epoch_us(TIMESTAMP '1999-01-01 12:00:00') - epoch_us(o_orderdate)) / 86400000000.0)::BIGINT AS days FROM orders) WHERE days > 90")
@@ -233,22 +239,24 @@ def q_applies_to(t):
     return kinds.join(rules.select("rule_id", F.explode("applies_to").alias("kind")), "kind").select("n_nationkey", "rule_id").distinct()
 
 
-_EXCEPTIONS = [(1, "CD-015  # no longer needed"), (2, "DOC-001"), (3, "# only a comment"), (4, ""), (5, "  PY-001 "), (6, "A#b#c")]
-
-
-@query("SELECT i, rule_id FROM (SELECT i, nullif(trim(string_split(x, '#')[1]), '') AS rule_id FROM " + _values(_EXCEPTIONS) + " v(i, x)) WHERE rule_id IS NOT NULL")
+@query("SELECT doc_id, rule, reason FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN nullif(trim(string_split('R-' || n_chars || chr(9) || ' # ' || coalesce(source, ''), '#')[1], ' ' || chr(9)), '') WHEN 1 THEN nullif(trim(string_split('# ' || coalesce(lang, ''), '#')[1]), '') WHEN 2 THEN 'R-' || n_chars END AS rule, CASE WHEN doc_id % 4 = 2 THEN nullif(trim(lang), '') END AS reason FROM documents) WHERE rule IS NOT NULL")
 def q_exceptions_parse(t):
-    return t.values(_EXCEPTIONS, "i int, x string").select("i", fd.exception_rule(c("x")).alias("rule_id")).filter("rule_id IS NOT NULL")
+    """Lines with comments, comments alone, mappings with a reason, and mappings without a rule."""
+    form = c("doc_id") % 4
+    line = F.when(form == 0, F.concat(lit("R-"), c("n_chars").cast("string"), lit("\t # "), F.coalesce("source", lit("")))).when(form == 1, F.concat(lit("# "), F.coalesce("lang", lit(""))))
+    entry = F.struct(line.alias("line"), F.when(form == 2, F.concat(lit(" R-"), c("n_chars").cast("string"))).when(form == 3, lit(" ")).alias("rule"), F.concat(c("lang"), lit(" \n")).alias("reason"))
+    return t.documents.select("doc_id", F.explode(rc.exception_entries(F.array(entry))).alias("x")).select("doc_id", "x.*")
 
 
-_BY_TYPE, _BY_TRAIT, _OWN = [("lib", "CD-001"), ("lib", "CD-002"), ("api", "FE-001")], [("public", "CD-002"), ("public", "API-007")], [("r1", "DOC-001"), ("r2", "CD-001")]
+_BY_TYPE, _BY_TRAIT = [("BUILDING", "CD-001"), ("BUILDING", "CD-002"), ("MACHINERY", "FE-001")], [(3, "CD-002"), (3, "API-007"), (7, "FE-001")]
 
 
-@query(f"SELECT repo, rule_id FROM (VALUES ('r1', 'lib'), ('r2', 'lib'), ('r3', 'api')) r(repo, kind) JOIN {_values(_BY_TYPE)} a(kind, rule_id) USING (kind) UNION SELECT repo, rule_id FROM (VALUES ('r1', 'public')) q(repo, trait) JOIN {_values(_BY_TRAIT)} b(trait, rule_id) USING (trait) UNION SELECT * FROM {_values(_OWN)} o(repo, rule_id)")
+@query(f"SELECT c_custkey AS repo, rule_id FROM customer JOIN {_values(_BY_TYPE)} a(kind, rule_id) ON kind = c_mktsegment UNION SELECT c_custkey, rule_id FROM customer JOIN {_values(_BY_TRAIT)} b(trait, rule_id) ON trait = c_nationkey UNION SELECT c_custkey, 'DOC-001' FROM customer WHERE c_acctbal < 0")
 def q_skip_union(t):
-    a = t.values([("r1", "lib"), ("r2", "lib"), ("r3", "api")], "repo string, kind string").join(t.values(_BY_TYPE, "kind string, rule_id string"), "kind")
-    b = t.values([("r1", "public")], "repo string, trait string").join(t.values(_BY_TRAIT, "trait string, rule_id string"), "trait")
-    return a.select("repo", "rule_id").union(b.select("repo", "rule_id")).union(t.values(_OWN, "repo string, rule_id string")).distinct()
+    a = t.customer.join(t.values(_BY_TYPE, "c_mktsegment string, rule_id string"), "c_mktsegment")
+    b = t.customer.join(t.values(_BY_TRAIT, "c_nationkey int, rule_id string"), "c_nationkey")
+    own = t.customer.filter("c_acctbal < 0").select("c_custkey", lit("DOC-001").alias("rule_id"))
+    return a.select("c_custkey", "rule_id").union(b.select("c_custkey", "rule_id")).union(own).distinct().withColumnRenamed("c_custkey", "repo")
 
 
 _DOC_FINDINGS = "(SELECT doc_id AS repo, 'T-' || (doc_id % 3) AS rule_id, 'ERROR' AS severity, 'short text' AS finding FROM documents WHERE n_chars < 1500)"
@@ -295,7 +303,7 @@ def q_status_rows(t):
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def q_distinct_first(t):
-    return pr.first_per_group(t.documents, ["text"], c("doc_id"), ["doc_id", "source"]).select("doc_id", "source")
+    return pr.first_of_texts(t.documents, "text", c("doc_id"), ["doc_id", "source"])
 
 
 @query("SELECT r_name, array_to_string(list(n_name ORDER BY n_nationkey), ',') AS members FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
@@ -307,7 +315,7 @@ def q_group_collect(t):
 # --- findings and sink ------------------------------------------------------------------------------------------
 
 _SEV = [("warning",), ("WARN",), ("critical",), (" Error ",), ("success",), ("note",), ("",), (None,)]
-_SEV_SQL = "CASE WHEN upper(trim(coalesce(s, ''))) = 'WARNING' THEN 'WARN' WHEN upper(trim(coalesce(s, ''))) IN ('CRITICAL', 'ERROR', 'WARN', 'INFO', 'SUCCESS') THEN upper(trim(s)) ELSE '{}' END"
+_SEV_SQL = "CASE upper(s) WHEN 'WARNING' THEN 'WARN' WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'ERROR' THEN 'ERROR' WHEN 'WARN' THEN 'WARN' WHEN 'INFO' THEN 'INFO' WHEN 'SUCCESS' THEN 'SUCCESS' ELSE '{}' END"
 
 
 @query("SELECT s, " + _SEV_SQL.format("INFO") + " AS sink, " + _SEV_SQL.format("WARN") + " AS direct FROM (SELECT * FROM " + _values(_SEV) + " v(s) UNION ALL SELECT DISTINCT event_type FROM events)")
@@ -321,19 +329,98 @@ def q_severity_counts(t):
     return fd.severity_counts(t.events, "user_id", F.when(c("event_type") == "error", "ERROR").when(c("event_type") == "purchase", "WARN").otherwise("INFO"))
 
 
-@query("WITH l AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT event_id, user_id, event_type FROM events e WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = e.user_id AND l.event_type = e.event_type)")
+@query("WITH d AS (SELECT CAST(max(ts) AS DATE) AS day FROM events), l AS (SELECT user_id, event_type FROM events, d WHERE CAST(ts AS DATE) < day QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT event_id, user_id, event_type FROM events e, d WHERE CAST(ts AS DATE) = day AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = e.user_id AND l.event_type = e.event_type)")
 def q_dedup_vs_latest(t):
-    e = t.events.select("event_id", "user_id", "event_type", "ts")
-    stored = fd.latest(e.filter("event_id % 2 = 0"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_type")
-    return fd.not_stored(e.filter("event_id % 2 = 1"), stored, "user_id", ["event_type"]).select("event_id", "user_id", "event_type")
+    """Events of the last day but those that repeat their user's latest event before it."""
+    day = t.events.agg(F.max("ts").cast("date").alias("day"))
+    e = t.events.select("event_id", "user_id", "event_type", "ts").join(F.broadcast(day))  # one row
+    stored = fd.latest(e.filter("cast(ts AS date) < day"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_type")
+    return fd.not_stored(e.filter("cast(ts AS date) = day"), stored, "user_id", ["event_type"]).select("event_id", "user_id", "event_type")
 
 
-_PAYLOAD = [(1, " text ", "warning", "", "do it", ""), (2, "  ", "ERROR", "d", None, "X-1"), (3, "t", None, None, " ", None), (4, None, "INFO", "d", "s", "v")]
+@query("WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' ' || chr(9) || event_type || chr(10) WHEN 1 THEN chr(160) || chr(12) WHEN 2 THEN NULL ELSE event_type END AS f, CASE event_id % 3 WHEN 0 THEN 'warning' WHEN 1 THEN ' ERROR ' ELSE event_type END AS s, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' d ' END AS d FROM events) SELECT event_id, trim(f, ' ' || chr(9) || chr(10) || chr(12) || chr(160)) AS finding, " + _SEV_SQL.format("INFO") + " AS severity, coalesce(nullif(d, ''), 'pipeline_consistency') AS dimension, nullif(d, '') AS suggestion, nullif(f, '') AS violation_id FROM p WHERE nullif(trim(f, ' ' || chr(9) || chr(10) || chr(12) || chr(160)), '') IS NOT NULL")
+def q_payload_defaults(t):
+    n = c("event_id")
+    f = F.when(n % 5 == 0, F.concat(lit(" \t"), c("event_type"), lit("\n"))).when(n % 5 == 1, lit("\xa0\x0c")).when(n % 5 == 2, lit(None)).otherwise(c("event_type"))
+    d = F.when(n % 4 == 0, "").when(n % 4 == 1, " d ")
+    rows = t.events.select("event_id", f.alias("finding"), F.when(n % 3 == 0, "warning").when(n % 3 == 1, " ERROR ").otherwise(c("event_type")).alias("severity"), d.alias("dimension"), d.alias("suggestion"), f.alias("violation_id"))
+    return fd.payload(rows)
 
 
-@query("SELECT i, trim(f) AS finding, " + _SEV_SQL.format("INFO") + " AS severity, coalesce(nullif(trim(d), ''), 'pipeline_consistency') AS dimension, nullif(trim(g), '') AS suggestion, nullif(trim(v), '') AS violation_id FROM " + _values(_PAYLOAD) + " x(i, f, s, d, g, v) WHERE nullif(trim(f), '') IS NOT NULL")
-def q_payload_defaults(t):
-    return fd.payload(t.values(_PAYLOAD, "i int, finding string, severity string, dimension string, suggestion string, violation_id string"))
+@query("WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = e.user_id AND l.event_type = e.event_type AND l.props = e.props)")
+def q_sink_unsent(t):
+    """A retry of all events as findings: what equals the repository's latest stored row in all four fields is not sent again."""
+    e = t.events.select("event_id", "user_id", "event_type", c("user_id").cast("string").alias("repo"), lit("run-1").alias("run_id"), F.concat(c("event_type"), lit(" "), c("props")).alias("finding"), lit("warn").alias("severity"), lit("d").alias("dimension"), lit("").alias("suggestion"), lit(None).cast("string").alias("violation_id"), F.struct("ts", "event_id").alias("at"))
+    return fd.unsent(fd.payload(e), e.select("repo", "at", "run_id", "finding", "severity", "dimension")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT c_custkey AS repo, 'STATUS' AS rule_id, 'SUCCESS' AS severity, c_name || ' passed all ' || k || ' checks for standards v3.1.' AS finding FROM customer, (VALUES ('deterministic'), ('LLM'), ('conformance')) x(k) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND (k <> 'LLM' OR o_totalprice > 100000))")
+def q_status_variants(t):
+    """The three texts of a repository without findings; open orders stand for findings, the larger ones for a model's."""
+    repos, out = t.customer.select(c("c_custkey").alias("repo"), "c_name"), None
+    found = t.orders.filter("o_orderstatus = 'P'").select(c("o_custkey").alias("repo"), "o_totalprice")
+    for kind in ("deterministic", "LLM", "conformance"):
+        some = fd.to_post(found.filter("o_totalprice <= 100000"), found.filter("o_totalprice > 100000"), kind == "LLM").select("repo", lit("R").alias("rule_id"), lit("WARN").alias("severity"), lit("f").alias("finding"))
+        rows = fd.with_status(some, repos, fd.status_text(c("c_name"), kind, "3.1")).filter("rule_id = 'STATUS'")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("SELECT event_id, 'conformance-3.1-' || CASE WHEN event_id % 2 = 0 THEN event_type ELSE strftime(ts, '%Y%m%dT%H%M%S') END AS run_id, CASE event_id % 3 WHEN 0 THEN '9.9' WHEN 1 THEN event_type ELSE 'unknown' END AS version FROM events")
+def q_run_ids(t):
+    even = c("event_id") % 2 == 0
+    version = fd.standards_version(F.when(c("event_id") % 3 == 0, " 9.9\n").otherwise(" "), F.when(c("event_id") % 3 < 2, c("event_type")))
+    return t.events.select("event_id", fd.run_id("conformance", lit("3.1"), F.when(even, F.concat(lit(" "), c("event_type"))).otherwise(lit("\t")), c("ts")).alias("run_id"), version.alias("version"))
+
+
+@query("SELECT 'R' || item_id % 50 AS rule_id, min(CASE WHEN item_id % 4 = 1 THEN 'no notes' ELSE 'no marker' END) AS problem FROM benchmark WHERE item_id % 4 <> 0 GROUP BY 1")
+def q_unmarked_rules(t):
+    """A row for each rule without a routing marker, once however often it is listed."""
+    form = c("item_id") % 4
+    notes = F.when(form == 0, F.concat(lit("  llm CHECK. "), c("text"))).when(form == 1, " \n").otherwise(c("text"))
+    return fd.unmarked_rules(t.benchmark.select(F.concat(lit("R"), (c("item_id") % 50).cast("string")).alias("rule_id"), notes.alias("check_notes")))
+
+
+# --- configuration and standards --------------------------------------------------------------------------------
+
+_CONFIGS = (
+    "type: api-service\ntraits: [multi-flow, unknown-one]\nexemptions:\n  - rule: ' R-{} '\n    reason: ''\n  - plain text\ndeferrals:\n  - {{rule: D-1, reason: later}}\n",
+    "type: no-such-type\n", "type: [broken\n", "- a list\n", "type: static-site\ntraits:\nexemptions: []\n",
+)
+_OLD_TYPES = ("worker", "api", None, "site", "something", "react-app")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, doc_id % 6 AS f, doc_id % 7 AS g, " + f"[{', '.join('NULL' if x is None else repr(x) for x in _OLD_TYPES)}]" + "[CAST(doc_id % 6 AS INT) + 1] AS old, n_chars FROM documents), r AS (SELECT *, CASE WHEN g = 0 THEN 'api-service' WHEN g = 4 THEN 'static-site' END AS own FROM d) "
+    "SELECT doc_id, coalesce(own, CASE f WHEN 0 THEN 'pipeline-cog' WHEN 1 THEN 'api-service' WHEN 2 THEN 'shared-library' WHEN 3 THEN 'static-site' WHEN 4 THEN 'pipeline-cog' ELSE 'react-app' END) AS repo_type, CASE WHEN g = 0 THEN 'multi-flow' ELSE '' END AS traits, CASE WHEN g = 0 THEN 'R-' || n_chars WHEN own IS NULL THEN 'OLD-1' ELSE '' END AS exempt, CASE WHEN g = 0 THEN 'D-1:later' ELSE '' END AS deferred, CASE WHEN own IS NULL THEN 'service' ELSE 'file' END AS config_source FROM r"
+)
+def q_config_parse(t):
+    """Configuration files, good, of an unknown type, broken, no mapping, empty of lists, and absent; the service's own entry stands in."""
+    from .engine import REPO_TYPES, TRAITS, repo_type
+
+    g = c("doc_id") % 7
+    text = F.element_at(F.array(*(lit(x.replace("{{", "{").replace("}}", "}")) for x in _CONFIGS)), (g + 1).cast("int"))
+    d = t.documents.select(c("doc_id").cast("string").alias("repo"), "doc_id", "n_chars", "text")
+    files = d.filter(g < len(_CONFIGS)).select("repo", F.replace(text, lit("{}"), c("n_chars").cast("string")).alias("content"))
+    old = F.element_at(F.array(*(lit(x) for x in _OLD_TYPES)), (c("doc_id") % 6 + 1).cast("int"))
+    services = d.select("repo", "doc_id", old.alias("type"), F.array(F.struct(lit("OLD-1 # why").alias("line"), lit(None).cast("string").alias("rule"), lit(None).cast("string").alias("reason"))).alias("exceptions"))
+    rows = rc.configured(services, rc.config_rows(files, REPO_TYPES, TRAITS), repo_type(c("type")))
+    joined = lambda x, f: F.array_join(F.transform(x, f), ",")
+    return rows.select("doc_id", "repo_type", F.array_join("traits", ",").alias("traits"), joined("exemptions", lambda x: x["rule"]).alias("exempt"), joined("deferrals", lambda x: F.concat(x["rule"], lit(":"), x["reason"])).alias("deferred"), "config_source")
+
+
+@query(
+    "WITH r AS (SELECT 'R-' || item_id AS rule_id, trim(text, ' ' || chr(10)) AS check_notes, item_id % 5 <> 0 AS checkable, CASE item_id % 4 WHEN 0 THEN ['all', 'api-service'] WHEN 1 THEN ['BUILDING'] WHEN 2 THEN ['static-site', 'MACHINERY'] ELSE [] END AS applies_to, CASE WHEN item_id % 7 = 0 THEN 'other' ELSE 'api' END AS domain, item_id FROM benchmark), "
+    "s AS (SELECT n_nationkey AS repo, CASE WHEN n_regionkey = 0 THEN 'static-site' END AS repo_type, CASE WHEN n_regionkey = 1 THEN 'BUILDING' ELSE 'MACHINERY' END AS dod FROM nation) "
+    "SELECT repo, rule_id, '' AS title, 'INFO' AS severity, check_notes, CASE WHEN item_id % 3 = 0 THEN 'llm' ELSE 'deterministic' END AS check_mode FROM s, r WHERE checkable AND domain = 'api' AND (list_contains(applies_to, 'all') OR list_contains(applies_to, coalesce(repo_type, '-')) OR list_contains(applies_to, dod))"
+)
+def q_standards_for_service(t):
+    """The rules that apply to each service, by type or older type, with their mode of check."""
+    i = c("item_id")
+    kinds = F.when(i % 4 == 0, F.array(lit("all"), lit("api-service"))).when(i % 4 == 1, F.array(lit("BUILDING"))).when(i % 4 == 2, F.array(lit("static-site"), lit("MACHINERY"))).otherwise(F.array().cast("array<string>"))
+    rules = t.benchmark.select(F.when(i % 7 == 0, "other").otherwise("api").alias("domain"), F.concat(lit("R-"), i.cast("string")).alias("rule_id"), lit(None).cast("string").alias("title"), lit(None).cast("string").alias("severity"), "text", i.alias("item_id"), (i % 5 != 0).alias("checkable"), kinds.alias("applies_to"), c("text").alias("check_notes"))
+    services = t.nation.select(c("n_nationkey").alias("repo"), F.when(c("n_regionkey") == 0, "static-site").alias("repo_type"), F.when(c("n_regionkey") == 1, "BUILDING").otherwise("MACHINERY").alias("dod_type"))
+    return rc.rules_of_services(services, rules, fd.check_mode(F.when(c("item_id") % 3 == 0, lit("LLM CHECK. x")).otherwise(c("check_notes"))))
 
 
 # --- events -----------------------------------------------------------------------------------------------------
@@ -379,15 +466,7 @@ def q_event_direct_finding(t):
 @query(_DIRECT_SQL)
 def stream_events_findings(t):
     """The same findings by Structured Streaming: files as micro-batches, each written once under its batch id."""
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="rulespan-")
-        t.spark.conf.set("spark.checkpoint.dir", base)
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = shared_dir(t.spark, "stream")
     path = f"{t.folder}/event[s].parquet"  # a pattern: streams take a folder or a pattern, not one file
     schema = t.events.schema
     q = ev.stream(t.spark, path, schema, _direct, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows/batch={i}"), f"{out}/progress")
@@ -395,58 +474,82 @@ def stream_events_findings(t):
     return t.spark.read.parquet(f"{out}/rows").select("event_id", "severity", "finding")
 
 
-_JSON = [(1, '{"flow_run_id": "a", "flow_name": " f ", "state_type": "failed"}'), (2, '{"resource": {"id": "b", "name": "g", "state_name": "Crashed", "state_type": "crashed"}}'), (3, '{"state_name": "", "resource": {"state_name": "Late"}}'), (4, "not json"), (5, '{"id": "t", "resource": {"flow_run_id": "r"}, "start_time": "2024-01-01"}')]
+#: Payloads of events by their number: flat, nested, empty at the top, blank, not JSON, an array, both keys.
+_SHAPES = (
+    '{"flow_run_id": "run-#", "flow_name": " f ", "state_type": "failed"}', '{"resource": {"id": "b#", "flow_name": "g", "state_name": "Crashed", "state_type": "crashed", "name": "n"}}', '{"state_name": "", "resource": {"state_name": "Late", "flow_name": "h"}}',
+    "not json #", '{"id": "t#", "resource": {"flow_run_id": "r#"}, "start_time": "2024-01-01"}', '{"flow_run_id": " ", "id": "x", "state_type": null, "resource": {"state_type": "late"}}', '[1, #]', '{"name": "n", "resource": "text", "flow_name": "k\\t"}',
+)
+_PICK = "replace([" + ", ".join("'" + x + "'" for x in _SHAPES) + "][CAST(event_id % 8 AS INT) + 1], '#', CAST(event_id AS VARCHAR))"
+
+
+def _merged(f: str) -> str:
+    """A key of the top level hides the resource's, whatever its value."""
+    return f"nullif(CASE WHEN json_exists(p, '$.{f}') THEN json_extract_string(p, '$.{f}') ELSE json_extract_string(p, '$.resource.{f}') END, '')"
 
 
-def _json(*paths, default="NULL"):
-    return "coalesce(" + ", ".join(f"nullif(trim(json_extract_string(p, '$.{x}')), '')" for x in paths) + f", {default})"
+def _stripped(default: str, *fields: str) -> str:
+    return "coalesce(nullif(trim(coalesce(" + ", ".join(map(_merged, fields)) + f"), ' ' || chr(9) || chr(10)), ''), '{default}')"
 
 
 @query(
-    "WITH v AS (SELECT i, CASE WHEN json_valid(payload) THEN payload ELSE '{}' END AS p FROM " + _values(_JSON) + " x(i, payload)) SELECT i, "
-    + _json("flow_run_id", "resource.flow_run_id", "id", "resource.id", default="'prefect-unknown-run'") + " AS flow_run_id, " + _json("flow_name", "resource.flow_name", "name", "resource.name", default="'unknown-flow'") + " AS flow_name, "
-    + _json("state_name", "resource.state_name", default="'UNKNOWN'") + " AS state_name, upper(" + _json("state_type", "resource.state_type", default="'UNKNOWN'") + ") AS state_type, " + _json("start_time", "resource.start_time") + " AS start_time FROM v"
-)
+    f"WITH v AS (SELECT event_id, CASE WHEN json_valid({_PICK}) THEN {_PICK} ELSE '{{}}' END AS p FROM events) SELECT event_id, {_stripped('prefect-unknown-run', 'flow_run_id', 'id')} AS flow_run_id, {_stripped('unknown-flow', 'flow_name')} AS flow_name, "
+    f"{_stripped('UNKNOWN', 'state_name')} AS state_name, upper({_stripped('UNKNOWN', 'state_type')}) AS state_type, {_stripped('', 'start_time')} AS start_time, CASE WHEN upper({_stripped('UNKNOWN', 'state_type')}) IN ('FAILED', 'CRASHED', 'CANCELLED') THEN 'direct' ELSE 'review' END AS branch FROM v"
+)
 def q_payload_flatten(t):
-    return ev.flatten(t.values(_JSON, "i int, payload string")).select("i", "flow_run_id", "flow_name", "state_name", "state_type", "start_time")
+    rows = ev.flatten(_payloads(t))
+    return rows.select("event_id", "flow_run_id", "flow_name", "state_name", "state_type", "start_time", ev.branch(c("state_type")).alias("branch"))
+
+
+def _payloads(t):
+    pick = F.element_at(F.array(*map(lit, _SHAPES)), (c("event_id") % 8 + 1).cast("int"))
+    return t.events.select("event_id", F.replace(pick, lit("#"), c("event_id").cast("string")).alias("payload"))
+
 
+@query(f"SELECT event_id FROM events WHERE NOT json_valid({_PICK}) OR json_type({_PICK}) <> 'OBJECT'")
+def q_event_dead_letters(t):
+    return ev.malformed(_payloads(t)).select("event_id")
 
-@query("WITH m AS (SELECT o_orderkey AS run, count(l_orderkey) AS written, CAST(floor(o_totalprice) AS BIGINT) % 4 AS folders, o_orderstatus = 'F' AS snapshot FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), r AS (SELECT run, 'tabs' AS rule_id, 'WARN' AS severity FROM m WHERE written = 0 AND folders > 0 UNION ALL SELECT run, 'snapshot', 'ERROR' FROM m WHERE NOT snapshot) SELECT * FROM r UNION ALL SELECT run, 'ok', 'INFO' FROM m WHERE NOT (written = 0 AND folders > 0) AND snapshot")
+
+@query("WITH m AS (SELECT o_orderkey AS run, count(l_orderkey) AS tabs, CAST(floor(o_totalprice) AS BIGINT) % 4 AS folders, CAST(sum(l_quantity) AS BIGINT) % 3 AS sets, o_orderstatus = 'F' AS snapshot, o_orderdate FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), n AS (SELECT *, coalesce(sets, 0) AS s, year(o_orderdate) = 1995 AS current FROM m) SELECT run, 'WARN' AS severity, 'No tabs written despite ' || folders || ' folders processed' AS finding FROM n WHERE tabs = 0 AND folders > 0 UNION ALL SELECT run, 'ERROR', 'JSON snapshot write failed' FROM n WHERE NOT snapshot UNION ALL SELECT run, 'WARN', 'Current year folder missing' FROM n WHERE NOT current UNION ALL SELECT run, 'WARN', 'No sets found across any folder' FROM n WHERE s = 0 AND folders > 0 UNION ALL SELECT run, 'INFO', folders || ' folders, ' || tabs || ' tabs, ' || s || ' sets' FROM n WHERE NOT (tabs = 0 AND folders > 0) AND snapshot AND current AND NOT (s = 0 AND folders > 0)")
 def q_run_metrics_rules(t):
-    n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    m = t.orders.join(n, c("l_orderkey") == c("o_orderkey"), "left").select(c("o_orderkey").alias("run"), F.coalesce("n", lit(0)).alias("written"), (F.floor("o_totalprice").cast("long") % 4).alias("folders"), (c("o_orderstatus") == "F").alias("snapshot"))
-    tabs, snap = (c("written") == 0) & (c("folders") > 0), ~c("snapshot")
-    hits = F.array_compact(F.array(*(F.when(x, F.struct(lit(r).alias("rule_id"), lit(s).alias("severity"))) for x, r, s in ((tabs, "tabs", "WARN"), (snap, "snapshot", "ERROR"), (~tabs & ~snap, "ok", "INFO")))))
-    return m.select("run", F.explode(hits).alias("x")).select("run", "x.*")
+    n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("tabs"), (F.sum("l_quantity").cast("long") % 3).alias("sets"))
+    m = t.orders.join(n, c("l_orderkey") == c("o_orderkey"), "left")
+    runs = m.select(c("o_orderkey").alias("run"), F.coalesce("tabs", lit(0)).alias("tabs"), (F.floor("o_totalprice").cast("long") % 4).alias("folders"), F.coalesce("sets", lit(0)).alias("sets"), (c("o_orderstatus") == "F").alias("snapshot"), F.array(F.concat(lit("sets "), F.year("o_orderdate").cast("string"))).alias("names"))
+    return ev.collection_findings(runs, lit(1995))
 
 
 # --- model responses --------------------------------------------------------------------------------------------
 
-_RAW = [("a", '```json\n{"findings": [{"rule_id": "R1", "finding": "x"}, 3, {"message": "m"}]}\n```'), ("b", '[{"description": "d", "severity": "WARN"}]'), ("c", '{"findings": "x"}'), ("d", "no json"), ("e", '{"findings": [{"finding": "", "text": "t", "violation_id": null, "rule_id": "R2"}]}')]
+#: Answers made from conversations by their number: a list, prose around a fence, other keys, no list, no JSON, odd values.
+_ANSWERS = (
+    '[{"finding": "@", "rule_id": "R#"}, 3, {"message": " @ ", "violation_id": ""}]', 'Here it is: ```JSON {"findings": [{"description": "@", "severity": "WARN", "violation_id": "V#"}]} ``` and more', '```\n[{"detail": "@", "text": "no"}, {"finding": "", "rule_id": ""}]\n```',
+    '{"findings": "@"}', "@", '{"findings": [{"finding": null, "text": "@", "violation_id": null, "rule_id": "R2"}, {"finding": false, "detail": 0}]}', '{"other": [{"finding": "@"}]}',
+)
+_ASK = "replace(replace([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in _ANSWERS) + "][CAST(conv_id % 7 AS INT) + 1], '@', regexp_replace(substr(text, 1, 40), '[^a-zA-Z ]', '', 'g')), '#', CAST(turn AS VARCHAR))"
+_ITEMS = (
+    f"WITH a AS (SELECT conv_id, turn, {_ASK} AS raw FROM conversations), b AS (SELECT *, CASE WHEN regexp_matches(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```') THEN regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) ELSE raw END AS body FROM a), "
+    "j AS (SELECT conv_id, turn, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM b), l AS (SELECT conv_id, turn, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN CASE WHEN json_type(json_extract(j, '$.findings')) = 'ARRAY' THEN json_extract(j, '$.findings') END END AS l FROM j), "
+    "e AS (SELECT conv_id, turn, unnest(CAST(l AS JSON[])) AS item, generate_subscripts(CAST(l AS JSON[]), 1) AS n FROM l WHERE l IS NOT NULL), o AS (SELECT conv_id, turn, item, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) - 1 AS INT) AS i FROM e WHERE json_type(item) = 'OBJECT')"
+)
 
 
-def _items(t):
-    fenced = F.trim(F.regexp_extract("raw", r"(?s)^\s*(?:```(?:json)?\s*\n)?(.*?)(?:\n```)?\s*$", 1))
-    v = F.try_parse_json(fenced)
-    found = F.coalesce(F.try_variant_get(v, "$.findings", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    return t.values(_RAW, "repo string, raw string").select("repo", F.posexplode(found).alias("i", "item")).filter(F.schema_of_variant("item").startswith("OBJECT"))
+def _truthy(k: str) -> str:
+    return f"CASE WHEN json_type(item, '$.{k}') IN ('VARCHAR') THEN nullif(json_extract_string(item, '$.{k}'), '') END"
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 'R1', 'x'), ('a', 2, NULL, 'm'), ('b', 0, NULL, 'd'), ('e', 0, 'R2', 't')) v(repo, i, rule_id, finding)")
-def q_llm_parse(t):
-    get = lambda k: F.nullif(F.trim(F.try_variant_get("item", f"$.{k}", "string")), lit(""))
-    text = F.coalesce(*(get(k) for k in ("finding", "message", "description", "detail", "text")), lit("(no finding text)"))
-    return _items(t).select("repo", "i", get("rule_id").alias("rule_id"), text.alias("finding"))
+def _answers(t):
+    pick = F.element_at(F.array(*map(lit, _ANSWERS)), (c("conv_id") % 7 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", F.replace(F.replace(pick, lit("@"), F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z ]", "")), lit("#"), c("turn").cast("string")).alias("raw"))
 
 
-_ALT = [(1, "f", "m", "d", None, None, "R1", None), (2, "", "m", None, None, None, None, "V"), (3, None, None, "", "x", None, "R3", ""), (4, None, None, None, None, None, None, None)]
+@query(_ITEMS + " SELECT conv_id, turn, i FROM o")
+def q_llm_parse(t):
+    return mr.parsed(_answers(t), "raw", "conv_id", "turn").select("conv_id", "turn", "i")
 
 
-@query("SELECT i, coalesce(nullif(f, ''), nullif(m, ''), nullif(d, ''), nullif(e, ''), nullif(x, ''), '(no finding text)') AS finding, coalesce(nullif(v, ''), nullif(r, '')) AS violation_id FROM " + _values(_ALT) + " q(i, f, m, d, e, x, r, v)")
+@query(_ITEMS + " SELECT conv_id, turn, i, coalesce(" + ", ".join(map(_truthy, ("finding", "message", "description", "detail", "text"))) + f", 'No finding text returned by evaluator.') AS finding, CASE WHEN json_exists(item, '$.violation_id') THEN json_extract_string(item, '$.violation_id') ELSE {_truthy('rule_id')} END AS violation_id, {_truthy('severity')} AS severity FROM o")
 def q_llm_normalise(t):
-    e = lambda x: F.nullif(c(x), lit(""))
-    rows = t.values(_ALT, "i int, f string, m string, d string, e string, x string, r string, v string")
-    return rows.select("i", F.coalesce(e("f"), e("m"), e("d"), e("e"), e("x"), lit("(no finding text)")).alias("finding"), F.coalesce(e("v"), e("r")).alias("violation_id"))
+    return mr.parsed(_answers(t), "raw", "conv_id", "turn").select("conv_id", "turn", "i", "finding", "violation_id", "severity")
 
 
 @query("SELECT 'b' || item_id AS rule_id FROM benchmark WHERE item_id % 3 = 0 EXCEPT SELECT 'b' || doc_id FROM labels WHERE quality = 1 EXCEPT SELECT 'b' || doc_id FROM labels WHERE toxic = 1")
@@ -466,18 +569,7 @@ def q_inventory_topk(t):
     return top.union(more.select("source", lit(61).cast("long"), F.concat(lit("... ("), (c("total") - 60).cast("string"), lit(" more)"))))
 
 
-@query(None)
-def q_rules_engine(t):
-    """The whole engine, each source a repository and each document a module of it."""
-    from ..functions.ship import ship
-    from .engine import REPO_TYPES, evaluate
-
-    ship(t.spark)
-    files = t.documents.select(c("source").alias("repo"), F.concat(lit("src/pkg/d"), c("doc_id").cast("string"), lit(".py")).alias("path"), c("text").alias("content"))
-    kinds = F.array(*map(lit, REPO_TYPES))
-    none = "array<struct<rule:string,reason:string>>"
-    repos = t.documents.select("source").distinct().select(
-        c("source").alias("repo"), c("source").alias("name"), lit("python").alias("language"), kinds[F.pmod(F.crc32("source"), lit(8)).cast("int")].alias("repo_type"), lit(None).cast("string").alias("root"),
-        F.array().cast("array<string>").alias("traits"), F.array().cast(none).alias("exemptions"), F.array().cast(none).alias("deferrals"), lit(None).cast("int").alias("standards_age_days"),
-    )
-    return evaluate(files, repos)[0]
+from . import rule_queries  # noqa: E402
+
+QUERIES |= {n: (lambda q: lambda spark, folder: q(Tables(spark, folder)))(q) for n, q in rule_queries.QUERIES.items()}
+SQL |= rule_queries.SQL
