@@ -1,8 +1,8 @@
 """All rules over all repositories: files and repositories in, findings and checked rules out.
 
 Contents are read in two passes, one for the tests of files and one for what needs a parse. Both leave small rows: the
-bits of a repository, and the facts of its files. The facts are written once, as every rule that compares files
-reads them.
+bits of a repository, and the facts and findings of its files. These are written once, as several rules read them and
+as plans of a hundred rules' expressions are slow to make again for every join that follows.
 """
 
 from __future__ import annotations
@@ -183,6 +183,7 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
 
     entry = lambda i, r: F.struct(F.lit(i).alias("seq"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.dimension).alias("dimension"), F.when(F.coalesce(F.expr(r.gate) & r.test, F.lit(False)), r.text).alias("finding"), F.lit(r.wrapped).alias("wrapped"), F.lit(r.always).alias("always"))
     found = own.select("repo", F.explode(F.array(*(entry(i, r) for i, r in enumerate(rules)))).alias("x")).select("repo", "x.*").filter("finding IS NOT NULL")
+    found = materialise(found, "repo-findings")
 
     gates: dict[str, str] = {}
     for rule, gate in [*((r.rule_id, r.gate) for r in rules if r.wrapped), *((x[0], x[3]) for x in by_path), *((k, v[2]) for k, v in (ru.SOURCE_RULES | ru.CROSS_RULES).items())]:
@@ -192,10 +193,10 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
         if not r.wrapped:
             every[r.rule_id] = f"({every[r.rule_id]}) OR ({r.gate})" if r.rule_id in every else r.gate
     listed = F.array_compact(F.array(*(F.when(F.expr(g), F.struct(F.lit(k).alias("rule_id"), F.lit(k in gates).alias("wrapped"))) for k, g in every.items())))
-    checked = repos.select("repo", "language", F.explode(listed).alias("x")).select("repo", "language", "x.*")
+    checked = materialise(repos.select("repo", "language", F.explode(listed).alias("x")).select("repo", "language", "x.*"), "checked-rules")
 
     tests = F.array_compact(F.array(*(F.when(F.expr(t), F.struct(F.lit(1000 + i).alias("seq"), F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(dim).alias("dimension"), F.format_string(text, "path").alias("finding"))) for i, (rule, sev, dim, _, t, text) in enumerate(by_path))))
-    by_file = files.select("repo", F.explode(tests).alias("x")).select("repo", "x.*")
+    by_file = materialise(files.select("repo", F.explode(tests).alias("x")).select("repo", "x.*"), "file-findings")
     facts_rows = source_facts(files)
     kinds = ru.SOURCE_RULES | ru.CROSS_RULES
     look = lambda i: F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v[i])))
