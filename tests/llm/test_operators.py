@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on rows with every odd case."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -774,6 +775,148 @@ def test_sainte_lague_by_quotients():
         assert sainte_lague(w, seats, most) == out, (w, seats, most)
 
 
+def plain_infer(model, text, penalty=3.0, rounds=12):
+    """The mixture of a text by its trigrams one after another, over all prefixes of the languages' order."""
+    from rulespan.llm.language_id import trigrams
+
+    grams = trigrams(text).tolist()
+    rows = [[math.exp(x - max(model.logp[g])) for x in model.logp[g].tolist()] for g in grams]
+
+    def em(cols, pi):
+        for _ in range(rounds):
+            new = [0.0] * len(cols)
+            for r in rows:
+                mix = sum(r[c] * x for c, x in zip(cols, pi))
+                for i, c in enumerate(cols):
+                    new[i] += pi[i] * r[c] / mix / len(rows)
+            step = max(abs(a - b) for a, b in zip(new, pi))
+            pi = new
+            if step < 1e-3:
+                break
+        return pi, sum(math.log(sum(r[c] * x for c, x in zip(cols, pi))) for r in rows)
+
+    n = len(model.languages)
+    whole, _ = em(list(range(n)), [1 / n] * n)
+    order = sorted(range(n), key=lambda i: -whole[i])
+    best = None
+    for k in range(1, n + 1):
+        start = [whole[i] / sum(whole[j] for j in order[:k]) for i in order[:k]]
+        pi, like = em(order[:k], start) if k > 1 else ([1.0], sum(math.log(r[order[0]]) for r in rows))
+        worth = like - penalty * (k - 1) * math.log(len(rows) + 1)
+        if best is None or worth > best[0]:
+            best = worth, {model.languages[i]: x for i, x in zip(order, pi)}
+    return best[1]
+
+
+def test_mixtures_against_a_plain_version():
+    from rulespan.llm.language_id import BUCKETS, Model, infer, trigrams
+
+    rnd = random.Random(31)
+    vocab = {x: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(60)] for x, letters in (("a", "abcdefg"), ("b", "efghijkl"), ("c", "klmnopqr"), ("d", "abmnrstu"))}
+    counts = np.full((BUCKETS, 4), 0.5)
+    for i, x in enumerate(vocab):
+        for _ in range(300):
+            np.add.at(counts[:, i], trigrams(" ".join(rnd.choices(vocab[x], k=20))), 1)
+    model = Model(list(vocab), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    sizes = Counter()
+    for _ in range(40):
+        some = rnd.sample(sorted(vocab), rnd.randint(1, 4))
+        text = " ".join(rnd.choice(vocab[rnd.choice(some)]) for _ in range(rnd.randint(5, 150)))
+        language, share, mix = infer(model, text)
+        want = plain_infer(model, text)
+        assert mix.keys() == want.keys() and all(abs(mix[x] - want[x]) < 1e-6 for x in mix)
+        assert share == max(mix.values()) == mix[language]
+        sizes[len(mix)] += 1
+    assert len(sizes) >= 3
+
+
+def test_verdicts_against_a_plain_version(spark):
+    """The conditional expression gives the number of the first learned rule whose conditions all hold."""
+    from rulespan.llm.quality_rules import FEATURES, learn, verdict
+
+    rnd = np.random.default_rng(5)
+    names = [f"f_{x}" for x in FEATURES]
+    x = {n: np.round(rnd.random(3000), 2) for n in names}
+    bad = ((x[names[0]] > 0.7) & (x[names[1]] < 0.4)) | (x[names[2]] > 0.93)
+    rules = learn(x, bad)
+    assert len(rules) >= 2
+    rows = list(zip(*(x[n].tolist() for n in names)))
+    want = [next((i for i, r in enumerate(rules, 1) if all((row[names.index(c.feature)] >= c.threshold) == c.above for c in r)), 0) for row in rows]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i long, " + ", ".join(f"{n} double" for n in names))
+    found = {r["i"]: r["v"] for r in df.select("i", verdict(rules).alias("v")).collect()}
+    assert [found[i] for i in range(len(rows))] == want
+
+
+def test_taken_words_against_a_plain_version(spark):
+    """Quotas by the highest quotients one word at a time, and words taken one by one, source by source."""
+    from rulespan.llm import mixing
+
+    rnd = random.Random(17)
+    rows = [(i, "w " * rnd.randint(0, 120), rnd.choice(["a", "b", "c", "d", None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["key"]: r for r in mixing.mix(df).collect()}
+    hashes = {r["key"]: (r["hash"], r["tag"]) for r in mixing.with_sizes(df, "doc_id", "text", "source").collect()}
+    size = {k: len(t.split()) for k, t, _ in rows}
+    targets = {s: next(r["target"] for r in out.values() if r["source"] == s) for s in {s for *_, s in rows}}
+    seats, given = round(sum(math.floor(t + 0.5) for t in targets.values())), dict.fromkeys(targets, 0)
+    for _ in range(seats):
+        s = max((s for s in targets if given[s] < 2 * sum(size[k] for k, _, x in rows if x == s)), key=lambda s: targets[s] / (2 * given[s] + 1))
+        given[s] += 1
+    for s in targets:
+        keys = sorted((k for k, _, x in rows if x == s), key=lambda k: (xxhash.xxh64_intdigest(f"42/{hashes[k][0]}"), k))
+        of = [k for k in keys for _ in range(size[k])]
+        n = max(1, round(len(of) / 64))
+        cuts = [i * len(of) // n for i in range(n + 1)]
+        times = [given[s] // len(of)] * len(of)
+        rest = given[s] % len(of)
+        for i in sorted(range(n), key=lambda i: xxhash.xxh64_intdigest(f"42/0/{hashes[keys[0]][1]}/{i}")):
+            for j in range(cuts[i], cuts[i + 1]):
+                if rest:
+                    times[j] += 1
+                    rest -= 1
+        want = Counter()
+        for k, m in zip(of, times):
+            want[k] += m
+        assert {k: out[k]["taken"] for k in keys} == {k: want[k] for k in keys}, s
+
+
+def test_stages_with_odd_rows_and_names(spark):
+    """Columns named as the stages' own, nulls, repeated rows, near clusters of three and a chain: as by plain versions."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows, groups = [], []
+    for g in range(12):
+        w = [word() for _ in range(120)]
+        one, two = list(w), list(w)
+        one[10], two[90] = word(), word()
+        ids = [10 * g, 10 * g + 1, 10 * g + 2]
+        rows += [(i, " ".join(x), "en", "s", 1, 7, 8, 9, "k") for i, x in zip(ids, (w, one, two))]
+        groups.append(ids)
+    rows += [(900, None, None, None, None, 1, 2, 3, None), (901, "", "en", None, 0, 1, 2, 3, "x"), (None, rows[0][1], "en", "s", 1, 1, 2, 3, "y"), (902, rows[0][1], "en", "s", 1, 4, 5, 6, "z"), rows[0], (903, "short text", "en", "s", 2, 0, 0, 0, ""), (904, "short  text", "en", "s", 2, 0, 0, 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, row_ int, null int, key string").repartition(3)
+    exact = cp.exact(spark, df, "")
+    assert exact.columns == df.columns
+    best = {}
+    for r in rows:
+        t = r[1] or ""
+        if t not in best or (r[0] if r[0] is not None else -1) > (best[t][0] if best[t][0] is not None else -1):
+            best[t] = r
+    same([tuple(r) for r in exact.collect()], best.values())
+    near = cp.near(spark, exact, "")
+    assert near.columns == df.columns
+    left = [r["doc_id"] for r in near.collect()]
+    assert len(left) == len(set(left)) and set(left) <= {r[0] for r in best.values()}
+    for ids in groups:
+        assert len({*ids, 902 if 0 in ids else ids[0]} & set(left)) == 1
+    assert {901, 900} & set(left) == {901} and len({903, 904} & set(left)) == 1
+    mixed = cp.mixture(spark, near, "")
+    assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} <= set(left)
+    for stage in (cp.exact, cp.near, cp.mixture):
+        assert stage(spark, df.limit(0), "").collect() == []
+
+
 def test_very_long_texts_in_bounded_memory():
     """20 MB through each function that reads a whole text: its peak beside the text stays below 16 bytes a byte of text."""
     import resource
