@@ -56,6 +56,8 @@ FLAGS = {
     "is_fastapi": "language = 'python' AND repo_type = 'api-service'",
     "dod": "CASE WHEN repo_type IN ('pipeline-cog', 'trigger-cog', 'evaluator-service') THEN 'new_cog' WHEN repo_type = 'api-service' THEN if(language = 'python', 'new_fastapi_service', 'new_hono_service') WHEN repo_type = 'static-site' THEN 'new_frontend_site' WHEN repo_type = 'react-app' THEN 'new_react_app' END",
 }
+#: Files whose contents rules read.
+READ = "startswith(path, 'src/') OR startswith(path, 'tests/') OR startswith(path, '.github/workflows/') OR path IN ('README.md', 'CHANGELOG.md', 'pyproject.toml', 'package.json', 'requirements.txt', '.releaserc.json', '.env.example', 'index.yaml', 'prefect.yaml')"
 _NAME = r'(?m)^\s*name\s*=\s*"([^"]+)"'
 
 
@@ -160,13 +162,15 @@ def _cross(files: DataFrame, facts: DataFrame, repos: DataFrame, own: DataFrame)
 
 
 def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names: ru.Names = ru.Names()) -> tuple[DataFrame, DataFrame]:
-    """(findings, checked). A check that breaks off on a file gives a row of the rule CHECKER; the others go on.
+    """(findings, checked). A check that breaks off on a file gives a row of the rule CHECKER; the others go on. So does
+    a file that is not UTF-8, if files say so in a column decode_ok, and then counts as empty.
 
     findings: repo, seq, rule_id, violation_id, severity, dimension, finding, suggestion (null where a rule was skipped), deferred; seq orders the kinds of rules,
     then their place in the list. checked: repo, rule_id, for every rule that applies, skipped ones too.
     mono_rules: also run the two monorepo rules, which are off by default. names: what belongs to one organisation.
     """
     rules, by_path = ru.repo_rules(names), ru.file_rules(names)
+    unread = files.filter(~F.col("decode_ok") & F.expr(READ)).select("repo", F.concat(F.lit("Check of "), "path", F.lit(" raised an unexpected error: not UTF-8")).alias("text")) if "decode_ok" in files.columns else None
     files = prepared(files)
     repos = repos.withColumn("repo_type", repo_type(F.col("repo_type"))).withColumn("mono_rules", F.lit(mono_rules))
     repos = repos.select("*", *(F.expr(e).alias(n) for n, e in FLAGS.items()))
@@ -208,7 +212,8 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     some = some.join(checked.filter("wrapped").select("repo", "rule_id", "language"), ["repo", "rule_id"]).filter("rule_id NOT IN ('API-004', 'TEST-013') OR py = (language = 'python')")
     found = found.unionByName(some.select("repo", "seq", "rule_id", "severity", "dimension", "finding", F.lit(True).alias("wrapped"), F.lit(False).alias("always")))
 
-    broke = facts_rows.filter("kind = 'CHECKER'").join(repos.select("repo"), "repo", "left_semi").distinct()
+    broke = facts_rows.filter("kind = 'CHECKER'").select("repo", "text")
+    broke = (broke if unread is None else broke.union(unread)).join(repos.select("repo"), "repo", "left_semi").distinct()
     found = found.unionByName(broke.select("repo", F.lit(3000).alias("seq"), F.lit("CHECKER").alias("rule_id"), F.lit("WARN").alias("severity"), F.lit(ru.STRUCT).alias("dimension"), F.col("text").alias("finding"), F.lit(False).alias("wrapped"), F.lit(True).alias("always")))
 
     cuts = lambda table: F.create_map(*(F.lit(k) if i == 0 else F.array(*map(F.lit, sorted(v))) for k, v in table.items() for i in (0, 1)))

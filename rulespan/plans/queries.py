@@ -332,10 +332,10 @@ def q_severity_counts(t):
 @query("WITH d AS (SELECT CAST(max(ts) AS DATE) AS day FROM events), l AS (SELECT user_id, event_type FROM events, d WHERE CAST(ts AS DATE) < day QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT event_id, user_id, event_type FROM events e, d WHERE CAST(ts AS DATE) = day AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = e.user_id AND l.event_type = e.event_type)")
 def q_dedup_vs_latest(t):
     """Events of the last day but those that repeat their user's latest event before it."""
-    day = t.events.agg(F.max("ts").cast("date").alias("day"))
-    e = t.events.select("event_id", "user_id", "event_type", "ts").join(F.broadcast(day))  # one row
-    stored = fd.latest(e.filter("cast(ts AS date) < day"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_type")
-    return fd.not_stored(e.filter("cast(ts AS date) = day"), stored, "user_id", ["event_type"]).select("event_id", "user_id", "event_type")
+    day = t.events.select(F.max("ts").cast("date")).scalar()
+    e = t.events.select("event_id", "user_id", "event_type", "ts")
+    stored = fd.latest(e.filter(c("ts").cast("date") < day), "user_id", F.struct("ts", "event_id")).select("user_id", "event_type")
+    return fd.not_stored(e.filter(c("ts").cast("date") == day), stored, "user_id", ["event_type"]).select("event_id", "user_id", "event_type")
 
 
 @query("WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' ' || chr(9) || event_type || chr(10) WHEN 1 THEN chr(160) || chr(12) WHEN 2 THEN NULL ELSE event_type END AS f, CASE event_id % 3 WHEN 0 THEN 'warning' WHEN 1 THEN ' ERROR ' ELSE event_type END AS s, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' d ' END AS d FROM events) SELECT event_id, trim(f, ' ' || chr(9) || chr(10) || chr(12) || chr(160)) AS finding, " + _SEV_SQL.format("INFO") + " AS severity, coalesce(nullif(d, ''), 'pipeline_consistency') AS dimension, nullif(d, '') AS suggestion, nullif(f, '') AS violation_id FROM p WHERE nullif(trim(f, ' ' || chr(9) || chr(10) || chr(12) || chr(160)), '') IS NOT NULL")

@@ -60,7 +60,7 @@ _REPO = {
 
 
 def _tree(t) -> tuple[DataFrame, DataFrame]:
-    made = t.documents.crossJoin(t.spark.range(4).withColumnRenamed("id", "v"))  # four rows
+    made = t.documents.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"))
     made = made.selectExpr("text", f"doc_id % {_N} AS nth", f"CAST(floor(doc_id / {_N}) AS BIGINT) * 4 + v AS repo_n")
     files = made.filter(_THERE).selectExpr("concat('r', repo_n) AS repo", f"{_PATH} AS path", f"{_CONTENT} AS content")
     pairs = lambda when, items: F.expr(f"CASE WHEN {when} THEN array({items}) ELSE array() END").cast("array<struct<rule:string,reason:string>>")

@@ -257,3 +257,11 @@ def test_delivery_keeps_dead_letters(spark, tmp_path):
     rows = spark.createDataFrame([("a", "good"), ("b", "bad")], "repo string, finding string")
     out = deliver(rows, post, f"file://{tmp_path}/sent")
     assert sorted((r["repo"], r["error"]) for r in out.collect()) == [("a", None), ("b", "refused")]
+
+
+def test_undecodable_file_is_told(spark):
+    files = spark.createDataFrame([("r", "src/a.py", None, False), ("r", "src/b.py", "print(1)\n", True), ("r", "logo.png", None, False)], FILES + ", decode_ok boolean")
+    repos = spark.createDataFrame([("r", "r", "python", "pipeline-cog", None, None, None, None, None)], REPOS)
+    found = [(r["rule_id"], r["finding"]) for r in evaluate(files, repos)[0].collect()]
+    assert [f for r, f in found if r == "CHECKER"] == ["Check of src/a.py raised an unexpected error: not UTF-8"]
+    assert ("CD-003", "print() statement found in src/b.py.") in found
