@@ -33,7 +33,7 @@ def _bit(scope: str, test: str) -> int:
 
 
 def _read(i: int, row: str) -> Column:
-    return F.coalesce(F.col(f"{row}{i // 60}").bitwiseAND(F.lit(1 << i % 60)) != 0, F.lit(False))
+    return F.expr(f"coalesce(({row}{i // 60} & {1 << i % 60}L) <> 0, false)")
 
 
 def atom(test: str, row: str = "own", scope: str = "true") -> Column:

@@ -78,16 +78,15 @@ def prepared(files: DataFrame) -> DataFrame:
 
 def repo_facts(files: DataFrame) -> DataFrame:
     """One row a repository: the bits of all atoms, first paths, lines of code, names. One pass, one shuffle of small rows."""
-    none, either = F.lit(0).cast("long"), lambda x: reduce(lambda a, b: a.bitwiseOR(b), x)
 
-    def chunk(atoms: list[tuple[str, str]]) -> Column:
-        """The bits of one file; a scope is tested once for all of its tests."""
-        scopes: dict[str, list[Column]] = {}
+    def chunk(atoms: list[tuple[str, str]]) -> str:
+        """The bits of one file, as SQL; a scope is tested once for all of its tests."""
+        scopes: dict[str, list[str]] = {}
         for i, (scope, test) in enumerate(atoms):
-            scopes.setdefault(scope, []).append(F.when(F.expr(test), F.lit(1 << i)).otherwise(none))
-        return either(F.when(F.expr(scope), either(tests)).otherwise(none) for scope, tests in scopes.items())
+            scopes.setdefault(scope, []).append(f"if({test}, {1 << i}L, 0L)")
+        return " | ".join(f"if({scope}, {' | '.join(tests)}, 0L)" for scope, tests in scopes.items())
 
-    bits = [F.bit_or(chunk(ru.ATOMS[i : i + 60])).alias(f"own{i // 60}") for i in range(0, len(ru.ATOMS), 60)]
+    bits = [F.expr(f"bit_or({chunk(ru.ATOMS[i : i + 60])})").alias(f"own{i // 60}") for i in range(0, len(ru.ATOMS), 60)]
     firsts = [F.min(F.when(F.expr(t), F.col("path"))).alias(n) for n, t in ru.FIRST_PATHS.items()]
     code = F.expr("startswith(path, 'src/') AND ext IN ('py', 'ts', 'tsx', 'js', 'mjs') AND content <> ''")
     loc = F.sum(F.when(code, F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"))).otherwise(0)).alias("loc")
@@ -185,8 +184,10 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     split = (called[0] != "") & F.col("src_package").isNotNull() & (F.replace("project_name", F.lit("-"), F.lit("_")) != F.col("src_package"))
     own = own.withColumn("split_identity", F.coalesce(split & ~documented, F.lit(False))).fillna({"project_name": "", "loc": 0})
 
-    entry = lambda i, r: F.struct(F.lit(i).alias("seq"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.dimension).alias("dimension"), F.when(F.coalesce(F.expr(r.gate) & r.test, F.lit(False)), r.text).alias("finding"), F.lit(r.wrapped).alias("wrapped"), F.lit(r.always).alias("always"))
-    found = own.select("repo", F.explode(F.array(*(entry(i, r) for i, r in enumerate(rules)))).alias("x")).select("repo", "x.*").filter("finding IS NOT NULL")
+    fired = F.array(*(F.when(F.coalesce(F.expr(r.gate) & r.test, F.lit(False)), r.text) for r in rules))
+    listing = lambda values: "element_at(array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in values) + "), seq + 1)"
+    about = [F.expr(listing([getattr(r, c) for r in rules])).alias(c) for c in ("rule_id", "severity", "dimension", "wrapped", "always")]
+    found = own.select("repo", F.posexplode(fired).alias("seq", "finding")).filter("finding IS NOT NULL").select("repo", "seq", *about[:3], "finding", *about[3:])
     found = materialise(found, "repo-findings")
 
     gates: dict[str, str] = {}
@@ -196,10 +197,10 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     for r in rules:
         if not r.wrapped:
             every[r.rule_id] = f"({every[r.rule_id]}) OR ({r.gate})" if r.rule_id in every else r.gate
-    listed = F.array_compact(F.array(*(F.when(F.expr(g), F.struct(F.lit(k).alias("rule_id"), F.lit(k in gates).alias("wrapped"))) for k, g in every.items())))
+    listed = F.expr("array_compact(array(" + ", ".join(f"if({g}, struct('{k}' AS rule_id, {str(k in gates).lower()} AS wrapped), NULL)" for k, g in every.items()) + "))")
     checked = materialise(repos.select("repo", "language", F.explode(listed).alias("x")).select("repo", "language", "x.*"), "checked-rules")
 
-    tests = F.array_compact(F.array(*(F.when(F.expr(t), F.struct(F.lit(1000 + i).alias("seq"), F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(dim).alias("dimension"), F.format_string(text, "path").alias("finding"))) for i, (rule, sev, dim, _, t, text) in enumerate(by_path))))
+    tests = F.expr("array_compact(array(" + ", ".join(f"if({t}, struct({1000 + i} AS seq, '{rule}' AS rule_id, '{sev}' AS severity, '{dim}' AS dimension, format_string('{text}', path) AS finding), NULL)" for i, (rule, sev, dim, _, t, text) in enumerate(by_path)) + "))")
     by_file = materialise(files.select("repo", F.explode(tests).alias("x")).select("repo", "x.*"), "file-findings")
     facts_rows = source_facts(files)
     kinds = ru.SOURCE_RULES | ru.CROSS_RULES
