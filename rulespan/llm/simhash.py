@@ -311,7 +311,9 @@ def value_groups(members: DataFrame, texts: DataFrame, k: int, similarity: float
     blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("long")
     groups = groups.select(F.col("of.value").alias("value"), blocks(F.col("m"), F.col("of.n")).alias("blocks"))
     rows = materialise(members.join(groups, "value").select("value", "row", "n", "blocks"), "similar-rows")
-    sets = materialise(shingle_sets(texts.join(rows.select("row").distinct(), "row", "left_semi"), k), "similar-sets")
+    # written first: Spark then knows their size, and shuffles the texts only where they are too many to broadcast
+    wanted = materialise(rows.select("row").distinct(), "similar-wanted")
+    sets = materialise(shingle_sets(texts.join(wanted, "row", "left_semi"), k), "similar-sets")
     links = materialise(_block_links(rows.select("value", F.pmod(F.xxhash64("row", F.lit(2)), "blocks").alias("block"), "row"), sets, similarity), "similar-links")
     large = materialise(rows.filter("blocks > 1"), "similar-large")
     roots = connected_components(links)
