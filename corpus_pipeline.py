@@ -65,7 +65,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = unused(docs.columns, "row")
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     gone = similar_groups(rows, row, "text", k=5, similarity=0.8).filter("row != root").select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    # written first: Spark then knows its size, and shuffles the documents only where it is too large to broadcast
+    return rows.join(materialise(gone, "near-gone"), row, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
