@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
 from .text import filled, strip
 
 REASONED = "array<struct<rule:string,reason:string>>"
@@ -56,6 +57,7 @@ def config_rows(files: DataFrame, types: tuple[str, ...], traits: tuple[str, ...
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
 
+    ship(files.sparkSession)
     return files.select("repo", "content").mapInArrow(read, _CONFIG)
 
 

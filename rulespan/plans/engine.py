@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from ..functions.source_facts import source_rows
 from ..functions.store import materialise
 from ..operators import findings as fd
@@ -107,6 +108,7 @@ def source_facts(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["repo", "path", "kind", "text", "detail"])
 
+    ship(files.sparkSession)
     wanted = files.filter("ext IN ('py', 'ts', 'tsx', 'js', 'jsx', 'astro') OR path IN ('package.json', '.releaserc.json', 'index.yaml', '.env.example')")
     return materialise(wanted.select("repo", "path", "content").mapInArrow(scan, "repo string, path string, kind string, text string, detail string"), "source-facts")
 

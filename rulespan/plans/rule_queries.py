@@ -317,10 +317,8 @@ def _engine_sql() -> str:
 
 def q_rules_engine(t) -> DataFrame:
     """All rules on all trees; the rows of those that need a parse are in the queries q_ast_*."""
-    from ..functions.ship import ship
     from ..operators import rules as ru
 
-    ship(t.spark)
     files, repos = _tree(t)
     parsed = [*ru.SOURCE_RULES, *ru.CROSS_RULES, "FE-006", "CHECKER"]
     return evaluate(files, repos, mono_rules=True)[0].filter(~F.col("rule_id").isin(*parsed)).select("repo", "rule_id", "severity", "dimension", "finding", "deferred")
@@ -354,10 +352,8 @@ _MODULES = (
 
 def q_ast_rules(t) -> DataFrame:
     """Each part is a repository with one module, whose path and source follow from the part."""
-    from ..functions.ship import ship
     from ..operators import rules as ru
 
-    ship(t.spark)
     i, n = F.col("p_partkey"), len(_MODULES)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % n + 1).cast("int"))
     repo, path = F.concat(F.lit("p"), i.cast("string")), F.concat(F.lit("src/m/f"), F.col("p_size").cast("string"), F.lit(".py"))

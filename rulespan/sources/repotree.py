@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.ship import ship
+
 SCHEMA = "repo string, path string, name string, ext string, is_dir boolean, size long, content string, decode_ok boolean"
 
 
@@ -71,4 +73,5 @@ class RepoTree(DataSource):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.dataSource.register(RepoTree)
