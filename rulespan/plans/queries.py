@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import model_responses as mr
+from ..functions import prompts as ask
 from ..functions import repo_config as rc
 from ..functions.store import shared_dir
 from ..operators import findings as fd
@@ -559,6 +561,57 @@ def q_soft_rules(t):
     return fd.soft_rules(rules, t.labels.filter("quality = 1").select(rule("doc_id")), t.labels.filter("toxic = 1").select(rule("doc_id"))).select("rule_id")
 
 
+def _filled(template: str, **values: str) -> str:
+    """The template as SQL, from the SQL of its values."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"coalesce(CAST({values[p]} AS VARCHAR), '')" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))
+
+
+def _lines(rows: str, none: str) -> str:
+    return f"coalesce((SELECT string_agg(line, chr(10) ORDER BY seq, line) FROM {rows} b WHERE b.repo = p.repo), '{none}')"
+
+
+_SEEN = "CASE l_linenumber WHEN 1 THEN '.github/' WHEN 2 THEN 'web/node_modules/' WHEN 3 THEN 'src/__pycache__/' ELSE 'src/' END || 'f' || l_orderkey || '-' || l_linenumber || '.py'"
+
+
+@query(
+    "WITH p AS (SELECT 's' || s_suppkey AS repo, 'pipeline-cog' AS repo_type, 'python' AS language, '6.1' AS standards_version FROM supplier), "
+    "r AS (SELECT *, 's' || l_suppkey AS repo, l_orderkey AS seq, 'R' || l_partkey AS rule_id, CASE WHEN l_linenumber % 3 > 0 THEN 'N' || l_linenumber END AS notes FROM lineitem), "
+    "a AS (SELECT *, '- ' || rule_id || ' [' || l_returnflag || ']: T' || l_linenumber || chr(10) || '  How to check: ' || coalesce(notes, '') AS line FROM r), n AS (SELECT * FROM a WHERE notes IS NOT NULL), "
+    "f AS (SELECT repo, seq, CASE l_linenumber WHEN 1 THEN 'CHECKER' WHEN 2 THEN NULL ELSE rule_id END AS rule_id, CASE WHEN l_linenumber <> 4 THEN 'WARN' END AS severity, l_linenumber AS k FROM r WHERE l_returnflag = 'R'), "
+    "g AS (SELECT repo, seq, '- [' || coalesce(severity, 'INFO') || '] ' || coalesce(rule_id, '?') || ': F' || k AS line FROM f), x AS (SELECT repo, seq, rule_id, '  - ' || rule_id || CASE WHEN l_tax > 0.03 THEN ': because ' || l_linenumber ELSE '' END AS line FROM r WHERE l_discount > 0.08), "
+    "d AS (SELECT repo, rule_id FROM r WHERE l_returnflag = 'A' AND l_linenumber > 4 UNION SELECT repo, coalesce(rule_id, '') FROM f WHERE rule_id IS DISTINCT FROM 'CHECKER' UNION SELECT repo, 'EVAL-002' FROM p), dl AS (SELECT repo, 0 AS seq, '  - ' || rule_id AS line FROM d), "
+    "s AS (SELECT * FROM a WHERE l_linestatus = 'O' AND (repo, rule_id) NOT IN (SELECT (repo, rule_id) FROM d) AND (repo, rule_id) NOT IN (SELECT (repo, rule_id) FROM x)), "
+    f"w AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS n, count(*) OVER (PARTITION BY repo) AS total FROM (SELECT repo, {_SEEN} AS path FROM r WHERE l_linenumber > 3 UNION ALL SELECT 's' || doc_id, 'README.md' FROM documents)), "
+    "i AS (SELECT repo, n AS seq, '  ' || path AS line FROM w WHERE n <= 60 UNION ALL SELECT repo, 61, '  ... (' || (max(total) - 60) || ' more files)' FROM w GROUP BY repo HAVING max(total) > 60), "
+    "h AS (SELECT 's' || doc_id AS repo, 0 AS seq, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || chr(10) || '...(truncated)' ELSE text END AS line FROM documents) "
+    "SELECT repo, " + _filled(ask.CONFORMANCE, repo="repo", repo_type="repo_type", language="language", standards_version="standards_version", exceptions=_lines("x", "  (none)"), inventory=_lines("i", ""), readme=_lines("h", ""), rules=_lines("n", "(none)"), findings=_lines("g", "(none)"), soft=_lines("s", "(none: all rules are covered by checks)"), resolved=_lines("dl", "  (none)")) + " AS prompt FROM p"
+)
+def q_conformance_prompts(t):
+    """A supplier is a repository; its rules, findings, exceptions and files are its line items, its README a document."""
+    repo, k = lambda x: F.concat(lit("s"), c(x).cast("string")).alias("repo"), c("l_linenumber")
+    say = lambda x, n: F.concat(lit(x), c(n).cast("string"))
+    rows = t.lineitem.select("*", repo("l_suppkey"), c("l_orderkey").alias("seq"), say("R", "l_partkey").alias("rule_id"))
+    rules = rows.select("repo", "seq", "rule_id", c("l_returnflag").alias("severity"), say("T", "l_linenumber").alias("title"), F.when(k % 3 > 0, say("N", "l_linenumber")).alias("check_notes"), F.when(c("l_linestatus") == "O", "llm").otherwise("deterministic").alias("check_mode"))
+    findings = rows.filter("l_returnflag = 'R'").select("repo", "seq", F.when(k == 1, "CHECKER").when(k != 2, c("rule_id")).alias("rule_id"), F.when(k != 4, "WARN").alias("severity"), say("F", "l_linenumber").alias("finding"))
+    skips = rows.filter("l_discount > 0.08D").select("repo", "seq", "rule_id", F.when(c("l_tax") > 0.03, say("because ", "l_linenumber")).alias("reason"))
+    files = rows.select("repo", F.expr(_SEEN).alias("path"), lit(None).cast("string").alias("content")).union(t.documents.select(repo("doc_id"), lit("README.md"), "text"))
+    repos = t.supplier.select(repo("s_suppkey"), lit("pipeline-cog").alias("repo_type"), lit("python").alias("language"), lit("6.1").alias("standards_version"))
+    return ask.conformance_prompts(repos, rules, findings, rows.filter("l_returnflag = 'A' AND l_linenumber > 4").select("repo", "rule_id"), skips, files)
+
+
+_RUN = {"run_id": "o_orderkey", "standards_version": "'6.1'", "folders_processed": "o_custkey % 4", "tabs_written": "o_custkey % 3", "total_sets": "o_custkey", "json_snapshot_written": "o_orderstatus = 'F'", "current_year": "1995"}
+
+
+@query(
+    "SELECT o_orderkey AS run, " + _filled(ask.COLLECTION_RUN, **_RUN, folder_names="CASE o_custkey % 3 WHEN 0 THEN '(none)' WHEN 1 THEN o_orderstatus ELSE o_orderstatus || ', ' || o_orderpriority END") + " AS prompt FROM orders"
+)
+def q_run_prompts(t):
+    names = F.expr("CASE o_custkey % 3 WHEN 0 THEN array() WHEN 1 THEN array(o_orderstatus) ELSE array(o_orderstatus, o_orderpriority) END")
+    runs = t.orders.select(*(F.expr(x).alias(n) for n, x in _RUN.items()), names.alias("folder_names"))
+    return runs.select(c("run_id").alias("run"), ask.run_prompts(runs, ask.COLLECTION_RUN).alias("prompt"))
+
+
 @query("WITH r AS (SELECT source, lpad(doc_id::VARCHAR, 9, '0') AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS total FROM documents) SELECT source, n, path AS line FROM r WHERE n <= 60 UNION ALL SELECT source, 61, '... (' || (max(total) - 60) || ' more)' FROM r GROUP BY source HAVING max(total) > 60")
 def q_inventory_topk(t):
     paths = t.documents.select("source", F.lpad(c("doc_id").cast("string"), 9, "0").alias("path"))
