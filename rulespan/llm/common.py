@@ -14,6 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from ..functions.store import discard, materialise, shared_dir  # noqa: F401
 
 
@@ -83,7 +84,8 @@ def relax(keep_tokens: bool = False) -> None:
 
 
 def calm(f: Callable, keep_tokens: bool = False) -> Callable:
-    """f over batches, and relax() when its task ends."""
+    """f over batches, and relax() when its task ends. The workers get the package, whatever folder the driver runs in."""
+    ship(SparkSession.active())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
