@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from ..functions.text import filled, strip
 
 #: What a rule's row replaces when both are there for a repo. Fixed values.
@@ -160,6 +161,7 @@ def deliver(rows: DataFrame, post: Callable[[dict], None], folder: str) -> DataF
                     errors.append(str(x) or type(x).__name__)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(errors, pa.string())], names=[*b.schema.names, "error"])
 
+    ship(rows.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", error string"
     rows.mapInArrow(send, schema).write.mode("append").parquet(folder)
     return rows.sparkSession.read.schema(schema).parquet(folder)
