@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and their SQL where SQL can express them."""
+"""The queries of the operators and of the pipeline, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from .collocations import collocations
 from .common import materialise, read_table
 from .exact_dedup import exact_groups
 from .language_id import fit, identify
@@ -16,7 +17,9 @@ from .mixing import mix
 from .packing import pack_documents
 from .quality_rules import fit_rules, statistics, verdict
 from .secret_scan import KINDS, secret_scan
+from .set_join import shingle_groups
 from .simhash import near_groups
+from .spelling import spelling_variants
 from .token_files import read_token_files, write_token_files
 from .warc import read_archives, write_archives
 
@@ -89,6 +92,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_groups(read_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -99,7 +114,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op1_license_scan, op2_token_files, op3_language_id, op4_quality_rules, op5_exact_dedup, op6_warc, op7_secret_scan, op8_packing, op9_simhash, op10_mixing)
+    for f in (op1_license_scan, op2_token_files, op3_language_id, op4_quality_rules, op5_exact_dedup, op6_warc, op7_secret_scan, op8_packing, op9_simhash, op10_mixing, op11_shingle_join, op12_spelling, op13_collocations)
 }
 
 SQL = {
@@ -114,4 +129,44 @@ SQL = {
                CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
         FROM q""",
+    "op11_shingle_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS l
+            FROM documents),
+        u AS (SELECT doc_id, len(l) AS m, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM w),
+        s AS (SELECT doc_id, m, i, w || coalesce(' ' || lead(w) OVER o, '') || coalesce(' ' || lead(w, 2) OVER o, '') || coalesce(' ' || lead(w, 3) OVER o, '') || coalesce(' ' || lead(w, 4) OVER o, '') AS s
+              FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        e AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM s WHERE i + 4 <= m OR i = 1),
+        n AS (SELECT doc_id, count(e.s) AS m FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id),
+        h AS MATERIALIZED (SELECT * FROM e SEMI JOIN (SELECT s FROM e GROUP BY s HAVING count(*) > 1) USING (s)),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM h x JOIN h y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+        p AS (SELECT a, b FROM c JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * common >= 80 * (i.m + j.m - common)),
+        links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT n.doc_id, n.m AS n_shingles, least_id AS component_id FROM n JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = n.doc_id""",
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        q AS (SELECT lang, row_number() OVER () AS p, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS l FROM p),
+        u AS (SELECT lang, p, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM q),
+        g AS (SELECT lang, w, w || ' ' || lead(w) OVER o AS w2, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS w3,
+                     w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS w4,
+                     w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS w5
+              FROM u WINDOW o AS (PARTITION BY p ORDER BY i)),
+        f AS MATERIALIZED (
+            SELECT lang, 1 AS size, w AS phrase, count(*) AS a FROM g GROUP BY ALL UNION ALL SELECT lang, 2, w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 3, w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 4, w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 5, w5, count(*) FROM g WHERE w5 IS NOT NULL GROUP BY ALL),
+        t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE size > 1 AND a >= 100),
+        k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = c.lang AND o.size > c.size AND o.a >= c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+        d AS (SELECT lang, phrase, a, size, unnest(range(1, size)) AS cut, string_split(phrase, ' ') AS l FROM k),
+        v AS (
+            SELECT d.lang, d.phrase, d.a, d.cut, l1.a AS l, r1.a AS r, t.n, (1000 * d.a::HUGEINT * t.n) // (l1.a::HUGEINT * r1.a) AS score
+            FROM d JOIN t USING (lang)
+            JOIN f l1 ON l1.lang = d.lang AND l1.phrase = array_to_string(d.l[1:d.cut], ' ') AND l1.size = d.cut
+            JOIN f r1 ON r1.lang = d.lang AND r1.phrase = array_to_string(d.l[d.cut + 1:], ' ') AND r1.size = d.size - d.cut),
+        b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }

@@ -9,13 +9,13 @@ Texts are read in parts, so that memory holds counts or eight bytes a shingle, n
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import calm, key_text, materialise, raw, word_chunks
@@ -258,7 +258,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return dealt.mapInArrow(calm(links), "a long, b long")
 
 
-def _outer_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def outer_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: links between the rows of a value outside its largest component and all its others. rows: value, row, comp, main (the largest component), copies, blocks."""
 
     def links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,23 +297,48 @@ def _outer_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return dealt.select("value", "block", "outer", "held", "row", "comp", "set").mapInArrow(calm(links), "a long, b long")
 
 
-def value_groups(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+def _blocks(m: Column, n: Column) -> Column:
+    """Blocks of bounded size for m rows with n shingles together."""
+    return F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("long")
+
+
+def _distinct_values(members: DataFrame, *keep: Column) -> DataFrame:
+    """value and the kept aggregates, of one of the values that have the same rows; members: value, row, n."""
+    mark = [F.count("*").alias("m"), F.sum("n").alias("n"), *(F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
+    per = members.groupBy("value").agg(*mark, *keep).filter("m > 1")
+    others = [c for c in per.columns if c not in ("m", "x0", "x1")]
+    return per.groupBy("m", "x0", "x1").agg(F.min_by(F.struct(*others), "value").alias("of")).select("m", "of.*")
+
+
+def rest_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of all pairs of rows that share a value and are in different components. members: value, row, n, comp.
+
+    In each value all rows outside its largest component are compared with every row of the value; values whose rows
+    are in one component are left alone, and of values with the same rows one is looked at.
+    """
+    several = _distinct_values(members, F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least != last").select("value")
+    rows = materialise(members.join(several, "value", "left_semi"), "similar-rest")
+    sizes = rows.groupBy("value", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    main = sizes.groupBy("value").agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    main = main.select("value", F.col("top.comp").alias("main"), _blocks(F.col("m"), F.col("n")).alias("blocks"), _blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("copies"))
+    outer = materialise(rows.join(main, "value").select("value", "row", "comp", "main", "copies", "blocks"), "similar-outer")
+    return outer_links(outer, sets, similarity)
+
+
+def value_groups(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """row, root: the components of all pairs of rows that share a value and have the similarity.
 
-    members: value, row, n (the row's k-word shingles, distinct); texts: row, text. Of values with the same rows one
+    members: value, row, n (the row's shingles, distinct); sets_of: gives a written table of row, set (of rows at least).
+    Of values with the same rows one
     counts. Rows of a value are dealt to blocks of bounded size, and a task compares all pairs of a block by a product of
     matrices: no pair is a row of a table, and no more links leave a block than join it. Where a value has several blocks, one row of each component
     is compared next, which leaves most rows in one large component; then all rows outside it are compared with every
     row of the value. So no pair of a value is left out but of rows that are in one component already.
     """
-    mark = [F.count("*").alias("m"), F.sum("n").alias("n"), *(F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
-    groups = members.groupBy("value").agg(*mark).filter("m > 1").groupBy("m", "x0", "x1").agg(F.min_by(F.struct("value", "n"), "value").alias("of"))
-    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("long")
-    groups = groups.select(F.col("of.value").alias("value"), blocks(F.col("m"), F.col("of.n")).alias("blocks"))
+    groups = _distinct_values(members).select("value", _blocks(F.col("m"), F.col("n")).alias("blocks"))
     rows = materialise(members.join(groups, "value").select("value", "row", "n", "blocks"), "similar-rows")
     # written first: Spark then knows their size, and shuffles the texts only where they are too many to broadcast
-    wanted = materialise(rows.select("row").distinct(), "similar-wanted")
-    sets = materialise(shingle_sets(texts.join(wanted, "row", "left_semi"), k), "similar-sets")
+    sets = sets_of(materialise(rows.select("row").distinct(), "similar-wanted"))
     links = materialise(_block_links(rows.select("value", F.pmod(F.xxhash64("row", F.lit(2)), "blocks").alias("block"), "row"), sets, similarity), "similar-links")
     large = materialise(rows.filter("blocks > 1"), "similar-large")
     roots = connected_components(links)
@@ -321,19 +346,15 @@ def value_groups(members: DataFrame, texts: DataFrame, k: int, similarity: float
 
         def in_components() -> DataFrame:
             found = roots.select(F.col("node").alias("row"), "root")
-            return large.join(found, "row", "left").select("value", "row", "n", "blocks", F.coalesce("root", "row").alias("comp"))
+            return large.join(found, "row", "left").select("value", "row", "n", F.coalesce("root", "row").alias("comp"))
 
         firsts = in_components().groupBy("value", "comp").agg(F.min_by(F.struct("row", "n"), "row").alias("r")).select("value", "r.*")
         firsts = materialise(firsts, "similar-firsts")
-        count = firsts.groupBy("value").agg(blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        count = firsts.groupBy("value").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
         firsts = firsts.join(count, "value").select("value", F.pmod(F.xxhash64("row", F.lit(3)), "blocks").alias("block"), "row")
         links = links.union(materialise(_block_links(firsts, sets, similarity), "similar-links"))
         roots = connected_components(links)
-        sizes = in_components().groupBy("value", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-        main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "comp", "n")).alias("top"))
-        main = main.filter(F.col("m") > F.col("top.m")).select("value", "main", blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("copies"))
-        outer = materialise(in_components().join(main, "value").select("value", "row", "comp", "main", "copies", "blocks"), "similar-outer")
-        links = links.union(materialise(_outer_links(outer, sets, similarity), "similar-links"))
+        links = links.union(materialise(rest_links(in_components(), sets, similarity), "similar-links"))
         roots = connected_components(links)
     return roots.select(F.col("node").alias("row"), "root")
 
@@ -353,4 +374,5 @@ def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity:
     banded = materialise(_banded(src, k, bands, size), "similar")
     groups = fingerprint_groups(banded.select(F.col("row").alias("key"), "fp"), radius).select(F.col("key").alias("row"), F.xxhash64("component_id").alias("value"))
     balls = groups.join(banded.select("row", "n"), "row").select("value", "row", "n")
-    return value_groups(banded.select(F.explode("values").alias("value"), "row", "n").union(balls), src, k, similarity)
+    members = banded.select(F.explode("values").alias("value"), "row", "n").union(balls)
+    return value_groups(members, lambda wanted: materialise(shingle_sets(src.join(wanted, "row", "left_semi"), k), "similar-sets"), similarity)
