@@ -24,14 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import calm, key_text, materialise, raw
+from .common import calm, key_text, materialise, raw, word_chunks
 from .components import connected_components
-from .simhash import SEED, rest_links, shingle_hashes, value_groups
+from .simhash import deal_outer, outer_links, outer_rows, value_groups
 
 #: Bands begin at these multiples of each other; less than 1 / similarity would have a set visit more than one band below.
 RATIO = 1.5
 #: Sets that a task remembers, so that it gives the signatures of copies once.
 REMEMBERED = 1 << 18
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -42,6 +43,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """The ordered distinct 64-bit hashes of the k-word shingles of the whole text, A-Z lowered, a part of it at a time.
+
+    A shingle's hash is that of the sum of its words' hashes, each times a factor of its place. Fewer words than k: the
+    whole sequence is the one shingle; no words: none.
+    """
+    found, last = [], np.empty(0, np.uint64)
+    factors = mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    for chunk in word_chunks(text):
+        new = chunk.translate(_LOWER).split()
+        last = np.r_[last, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))]
+        n = len(last) - k + 1
+        if n > 0:
+            h = last[:n] * factors[0]
+            for i in range(1, k):
+                h += last[i : n + i] * factors[i]
+            found.append(mixed(h))
+            last = last[n:]
+    if not found and len(last):
+        found.append(mixed((last * factors[: len(last)]).sum(keepdims=True)))
+    return np.unique(np.concatenate(found)) if found else last
+
+
 class Sizes:
     """What sizes say at a similarity of percent / 100: bands, and in how many elements partners may differ."""
 
@@ -109,12 +133,13 @@ def allocate(sizes: Sizes, band: int, sets: int, elements: int) -> tuple[bool, i
 
 def subsets(hashes: np.ndarray, band: int, segments: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first `wanted` segments of a set of hashes, but empty ones: (number, value of its subset), and each element's (segment, value) as rows of one array."""
-    h = mixed(hashes + np.uint64(band))
-    # the upper half chooses the segment, and the value is a sum of other bits
-    segment = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-    keep = segment < np.uint64(wanted)
-    segment, value = segment[keep], mixed(h[keep] ^ np.uint64(SEED))
-    order = np.argsort(segment, kind="stable")
+    value = mixed(hashes + np.uint64(band))
+    # the upper half of the value chooses the segment; a subset's value is the sum of its elements'
+    segment = ((value >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    if wanted < segments:
+        keep = segment < np.uint64(wanted)
+        segment, value = segment[keep], value[keep]
+    order = np.argsort(segment.astype(np.uint16) if segments < 1 << 16 else segment, kind="stable")
     segment, value = segment[order], value[order]
     first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]][: len(segment)])
     sums = np.add.reduceat(value, first) if len(first) else value
@@ -159,7 +184,7 @@ def set_names(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         for b in parts:
             n, names = [], []
             for t in raw(b.column("text")):
-                h = np.unique(shingle_hashes(t, k))
+                h = shingles(t, k)
                 d = xxhash.xxh3_128_digest(h.tobytes())
                 n.append(len(h))
                 names.append(d)
@@ -179,7 +204,7 @@ def signature_rows(docs: DataFrame, key: str, text: str, k: int, sizes: Sizes, p
             held: list[tuple] = []
             size = 0
             for t in raw(b.column("text")):
-                h = np.unique(shingle_hashes(t, k))
+                h = shingles(t, k)
                 both = xxhash.xxh3_128_digest(h.tobytes())
                 if both in seen:
                     continue
@@ -237,7 +262,7 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     found = materialise(candidates(signature_rows(docs, key, text, k, sizes, plans)), "set-candidates")
     met = materialise(found.join(nodes.select("name", "row", "n"), "name").select("value", "row", "n", "n_sets"), "set-members")
-    links = similar_members(met, _sets(docs, key, text, k, nodes.join(met.select("row").distinct(), "row", "left_semi")), percent / 100)
+    links = similar_members(met, _sets(docs, key, text, k, nodes.join(met.select("row").distinct(), "row", "left_semi")), percent)
     roots = connected_components(links).select(F.col("node").alias("row"), "root")
     rooted = nodes.join(roots, "row", "left").select("name", "second", "key", F.coalesce("root", "row").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
@@ -245,33 +270,86 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return rows.join(classes, ["name", "second"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bitmap of at least two bits an element, whose bits say whether an odd number of elements falls there.
+
+    Bitmaps differ in no more bits than their sets in elements; halves of a bitmap XORed are the one of half the size.
+    """
+    bits = 1 << max(6, int(2 * len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Rows of 64-bit words, all folded to `size` bytes."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in bitmaps])
+
+
 def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """row, set (hashes as bytes) of the wanted nodes, from a row of docs that has each."""
+    """row, set (hashes as bytes), bitmap (its parity()) of the wanted nodes, from a row of docs that has each."""
     wanted = materialise(wanted.select("name", "second", "row", F.col("key").alias("of"), F.col("body").alias("from")), "set-wanted")
     src = key_text(docs, key, text).withColumn("body", F.xxhash64("text"))
     src = src.join(wanted, src["key"].eqNullSafe(F.col("of")) & (src["body"] == F.col("from"))).select("row", "name", "second", "text")
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            found = [np.unique(shingle_hashes(t, k)).tobytes() for t in raw(b.column("text"))]
-            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), dtype="<i8").reshape(-1, 2)
+            found = [shingles(t, k) for t in raw(b.column("text"))]
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in found), dtype="<i8").reshape(-1, 2)
             same = pa.array((both[:, 0] == b.column("name").to_numpy()) & (both[:, 1] == b.column("second").to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, pa.binary())], names=["row", "set"]).filter(same)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([h.tobytes() for h in found], pa.binary()), pa.array(map(parity, found), pa.binary())], names=["row", "set", "bitmap"]).filter(same)
 
-    sets = materialise(src.mapInArrow(calm(make), "row long, set binary"), "set-sets")
+    sets = materialise(src.mapInArrow(calm(make), "row long, set binary, bitmap binary"), "set-sets")
     again = sets.groupBy("row").agg(F.count("*").alias("m")).filter("m > 1")  # rows of docs that are wholly equal
     return sets if again.isEmpty() else materialise(sets.dropDuplicates(["row"]), "set-sets")
 
 
-def similar_members(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that join what all similar pairs of rows that share a value join. members: value, row, n, n_sets; sets: row, set.
-
-    First each row is compared in its most frequent value only, which brings large groups of near copies together;
-    then, in every value, the rows outside its largest component with all others of the value.
+def partnered(outer: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """value, row: rows that have one in another component, in the same value, which the bitmaps don't tell apart. outer: of outer_rows()."""
+
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for p in parts:
+            found, batch = set(), []
+
+            def compare() -> None:
+                if not held or not batch:
+                    return
+                size = min(len(x[-1]) for x in held + batch)
+                a, b = folded([x[-1] for x in batch], size), folded([x[-1] for x in held], size)
+                n, m = (np.array([x[2] for x in y]) for y in (batch, held))
+                most = (n[:, None] + m[None, :]) * (100 - percent) // (100 + percent)
+                apart = np.array([x[1] for x in batch])[:, None] != np.array([x[1] for x in held])[None, :]
+                for i in range(len(batch)):
+                    if apart[i].any():
+                        near = np.flatnonzero(apart[i] & (np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64) <= most[i]))
+                        if len(near):
+                            found.add((at[0], batch[i][0]))
+                            found.update((at[0], held[j][0]) for j in near)
+                batch.clear()
+
+            for value, block, copy, is_held, row, comp, n, data in zip(*(p.column(c).to_pylist() for c in ("value", "block", "outer", "held", "row", "comp", "n", "bitmap"))):
+                if (value, block, copy) != at:
+                    compare()
+                    held, at = [], (value, block, copy)
+                (held if is_held else batch).append((row, comp, n, data))
+            compare()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["value", "row"])
+
+    return deal_outer(outer, bitmaps).mapInArrow(calm(find), "value long, row long").distinct()
+
+
+def similar_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join what all similar pairs of rows that share a value join. members: value, row, n, n_sets; sets: of _sets().
+
+    First each row is compared in its most frequent value only, which brings large groups of near copies together.
+    Then, in every value, the rows outside its largest component meet all others of the value: bitmaps of two bits an
+    element leave out what surely differs too much, and the sets of the rest are compared. So a set travels for few of
+    its values.
     """
     most = members.groupBy("row", "n").agg(F.max_by("value", F.struct("n_sets", "value")).alias("value"))
-    roots = value_groups(most.select("value", "row", "n"), lambda _: sets, similarity)
+    roots = value_groups(most.select("value", "row", "n"), lambda _: sets, percent / 100)
     first = materialise(roots.select(F.col("row").alias("a"), F.col("root").alias("b")), "set-links")
     comps = members.join(first.select(F.col("a").alias("row"), F.col("b").alias("comp")), "row", "left").select("value", "row", "n", F.coalesce("comp", "row").alias("comp"))
-    rest = materialise(rest_links(comps, sets, similarity), "set-links")
-    return first.union(rest)
+    rest = outer_rows(comps)
+    near = materialise(partnered(rest, sets.select("row", "bitmap"), percent), "set-near")
+    rest = outer_rows(rest.select("value", "row", "n", "comp").join(near, ["value", "row"], "left_semi"))
+    return first.union(materialise(outer_links(rest, sets.select("row", "set"), percent / 100), "set-links"))

@@ -258,6 +258,18 @@ def _block_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return dealt.mapInArrow(calm(links), "a long, b long")
 
 
+def deal_outer(rows: DataFrame, data: DataFrame) -> DataFrame:
+    """Rows of a value outside its largest component, each with a part of all rows of the value after it, in partitions ordered by value and part.
+
+    rows: of outer_rows(); data: row and what is compared.
+    """
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    hashed = lambda n: F.pmod(F.xxhash64("row", F.lit(2)), F.col(n))
+    out = rows.filter("comp != main").select("value", spread("blocks").alias("block"), hashed("copies").alias("outer"), F.lit(True).alias("held"), "row", "comp", "n")
+    all_rows = rows.select("value", hashed("blocks").alias("block"), spread("copies").alias("outer"), F.lit(False).alias("held"), "row", "comp", "n")
+    return out.union(all_rows).join(data, "row").repartition("value", "block", "outer").sortWithinPartitions("value", "block", "outer", F.col("held").desc())
+
+
 def outer_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: links between the rows of a value outside its largest component and all its others. rows: value, row, comp, main (the largest component), copies, blocks."""
 
@@ -289,12 +301,7 @@ def outer_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             compare()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    hashed = lambda n: F.pmod(F.xxhash64("row", F.lit(2)), F.col(n))
-    out = rows.filter("comp != main").select("value", spread("blocks").alias("block"), hashed("copies").alias("outer"), F.lit(True).alias("held"), "row", "comp")
-    all_rows = rows.select("value", hashed("blocks").alias("block"), spread("copies").alias("outer"), F.lit(False).alias("held"), "row", "comp")
-    dealt = out.union(all_rows).join(sets, "row").repartition("value", "block", "outer").sortWithinPartitions("value", "block", "outer", F.col("held").desc())
-    return dealt.select("value", "block", "outer", "held", "row", "comp", "set").mapInArrow(calm(links), "a long, b long")
+    return deal_outer(rows, sets).select("value", "block", "outer", "held", "row", "comp", "set").mapInArrow(calm(links), "a long, b long")
 
 
 def _blocks(m: Column, n: Column) -> Column:
@@ -310,19 +317,14 @@ def _distinct_values(members: DataFrame, *keep: Column) -> DataFrame:
     return per.groupBy("m", "x0", "x1").agg(F.min_by(F.struct(*others), "value").alias("of")).select("m", "of.*")
 
 
-def rest_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links of all pairs of rows that share a value and are in different components. members: value, row, n, comp.
-
-    In each value all rows outside its largest component are compared with every row of the value; values whose rows
-    are in one component are left alone, and of values with the same rows one is looked at.
-    """
+def outer_rows(members: DataFrame) -> DataFrame:
+    """What outer_links() takes, of members: value, row, n, comp. Values whose rows are in one component are left out, and of values with the same rows all but one."""
     several = _distinct_values(members, F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least != last").select("value")
     rows = materialise(members.join(several, "value", "left_semi"), "similar-rest")
     sizes = rows.groupBy("value", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     main = sizes.groupBy("value").agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     main = main.select("value", F.col("top.comp").alias("main"), _blocks(F.col("m"), F.col("n")).alias("blocks"), _blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("copies"))
-    outer = materialise(rows.join(main, "value").select("value", "row", "comp", "main", "copies", "blocks"), "similar-outer")
-    return outer_links(outer, sets, similarity)
+    return materialise(rows.join(main, "value").select("value", "row", "n", "comp", "main", "copies", "blocks"), "similar-outer")
 
 
 def value_groups(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -354,7 +356,7 @@ def value_groups(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         firsts = firsts.join(count, "value").select("value", F.pmod(F.xxhash64("row", F.lit(3)), "blocks").alias("block"), "row")
         links = links.union(materialise(_block_links(firsts, sets, similarity), "similar-links"))
         roots = connected_components(links)
-        links = links.union(materialise(rest_links(in_components(), sets, similarity), "similar-links"))
+        links = links.union(materialise(outer_links(outer_rows(in_components()), sets, similarity), "similar-links"))
         roots = connected_components(links)
     return roots.select(F.col("node").alias("row"), "root")
 
