@@ -104,6 +104,8 @@ class Sizes:
 
 def tail(mean: float, more_than: int) -> float:
     """Probability that a Poisson number exceeds more_than."""
+    if mean > 500 or more_than > mean + 40 * (mean + 1) ** 0.5:  # near enough, and sums would not end or begin at 0
+        return float(more_than < mean + 8 * mean**0.5)
     term, total = exp(-mean), 0.0
     for i in range(more_than + 1):
         total += term
