@@ -304,13 +304,18 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> Da
     return sets if again.isEmpty() else materialise(sets.dropDuplicates(["row"]), "set-sets")
 
 
-def partnered(outer: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """value, row: rows that have one in another component, in the same value, which the bitmaps don't tell apart. outer: of outer_rows()."""
+def likely(outer: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join what all pairs of rows do that share a value, are in different components and that the bitmaps don't tell apart. outer: of outer_rows()."""
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held, root, at = [], {}, None
         for p in parts:
-            found, batch = set(), []
+            found, batch = [], []
+
+            def top(row: int) -> int:
+                while (up := root.setdefault(row, row)) != row:
+                    root[row] = row = root.setdefault(up, up)
+                return row
 
             def compare() -> None:
                 if not held or not batch:
@@ -320,38 +325,38 @@ def partnered(outer: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
                 n, m = (np.array([x[2] for x in y]) for y in (batch, held))
                 most = (n[:, None] + m[None, :]) * (100 - percent) // (100 + percent)
                 apart = np.array([x[1] for x in batch])[:, None] != np.array([x[1] for x in held])[None, :]
-                for i in range(len(batch)):
-                    if apart[i].any():
-                        near = np.flatnonzero(apart[i] & (np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64) <= most[i]))
-                        if len(near):
-                            found.add((at[0], batch[i][0]))
-                            found.update((at[0], held[j][0]) for j in near)
+                for i in np.flatnonzero(apart.any(axis=1)):
+                    for j in np.flatnonzero(apart[i] & (np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64) <= most[i])):
+                        x, y = batch[i][0], held[j][0]
+                        if (p := top(x)) != (q := top(y)):
+                            root[max(p, q)] = min(p, q)
+                            found.append((x, y))
                 batch.clear()
 
             for value, block, copy, is_held, row, comp, n, data in zip(*(p.column(c).to_pylist() for c in ("value", "block", "outer", "held", "row", "comp", "n", "bitmap"))):
                 if (value, block, copy) != at:
                     compare()
-                    held, at = [], (value, block, copy)
+                    held, root, at = [], {}, (value, block, copy)
                 (held if is_held else batch).append((row, comp, n, data))
             compare()
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["value", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return deal_outer(outer, bitmaps).mapInArrow(calm(find), "value long, row long").distinct()
+    return deal_outer(outer, bitmaps).mapInArrow(calm(find), "a long, b long")
 
 
 def similar_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that join what all similar pairs of rows that share a value join. members: value, row, n, n_sets; sets: of _sets().
 
     First each row is compared in its most frequent value only, which brings large groups of near copies together.
-    Then, in every value, the rows outside its largest component meet all others of the value: bitmaps of two bits an
-    element leave out what surely differs too much, and the sets of the rest are compared. So a set travels for few of
-    its values.
+    Then, in every value, the rows outside its largest component meet all others of the value by bitmaps of two bits an
+    element, which tell apart most of those that differ too much. What is left are groups of rows; a row is in one of
+    them, so its set travels once, and in each group the rows outside its largest component are compared with all.
     """
     most = members.groupBy("row", "n").agg(F.max_by("value", F.struct("n_sets", "value")).alias("value"))
     roots = value_groups(most.select("value", "row", "n"), lambda _: sets, percent / 100)
     first = materialise(roots.select(F.col("row").alias("a"), F.col("root").alias("b")), "set-links")
     comps = members.join(first.select(F.col("a").alias("row"), F.col("b").alias("comp")), "row", "left").select("value", "row", "n", F.coalesce("comp", "row").alias("comp"))
     rest = outer_rows(comps)
-    near = materialise(partnered(rest, sets.select("row", "bitmap"), percent), "set-near")
-    rest = outer_rows(rest.select("value", "row", "n", "comp").join(near, ["value", "row"], "left_semi"))
+    groups = connected_components(likely(rest, sets.select("row", "bitmap"), percent)).select(F.col("node").alias("row"), F.col("root").alias("value"))
+    rest = outer_rows(rest.select("row", "n", "comp").distinct().join(groups, "row").select("value", "row", "n", "comp"))
     return first.union(materialise(outer_links(rest, sets.select("row", "set"), percent / 100), "set-links"))
