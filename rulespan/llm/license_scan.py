@@ -2,8 +2,9 @@
 
 Method: each notice of k permitted edits is split into k + 1 pieces. By the pigeonhole principle a
 text within k edits holds one piece unchanged, so an Aho-Corasick pass over the pieces finds every
-candidate place. From each word that can start the notice there, one pass of Myers' bit-parallel edit distance
-gives the errors up to every later word end. Of the spans within k errors that hold the needed words, those of the
+candidate place. At each word that can start the notice there, the regex library's bounded-error matching decides: one
+match, anchored at that word and at any later word end, says whether the notice can be there at all, and if so a best
+match for every word end gives its errors. Of the spans within k errors that hold the needed words, those of the
 fewest errors that do not overlap are reported, so no place is lost to a better one beside it.
 """
 
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import batches, calm, key_text, raw, word_chunks
@@ -75,7 +77,6 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
 @lru_cache(2)
 def _matcher(notices: tuple):
     import ahocorasick
-
     at: dict[str, list[tuple[int, int]]] = {}
     for i, (_, notice, edits, _) in enumerate(notices):
         for offset, piece in pieces(notice, edits):
@@ -84,34 +85,30 @@ def _matcher(notices: tuple):
     for piece, where in at.items():
         seeds.add_word(piece, (len(piece), where))
     seeds.make_automaton()
-    bits = [{c: sum(1 << j for j, x in enumerate(n) if x == c) for c in set(n)} for _, n, _, _ in notices]
-    return seeds, bits
-
-
-def word_ends(line: str, start: int, notice: str, edits: int, bits: dict[str, int]) -> Iterator[tuple[int, int]]:
-    """(errors, end) of each span from start to the end of a word that is within the edits of the notice."""
-    m = len(notice)
-    mask, high = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = mask, 0, m
-    last = min(len(line) - 1, start + m + edits)
-    for at in range(start, last):
-        eq = bits.get(line[at], 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph, mh = down | ~(xh | up), up & xh
-        score += bool(ph & high) - bool(mh & high)
-        # each further character lowers the distance by one at most
-        if score - (last - at - 1) > edits:
-            return
-        ph, mh = ph << 1 | 1, mh << 1
-        up, down = (mh | ~(xv | ph)) & mask, ph & xv & mask
-        if score <= edits and line[at + 1] == " ":
-            yield score, at + 1
+    return seeds, [(regex.compile(rf"(?:{regex.escape(n)}){{e<={k}}}(?= )"), regex.compile(rf"(?b)(?:{regex.escape(n)}){{e<={k}}}")) for _, n, k, _ in notices]
+
+
+@lru_cache(1 << 14)
+def word_ends(window: str, notices: tuple, i: int) -> list[tuple[int, int]]:
+    """(errors, length) of each span from the window's start to the end of a word that is within the edits of the i-th notice.
+
+    Notices stand in many texts in the same words, so what windows gave is kept.
+    """
+    (_, notice, edits, _), (some, best) = notices[i], _matcher(notices)[1][i]
+    if not some.match(window):
+        return []
+    found = []
+    at = window.find(" ", max(1, len(notice) - edits))
+    while at >= 0:
+        if m := best.fullmatch(window, 0, at):
+            found.append((sum(m.fuzzy_counts), at))
+        at = window.find(" ", at + 1)
+    return found
 
 
 def notice_spans(line: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, float]]:
     """(label, first word, word after the last, errors, score) in line, words joined and framed by single spaces."""
-    seeds, bits = _matcher(notices)
+    seeds, _ = _matcher(notices)
     starts: dict[int, set[int]] = {}
     for end, (size, where) in seeds.iter(line):
         for i, offset in where:
@@ -123,7 +120,8 @@ def notice_spans(line: str, notices: tuple = NOTICES) -> list[tuple[str, int, in
     found = []
     for i, places in starts.items():
         label, notice, edits, needed = notices[i]
-        spans = [(errors, a, b) for a in places for errors, b in word_ends(line, a, notice, edits, bits[i]) if set(needed) <= set(line[a:b].split())]
+        ends = ((a, word_ends(line[a : a + len(notice) + edits + 1], notices, i)) for a in places)
+        spans = [(errors, a, a + n) for a, found_ in ends for errors, n in found_ if set(needed) <= set(line[a : a + n].split())]
         taken: list[tuple[int, int, int]] = []
         for errors, a, b in sorted(spans):
             # spans taken are apart, so only the neighbours of a place can overlap

@@ -21,7 +21,7 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import calm, key_text, materialise, raw, word_chunks
@@ -32,6 +32,8 @@ from .simhash import deal_outer, outer_links, outer_rows, value_groups
 RATIO = 1.5
 #: Sets that a task remembers, so that it gives the signatures of copies once.
 REMEMBERED = 1 << 18
+#: Bits of the filter that texts pass before they are joined to those that are wanted.
+FILTER_BITS = 1 << 23
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -252,7 +254,7 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Shingles count as equal if their 64-bit hashes are, sets if their 128-bit hashes are. Signatures name a set by 64 of
     those bits; two sets of one such name are compared with all that either meets, though not with each other. What is
-    sent to the driver is a row a size band, under a hundred.
+    sent to the driver is a row a size band, under a hundred, and a filter of FILTER_BITS bits.
     """
     sizes = Sizes(percent)
     rows = materialise(set_names(docs, key, text, k), "set-names")
@@ -286,10 +288,24 @@ def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in bitmaps])
 
 
+def _may_hold(wanted: DataFrame, column: str) -> Column:
+    """Whether a column of another table may be among the wanted 64-bit hashes: a bit of FILTER_BITS for each, sent with the plan.
+
+    Its size is fixed. Where so many are wanted that most bits are set, it only leaves out fewer rows.
+    """
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in wanted.select(F.floor(bit / 64).alias("at"), F.expr("shiftleft(1L, cast(pmod(" + f"`{column}`" + ", 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["at"] * 8 : r["at"] * 8 + 8] = np.frombuffer((r["bits"] & (1 << 64) - 1).to_bytes(8, "little"), dtype=np.uint8)
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits.tobytes())), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.expr(f"shiftleft(1, cast(pmod(`{column}`, 8) as int))").bitwiseAND(byte) != 0
+
+
 def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
     """row, set (hashes as bytes), bitmap (its parity()) of the wanted nodes, from a row of docs that has each."""
     wanted = materialise(wanted.select("name", "second", "row", F.col("key").alias("of"), F.col("body").alias("from")), "set-wanted")
     src = key_text(docs, key, text).withColumn("body", F.xxhash64("text"))
+    src = src.filter(_may_hold(wanted.select(F.col("from").alias("body")), "body"))  # before texts are shuffled
     src = src.join(wanted, src["key"].eqNullSafe(F.col("of")) & (src["body"] == F.col("from"))).select("row", "name", "second", "text")
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

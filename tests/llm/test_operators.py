@@ -133,6 +133,20 @@ def test_adjacent_and_dual_notices_against_brute_force():
     assert len([s for s in notice_spans(f" {texts[1]} ") if s[0] == "mit"]) >= 2
 
 
+def test_notices_are_matched_by_the_regex_library_and_fast_enough():
+    import time
+
+    from rulespan.llm import license_scan
+
+    rnd, notices = random.Random(23), license_scan.NOTICES
+    text = " ".join(edited(n, rnd.randint(0, k), rnd) for _ in range(700) for _, n, k, _ in [rnd.choice(notices)]).encode()
+    license_scan.word_ends.cache_clear()
+    began = time.process_time()
+    spans = license_scan.scan_text(text)[2]
+    assert len(spans) > 350 and license_scan.word_ends.cache_info().misses > 700
+    assert (time.process_time() - began) / (len(text) / 1e6) < 90  # no two of these notices are alike
+
+
 # --- 2, 8 -------------------------------------------------------------------------------------------------------
 
 
