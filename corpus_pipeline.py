@@ -58,13 +58,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; groups are joined by pairs of five-word shingle similarity of 0.8 or more.
 
-    Texts that are null or have no word are in no group and stay; of repeated texts one stays. The rows are written
-    once with numbers of their own, so that no number can change between two readings.
+    Texts that are null or have no word are in no group and stay; of repeated texts one stays. Of a group the row with
+    the largest doc_id stays, ties to the largest hash of the text, so what the rows hold decides and not where they lie
+    (rows equal in both are alike). The rows are written once with numbers of their own, so that no number can change
+    between two readings.
     """
     ship(spark)
-    row = unused(docs.columns, "row")
+    row, content = unused(docs.columns, "row"), unused(docs.columns, "content")
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
-    gone = similar_groups(rows, row, "text", k=5, similarity=0.8).filter("row != root").select(F.col("row").alias(row))
+    groups = materialise(similar_groups(rows, row, "text", k=5, similarity=0.8), "near-groups")
+    # few columns and the rows of groups alone: texts are hashed in the scan
+    order = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), F.col(row).alias("row"))
+    ranked = rows.select(F.col(row).alias("row"), order.alias(content)).join(groups, "row")
+    stays = ranked.groupBy("root").agg(F.max(content).alias("stays")).select(F.col("stays.row").alias("row"))
+    gone = groups.join(stays, "row", "left_anti").select(F.col("row").alias(row))
     # written first: Spark then knows its size, and shuffles the documents only where it is too large to broadcast
     return rows.join(materialise(gone, "near-gone"), row, "left_anti").select(*docs.columns)
 

@@ -1,10 +1,13 @@
 """Mixing of sources to target weights by Sainte-Lague apportionment.
 
 Blocks of one word go to sources by the highest quotients target / (2 a + 1), a being the blocks that a source has so
-far: the quotients of at least one half give each source its target, rounded. A source's blocks are apportioned to groups of its own shards, and a group's to
-its shards, in the same way by their sizes. In a shard its documents, in seeded order, form one run of words that is
+far, until the house is full: `share` of all words, or as many as all sources have at `repeats` each. Sources may be many, so a divisor near
+the result gives nearly all blocks by sums over one row a source, and only the quotients around it are ranked. A source's
+blocks are apportioned to groups of its own shards, and a group's to its shards, in the same way by their sizes.
+A block is one word because sources may have fewer words than any larger block, and the runs that are taken need no blocks. In a shard its documents, in seeded order, form one run of words that is
 cut into runs of equal size; whole rounds of all of them come first, the rest of the quota is a seeded choice, and the
 last one chosen is cut where the quota ends. So every shard, and every source however thin, meets its quota exactly.
+Rows are told apart by what they hold and, where several are equal, by their number among those, never by where they lie.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ BLOCK = 64
 SHARD_WORDS, SHARD_ROWS = 250_000, 5_000
 #: Shards of a source that one task apportions blocks to.
 GROUP = 4096
-#: Row hashes that a task remembers to tell repeated rows.
-REMEMBERED = 200_000
+#: Divisors that one pass over the sources tries, and quotients beside a row a source that are ranked in the end.
+DIVISORS, RANKED = 128, 1000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -121,40 +124,90 @@ def cut_spans(text: bytes, spans: Sequence[tuple[int, int]], size: int) -> bytes
 
 
 def with_sizes(docs: DataFrame, key: str, text: str, source: str, carry: Sequence[str] = ()) -> DataFrame:
-    """key, source, tag (source, never null), size, again, hash of each row, and the columns in carry as c0, c1, ...
+    """key, source, tag (source, never null), size, hash of each row, and the columns in carry as c0, c1, ..., written.
 
-    again: 0, but for rows that a task has seen before (same key, source and size) a number of their own. It is part
-    of the hash, so that repeated rows do not all fall into one shard.
+    Equal rows (key, source, size and text) have hashes of their own, so that they don't all fall into one shard.
     """
-    taken = docs.select(docs[key].cast("long").alias("key"), docs[source].cast("string").alias("source"), docs[text].cast("string").alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
+    src = docs.select(docs[key].cast("long").alias("key"), docs[source].cast("string").alias("source"), docs[text].cast("string").alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
+    src = src.withColumn("body", F.xxhash64("text"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        seen: set[int] = set()
-        own = TaskContext.get().partitionId() << 32
+        task, n = TaskContext.get().partitionId(), 0
         for b in parts:
             sizes = [0 if t is None else count_words(t) for t in raw(b.column("text"))]
-            again = []
-            for row in zip(b.column("key").to_pylist(), b.column("source").to_pylist(), sizes):
-                h = xxhash.xxh64_intdigest(repr(row))
-                own += 1
-                again.append(own if h in seen else 0)
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(h)
-            cols = {n: b.column(n) for n in b.schema.names if n != "text"}
-            yield pa.RecordBatch.from_pydict(cols | {"size": pa.array(sizes, pa.int64()), "again": pa.array(again, pa.int64())})
-
-    fields = [f for f in taken.schema if f.name != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", size long, again long"
-    sized = taken.mapInArrow(calm(count), schema)
+            cols = {c: b.column(c) for c in b.schema.names if c != "text"}
+            here = {"size": pa.array(sizes, pa.int64()), "task": pa.array([task] * len(sizes), pa.int64()), "serial": pa.array(range(n, n + len(sizes)), pa.int64())}
+            n += len(sizes)
+            yield pa.RecordBatch.from_pydict(cols | here)
+
+    fields = [f for f in src.schema if f.name != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", size long, task long, serial long"
     tag = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    return sized.withColumn("tag", tag).withColumn("hash", F.xxhash64("key", "source", "size", "again"))
+    sized = src.mapInArrow(calm(count), schema).withColumn("tag", tag).withColumn("hash", F.xxhash64("key", "source", "size", "body")).drop("body")
+    sized = materialise(sized, "mix-rows")
+    again = materialise(repeats_numbered(sized), "mix-repeats")
+    if again.isEmpty():
+        return sized.drop("task", "serial")
+    told = sized.join(again, ["task", "serial"], "left")
+    return materialise(told.withColumn("hash", F.coalesce(F.xxhash64("hash", "again"), "hash")).drop("task", "serial", "again"), "mix-rows")
+
+
+def repeats_numbered(sized: DataFrame) -> DataFrame:
+    """task, serial, again: the number from 0 of each row among those of its hash, for hashes of several rows.
+
+    Rows of a hash are interchangeable, so it doesn't matter which one has which number. They are counted by task, and
+    numbered within their task, so no task sees all rows of a hash.
+    """
+    many = sized.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1").select("hash")
+    rows = sized.select("hash", "task", "serial").join(many, "hash", "left_semi")
+    per = rows.groupBy("hash", "task").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("hash").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("hash", "task", F.coalesce(before, F.lit(0)).alias("before"))
+    local = rows.withColumn("n", F.row_number().over(Window.partitionBy("hash", "task").orderBy("serial")) - 1)
+    return local.join(per, ["hash", "task"]).select("task", "serial", (F.col("before") + F.col("n")).alias("again"))
+
+
+def apportioned(targets: DataFrame, house: int) -> DataFrame:
+    """tag, quota: `house` seats by the highest quotients target / (2 a + 1), ties to the earlier tag; none above its cap.
+
+    targets: tag, target, cap. Each pass sums over the sources what DIVISORS divisors would give, and goes on between the
+    two around the house; what lies between at last, a row a source and RANKED at most, is ranked. Only sums reach the driver.
+    """
+    targets = targets.filter("target > 0")
+    size = targets.agg(F.count("*").alias("n"), F.max("target").alias("top"), F.sum("cap").alias("most")).first()
+    if not size["n"]:
+        return targets.select("tag", F.col("cap").alias("quota"))
+    house = min(house, int(size["most"]))
+    seats = lambda d: F.least(F.col("cap"), F.floor(F.col("target") / d + 0.5)).cast("long")
+    low, high = size["top"] * 1e-30, size["top"] * 4  # all caps, and no seat at all
+    over, under = int(size["most"]), 0
+    for _ in range(60):
+        if over - house <= 0 or over - under <= size["n"] + RANKED:
+            break
+        step = (high / low) ** (1 / (DIVISORS + 1))
+        tried = [low * step**i for i in range(1, DIVISORS + 1)]
+        sums = targets.agg(*(F.sum(seats(F.lit(d))).alias(str(i)) for i, d in enumerate(tried))).first()
+        enough = [i for i, got in enumerate(sums) if got >= house]
+        at = enough[-1] if enough else -1
+        if at >= 0:
+            low, over = tried[at], int(sums[at])
+        if at + 1 < len(tried):
+            high, under = tried[at + 1], int(sums[at + 1])
+        if high / low < 1 + 1e-15:
+            break
+    base = targets.withColumn("base", seats(F.lit(high)) if under or over > house else seats(F.lit(low)))
+    if over <= house:
+        return targets.select("tag", seats(F.lit(low)).alias("quota"))
+    more = base.select("tag", "target", F.explode(F.sequence(F.col("base"), seats(F.lit(low)))).alias("a"), "cap").filter("a < cap")
+    rank = F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("a") + 1)).desc(), "tag", "a"))
+    given = more.withColumn("rank", rank).filter(F.col("rank") <= house - under).groupBy("tag").agg(F.count("*").alias("more"))
+    return base.join(given, "tag", "left").select("tag", (F.col("base") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """tag, source_size, target, quota, full, shards of each source, from source, tag and size of the rows.
+    """tag, source_size, target, quota, shards of each source, from source, tag and size of the rows; quotas add up to the house.
 
     Weights repeat over sources by code point, null last. What exceeds repeats x size is shared anew by weight: in
     the order of repeats x size / weight, sources are full as long as the rest, shared among the others, exceeds theirs.
@@ -174,8 +227,10 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     is_free = F.col("first").isNotNull() & (F.struct((F.col("cap") / F.col("w")).alias("at"), F.col("tag").alias("tag")) >= F.struct(F.col("first.at").alias("at"), F.col("first.tag").alias("tag")))
     target = F.when(is_free, shared).otherwise(F.col("cap"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n") / SHARD_ROWS)).cast("long")
-    quota = F.least(F.floor(F.col("target") + 0.5), F.col("cap")).cast("long")
-    return found.withColumn("target", target).select("tag", "source_size", "target", quota.alias("quota"), shards.alias("shards"))
+    dims = materialise(found.withColumn("target", target).select("tag", "source_size", "target", F.floor("cap").cast("long").alias("cap"), shards.alias("shards")), "mix-targets")
+    total = dims.agg(F.sum("source_size")).first()[0] or 0
+    quotas = apportioned(dims.select("tag", "target", "cap"), int(share * total))
+    return dims.join(quotas, "tag", "left").select("tag", "source_size", "target", F.coalesce("quota", F.lit(0).cast("long")).alias("quota"), "shards")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, finish: tuple[Callable[[pa.Table], pa.Table], str] | None = None) -> DataFrame:
@@ -187,7 +242,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     joined, and broadcast only where Spark finds them small. A task holds a shard: about SHARD_WORDS words or SHARD_ROWS rows.
     finish: what makes other rows of a shard's result, and their schema; it runs in the same Python worker.
     """
-    sized = materialise(with_sizes(docs, key, text, source, carry), "mix-rows")
+    sized = with_sizes(docs, key, text, source, carry)
     dims = materialise(source_targets(sized, weights, share, repeats), "mix-sources")
     dealt = sized.join(dims.select("tag", "shards"), "tag").withColumn("shard", F.pmod("hash", "shards")).drop("shards")
     per = dealt.groupBy("tag", "shard").agg(F.sum("size").alias("words")).withColumn("part", F.floor(F.col("shard") / GROUP))

@@ -747,6 +747,51 @@ def test_rare_source_over_many_shards(spark, monkeypatch):
     assert target["b"] == 50 and all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
 
 
+def test_near_keeps_by_content_not_by_place(spark):
+    """Near copies in either order, and in other splits: the largest doc_id of each group stays."""
+    import corpus_pipeline
+
+    rnd = random.Random(37)
+    base = [" ".join(str(rnd.randrange(10**6)) for _ in range(200)) for _ in range(3)]
+    rows = [(10 * g + i, f"{b} {i}" if i else b) for g, b in enumerate(base) for i in range(4)] + [(99, None), (None, f"{base[0]} x")]
+    for n, order in ((1, rows), (3, rows[::-1])):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(n)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()) == [3, 13, 23, 99]
+
+
+def test_tiny_sources_fill_the_house_exactly(spark):
+    """1,000 sources of one word: highest quotients give 1,500 words, ties to the earlier source."""
+    from rulespan.llm import mixing
+
+    out = mixing.mix(spark.createDataFrame([(i, "w", f"s{i:04}") for i in range(1000)], "doc_id long, text string, source string")).collect()
+    assert sum(r["taken"] for r in out) == 1500 and max(r["taken"] for r in out) == 2
+
+
+def test_apportionment_of_sources_by_quotients(spark):
+    from rulespan.llm.mixing import apportioned, sainte_lague
+
+    rnd = random.Random(29)
+    for scale in (3, 40, 5000):
+        rows = [(f"{i:03}", t := round(rnd.random() ** 3 * scale, 3), max(1, int(2 * t))) for i in range(60)]
+        house = min(round(sum(t for _, t, _ in rows)), sum(c for _, _, c in rows))
+        got_ = {r["tag"]: r["quota"] for r in apportioned(spark.createDataFrame(rows, "tag string, target double, cap long"), house).collect()}
+        want = sainte_lague([t for _, t, _ in rows], house, [c for _, _, c in rows])
+        assert sum(got_.values()) == house and [got_.get(tag, 0) for tag, _, _ in rows] == want
+
+
+def test_mixing_does_not_depend_on_splits(spark):
+    """Half of the rows are one row: the same rows in two and in five partitions give every document the same words."""
+    from rulespan.llm import mixing
+
+    rows = [(7, "a b c d e", "s")] * 3000 + [(10 + i, "d e f " * (i % 5), "s" if i % 3 else "t") for i in range(3000)]
+    runs = []
+    for n in (2, 5):
+        random.Random(n).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        runs.append(sorted((r["key"], r["source"], r["taken"], str(r["spans"])) for r in mixing.mix(df).collect()))
+    assert runs[0] == runs[1]
+
+
 def test_repeated_rows_spread_over_shards(spark):
     """A third of all rows and more are one row: its shards stay of bounded size, reruns agree."""
     from rulespan.llm import mixing
@@ -872,7 +917,7 @@ def test_taken_words_against_a_plain_version(spark):
     hashes = {r["key"]: (r["hash"], r["tag"]) for r in mixing.with_sizes(df, "doc_id", "text", "source").collect()}
     size = {k: len(t.split()) for k, t, _ in rows}
     targets = {s: next(r["target"] for r in out.values() if r["source"] == s) for s in {s for *_, s in rows}}
-    seats, given = round(sum(math.floor(t + 0.5) for t in targets.values())), dict.fromkeys(targets, 0)
+    seats, given = int(1.5 * sum(size.values())), dict.fromkeys(targets, 0)
     for _ in range(seats):
         s = max((s for s in targets if given[s] < 2 * sum(size[k] for k, _, x in rows if x == s)), key=lambda s: targets[s] / (2 * given[s] + 1))
         given[s] += 1
