@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,21 @@ class _Shard:
         ids = np.concatenate(self.parts)
         counts = np.bincount(ids[:limit], minlength=len(self.ids))
         counts[0] = 0
-        return {"shard": number, "lang": lang, "words": [w.decode("utf-8", "replace") for w in self.ids], "counts": counts, "positions": ids.tobytes(), "starts": limit}
+        order = np.r_[0, 1 + np.argsort(-counts[1:], kind="stable")]  # frequent words get small numbers, which pack well
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        words = list(self.ids)
+        return {"shard": number, "lang": lang, "words": [words[i].decode("utf-8", "replace") for i in order], "counts": counts[order], "positions": packed(rank[ids]), "starts": limit}
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """int32 numbers as compressed planes of bytes, the lowest first."""
+    return zstandard.compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 _SHARDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary()), ("starts", pa.int64())])
@@ -68,7 +83,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def shards(docs: DataFrame, text: str, lang: str, size: int = SHARD, held: int = HELD) -> DataFrame:
-    """shard, lang, words (by number, the gap first), counts, positions (int32 numbers), starts (positions where phrases may begin).
+    """shard, lang, words (by number, the gap first), counts, positions (the numbers, packed()), starts (positions where phrases may begin).
 
     A task holds `held` positions at most, with what its last document's part brings; then its largest shard is
     written. A text longer than a shard goes on in the next: the shard gets LONGEST - 1 words more, in which phrases end.
@@ -191,7 +206,7 @@ def _deepen(maps: Bitmaps, names: np.ndarray, phrase: np.ndarray, block: np.ndar
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, int]:
-    return np.frombuffer(table.column("positions")[0].as_py(), dtype=np.int32), table.column("starts")[0].as_py()
+    return unpacked(table.column("positions")[0].as_py()), table.column("starts")[0].as_py()
 
 
 def pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
