@@ -292,25 +292,30 @@ def _engine_sql() -> str:
         "raw_http": f"{TEST} AND (contains(content, 'httpx.get(') OR contains(content, 'httpx.post(') OR contains(content, 'requests.get(') OR contains(content, 'requests.post(')) AND NOT contains(content, 'respx.mock')",
     }
     line = lambda r: (r[6] if len(r) > 6 else True, r[7] if len(r) > 7 else False)
-    found = " UNION ALL ".join(f"SELECT repo, '{r[0]}' AS rule_id, '{r[1]}' AS severity, '{r[2]}' AS dimension, {r[5]} AS finding, {line(r)[0]} AS wrapped, {line(r)[1]} AS always FROM j r WHERE ({r[3]}) AND ({r[4]})" for r in rules)
-    of_file = " UNION ALL ".join(f"SELECT repo, '{rule}' AS rule_id, '{sev}' AS severity, '{dim}' AS dimension, replace('{text}', '%', path) AS finding, true AS wrapped, false AS always FROM f JOIN r USING (repo) WHERE ({gate}) AND {test}" for rule, sev, dim, gate, test, text in by_file)
+    # one pass over repositories, and one over files: a list of the rows that hold, not a branch of a union for each
+    held = lambda cases: "unnest(list_filter([" + ", ".join(cases) + "], lambda x: x IS NOT NULL), recursive := true)"
+    row = lambda when, rule, sev, dim, text, wrap, always: f"CASE WHEN {when} THEN {{'rule_id': '{rule}', 'severity': '{sev}', 'dimension': '{dim}', 'finding': {text}, 'wrapped': {wrap}, 'always': {always}}} END"
+    found = f"SELECT repo, {held([row(f'({r[3]}) AND ({r[4]})', r[0], r[1], r[2], f'CAST({r[5]} AS VARCHAR)', *line(r)) for r in rules])} FROM j r"
+    quote = "replace('{}', '%', path)".format
+    of_file = f"SELECT repo, {held([row(f'({gate}) AND {test}', rule, sev, dim, quote(text), True, False) for rule, sev, dim, gate, test, text in by_file])} FROM f JOIN r USING (repo)"
     wrapped: dict[str, list[str]] = {}
     for rule, gate in [*((r[0], r[3]) for r in rules if line(r)[0]), *((r[0], r[3]) for r in by_file)]:
         wrapped.setdefault(rule, []).append(f"({gate})")
-    checked = " UNION ALL ".join(f"SELECT repo, '{rule}' AS rule_id FROM r WHERE {' OR '.join(dict.fromkeys(gates))}" for rule, gates in wrapped.items())
+    cases = [f"CASE WHEN {' OR '.join(dict.fromkeys(gates))} THEN '{rule}' END" for rule, gates in wrapped.items()]
+    checked = f"SELECT repo, unnest(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)) AS rule_id FROM r"
     table = lambda d: "(VALUES " + ", ".join(f"('{k}', '{x}')" for k, v in d.items() for x in sorted(v)) + ")"
     return (
-        f"WITH m AS (SELECT doc_id, text, doc_id % {_N} AS nth, CAST(floor(doc_id / {_N}) AS BIGINT) * 4 + v AS repo_n FROM documents, range(4) g(v)), f AS (SELECT concat('r', repo_n) AS repo, {_PATH} AS path, {_CONTENT} AS content FROM m WHERE {_THERE}), "
-        f"r AS (SELECT *, repo_type IN ('pipeline-cog', 'evaluator-service') AS is_cog, repo_type = 'trigger-cog' AS is_trigger, repo_type = 'api-service' AS is_api, repo_type IN ('static-site', 'react-app') AS is_frontend, language = 'python' AND repo_type IN ('pipeline-cog', 'trigger-cog', 'api-service', 'shared-library', 'evaluator-service') AS is_python FROM (SELECT repo_n, {', '.join(f'{x} AS {n}' for n, x in _REPO.items())} FROM (SELECT DISTINCT repo_n FROM m))), "
-        f"a AS (SELECT repo, {', '.join(f'bool_or({t}) AS f{i}' for i, t in enumerate(_FLAGS))}, {', '.join(f'min(path) FILTER ({t}) AS {n}' for n, t in firsts.items())}, max(regexp_extract(content, '(?m)^\\s*name\\s*=\\s*\"([^\"]+)\"', 1)) FILTER (path = 'pyproject.toml') AS project, max(lower(content)) FILTER (path = 'README.md') AS readme, min(regexp_extract(path, '^src/([^/]+)/', 1)) FILTER (regexp_matches(path, '^src/[^/]+/')) AS package, "
+        f"WITH m AS (SELECT doc_id, text, doc_id % {_N} AS nth, CAST(floor(doc_id / {_N}) AS BIGINT) * 4 + v AS repo_n FROM documents, range(4) g(v)), f AS MATERIALIZED (SELECT concat('r', repo_n) AS repo, {_PATH} AS path, {_CONTENT} AS content FROM m WHERE {_THERE}), "
+        f"r AS MATERIALIZED (SELECT *, repo_type IN ('pipeline-cog', 'evaluator-service') AS is_cog, repo_type = 'trigger-cog' AS is_trigger, repo_type = 'api-service' AS is_api, repo_type IN ('static-site', 'react-app') AS is_frontend, language = 'python' AND repo_type IN ('pipeline-cog', 'trigger-cog', 'api-service', 'shared-library', 'evaluator-service') AS is_python FROM (SELECT repo_n, {', '.join(f'{x} AS {n}' for n, x in _REPO.items())} FROM (SELECT DISTINCT repo_n FROM m))), "
+        f"a AS MATERIALIZED (SELECT repo, {', '.join(f'bool_or({t}) AS f{i}' for i, t in enumerate(_FLAGS))}, {', '.join(f'min(path) FILTER ({t}) AS {n}' for n, t in firsts.items())}, max(regexp_extract(content, '(?m)^\\s*name\\s*=\\s*\"([^\"]+)\"', 1)) FILTER (path = 'pyproject.toml') AS project, max(lower(content)) FILTER (path = 'README.md') AS readme, min(regexp_extract(path, '^src/([^/]+)/', 1)) FILTER (regexp_matches(path, '^src/[^/]+/')) AS package, "
         "CAST(sum(len(string_split(regexp_replace(content, '\\n$', ''), chr(10)))) FILTER (regexp_matches(path, '^src/.*[.](py|tsx?|m?js)$')) AS BIGINT) AS loc FROM f GROUP BY repo), "
-        "i AS (SELECT repo, regexp_extract(path, '^src/([^/]+)/', 1) AS package, lower(content) AS init FROM f WHERE regexp_matches(path, '^src/[^/]+/__init__[.]py$')), "
-        f"j AS (SELECT r.*, o, p, coalesce(o.project, '') AS project, coalesce(o.loc, 0) AS loc, i.init AS init, {', '.join(f'o.{c} AS {c}' for c in firsts)} FROM r LEFT JOIN a o ON o.repo = r.repo LEFT JOIN a p ON p.repo = r.root LEFT JOIN i ON i.repo = r.repo AND i.package = o.package), "
-        f"found AS ({found} UNION ALL {of_file}), checked AS ({checked}), ex AS (SELECT repo, x.rule, x.reason FROM r, (VALUES ('DOC-001', 'no readers'), ('DOC-004', NULL)) x(rule, reason) WHERE repo_n % 6 = 0), de AS (SELECT repo, x.rule, x.reason FROM r, (VALUES ('DOC-003', 'later'), ('XSTACK-001', 'soon')) x(rule, reason) WHERE repo_n % 6 = 1), "
-        f"skip AS (SELECT repo, rule_id, max(reason) AS reason FROM (SELECT repo, rule_id, NULL AS reason FROM r JOIN {table(TYPE_SKIPS)} s(kind, rule_id) ON kind = repo_type UNION ALL SELECT repo, rule_id, NULL FROM r JOIN {table(TRAIT_SKIPS)} s(trait, rule_id) ON (repo_n % 5 = 0 AND trait IN ('multi-flow', 'logger-primitive')) OR (repo_n % 5 = 1 AND trait = 'cloudflare-pages') UNION ALL SELECT * FROM ex) GROUP BY ALL), "
+        "i AS MATERIALIZED (SELECT repo, regexp_extract(path, '^src/([^/]+)/', 1) AS package, lower(content) AS init FROM f WHERE regexp_matches(path, '^src/[^/]+/__init__[.]py$')), "
+        f"j AS MATERIALIZED (SELECT r.*, o, p, coalesce(o.project, '') AS project, coalesce(o.loc, 0) AS loc, i.init AS init, {', '.join(f'o.{c} AS {c}' for c in firsts)} FROM r LEFT JOIN a o ON o.repo = r.repo LEFT JOIN a p ON p.repo = r.root LEFT JOIN i ON i.repo = r.repo AND i.package = o.package), "
+        f"found AS MATERIALIZED ({found} UNION ALL {of_file}), checked AS ({checked}), ex AS (SELECT repo, x.rule, x.reason FROM r, (VALUES ('DOC-001', 'no readers'), ('DOC-004', NULL)) x(rule, reason) WHERE repo_n % 6 = 0), de AS (SELECT repo, x.rule, x.reason FROM r, (VALUES ('DOC-003', 'later'), ('XSTACK-001', 'soon')) x(rule, reason) WHERE repo_n % 6 = 1), "
+        f"skip AS MATERIALIZED (SELECT repo, rule_id, max(reason) AS reason FROM (SELECT repo, rule_id, NULL AS reason FROM r JOIN {table(TYPE_SKIPS)} s(kind, rule_id) ON kind = repo_type UNION ALL SELECT repo, rule_id, NULL FROM r JOIN {table(TRAIT_SKIPS)} s(trait, rule_id) ON (repo_n % 5 = 0 AND trait IN ('multi-flow', 'logger-primitive')) OR (repo_n % 5 = 1 AND trait = 'cloudflare-pages') UNION ALL SELECT * FROM ex) GROUP BY ALL), "
         "kept AS (SELECT found.* FROM found LEFT JOIN skip USING (repo, rule_id) WHERE always OR skip.repo IS NULL), later AS (SELECT de.* FROM de LEFT JOIN skip ON skip.repo = de.repo AND skip.rule_id = de.rule WHERE skip.repo IS NULL), "
         "told AS (SELECT checked.repo, checked.rule_id, 'INFO' AS severity, 'structural_conformance' AS dimension, 'Skipped: ' || coalesce(skip.reason, '[DEFERRED] ' || de.reason) AS finding, false AS deferred FROM checked JOIN skip USING (repo, rule_id) LEFT JOIN de ON de.repo = checked.repo AND de.rule = checked.rule_id WHERE coalesce(skip.reason, de.reason) IS NOT NULL), "
-        "rows_ AS (SELECT kept.repo, rule_id, CASE WHEN wrapped AND later.repo IS NOT NULL THEN 'INFO' ELSE severity END AS severity, dimension, finding, wrapped AND later.repo IS NOT NULL AS deferred FROM kept LEFT JOIN later ON later.repo = kept.repo AND later.rule = rule_id UNION ALL SELECT * FROM told) "
+        "rows_ AS MATERIALIZED (SELECT kept.repo, rule_id, CASE WHEN wrapped AND later.repo IS NOT NULL THEN 'INFO' ELSE severity END AS severity, dimension, finding, wrapped AND later.repo IS NOT NULL AS deferred FROM kept LEFT JOIN later ON later.repo = kept.repo AND later.rule = rule_id UNION ALL SELECT * FROM told) "
         "SELECT repo, rule_id, severity, dimension, finding, deferred FROM rows_ x WHERE NOT (rule_id IN ('CD-002', 'CD-009') AND EXISTS (SELECT 1 FROM rows_ y WHERE y.repo = x.repo AND y.rule_id = 'CD-010'))"
     )
 
