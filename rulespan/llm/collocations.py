@@ -210,13 +210,18 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, int]:
 
 
 def pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """shard, pair, hash, n of all pairs of a shard's frequent words. right: shard, word, hash of its frequent words."""
+    """shard, pair, hash, n of all pairs of a shard's frequent words; n is 0 for those of its tail. right: shard, word, hash of its frequent words."""
     out = [(np.empty((0, 2), np.int64), np.empty(0, np.int64))]
     word = right.column("word").to_numpy()
     if left.num_rows and len(word):
         order = np.argsort(word)
         word, hashes = word[order], right.column("hash").to_numpy()[order].view(np.uint64)
-        out += mine(*_columns(left), word, None, 2)
+        ids, starts = _columns(left)
+        out += mine(ids, starts, word, None, 2)
+        # pairs that begin behind the shard count there, but phrases of this shard may end in them
+        tail = np.stack([ids[starts:-1], ids[starts + 1 :]], axis=1).astype(np.int64) if len(ids) > starts + 1 else out[0][0]
+        tail = tail[within(tail[:, 0], word) & within(tail[:, 1], word)]
+        out.append((tail, np.zeros(len(tail), np.int64)))
     found, n = np.concatenate([f for f, _ in out]), np.concatenate([c for _, c in out])
     if len(found):
         h = (hashes[np.searchsorted(word, found[:, 0])] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[np.searchsorted(word, found[:, 1])]
@@ -253,7 +258,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     by the phrases themselves, mend.
     """
     parts = materialise(shards(docs, text, lang, size), "phrase-shards")
-    in_shard = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "of")).select("shard", "lang", F.col("number").cast("long").alias("number"), F.col("of.words").alias("phrase"), F.col("of.counts").alias("n")).filter("n > 0")
+    in_shard = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "of")).select("shard", "lang", F.col("number").cast("long").alias("number"), F.col("of.words").alias("phrase"), F.col("of.counts").alias("n")).filter("number > 0")  # words of the tail alone too, with n = 0
     totals = parts.select("lang", F.expr("aggregate(counts, 0L, (s, x) -> s + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     over = in_shard.withColumn("a", F.sum("n").over(Window.partitionBy("lang", "phrase"))).filter(F.col("a") >= least)
     words = materialise(over, "phrase-words")

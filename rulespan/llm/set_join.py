@@ -259,7 +259,7 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sizes = Sizes(percent)
     rows = materialise(set_names(docs, key, text, k), "set-names")
     first = F.min(F.struct("key", "body")).alias("first")
-    nodes = materialise(rows.filter("n > 0").groupBy("name", "second").agg(F.max("n").alias("n"), first).select("name", "second", "n", "first.*", F.monotonically_increasing_id().alias("row")), "set-nodes")
+    nodes = materialise(rows.filter("n > 0").groupBy("name", "second").agg(F.max("n").alias("n"), F.min("key").alias("least"), first).select("name", "second", "n", "least", "first.*", F.monotonically_increasing_id().alias("row")), "set-nodes")
     starts = F.array(*(F.lit(s) for s in sizes.starts))
     per = nodes.groupBy((F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1).alias("band")).agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
     plans = {r.band: allocate(sizes, r.band, r.sets, r.elements) for r in per.collect()}
@@ -268,8 +268,8 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     met = materialise(found.join(nodes.select("name", "row", "n"), "name").select("value", "row", "n", "n_sets"), "set-members")
     links = similar_members(met, _sets(docs, key, text, k, nodes.join(met.select("row").distinct(), "row", "left_semi")), percent)
     roots = connected_components(links).select(F.col("node").alias("row"), "root")
-    rooted = nodes.join(roots, "row", "left").select("name", "second", "key", F.coalesce("root", "row").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
+    rooted = nodes.join(roots, "row", "left").select("name", "second", "least", F.coalesce("root", "row").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(ids, "root").select("name", "second", "component_id")
     return rows.join(classes, ["name", "second"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
