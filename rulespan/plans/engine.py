@@ -11,8 +11,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.ship import ship
 from ..functions.source_facts import source_rows
@@ -21,6 +23,7 @@ from ..operators import findings as fd
 from ..operators import probes as pr
 from ..operators import rules as ru
 from ..operators.advice import advice
+from ..operators.bits import WORD, words
 
 FILES = "repo string, path string, content string"
 REPOS = "repo string, name string, language string, repo_type string, root string, traits array<string>, exemptions array<struct<rule:string,reason:string>>, deferrals array<struct<rule:string,reason:string>>, standards_age_days int"
@@ -99,6 +102,13 @@ def repo_facts(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(*bits, *firsts, loc, project, F.min(F.when(~package.isin("", "__pycache__"), package)).alias("src_package"), readme, *flavor)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the library's own rows. It holds rules, not data, so it may be broadcast whatever the input's size."""
+    types = _parse_datatype_string(schema)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), types)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=types.names), types)
+
+
 def source_facts(files: DataFrame) -> DataFrame:
     """repo, path, kind, text, detail of everything that needs a parse, written; a file's rows come from one pass over it."""
 
@@ -170,6 +180,7 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     then their place in the list. checked: repo, rule_id, for every rule that applies, skipped ones too.
     mono_rules: also run the two monorepo rules, which are off by default. names: what belongs to one organisation.
     """
+    spark = files.sparkSession
     rules, by_path = ru.repo_rules(names), ru.file_rules(names)
     unread = files.filter(~F.col("decode_ok") & F.expr(READ)).select("repo", F.concat(F.lit("Check of "), "path", F.lit(" raised an unexpected error: not UTF-8")).alias("text")) if "decode_ok" in files.columns else None
     files = prepared(files)
@@ -186,31 +197,32 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     split = (called[0] != "") & F.col("src_package").isNotNull() & (F.replace("project_name", F.lit("-"), F.lit("_")) != F.col("src_package"))
     own = own.withColumn("split_identity", F.coalesce(split & ~documented, F.lit(False))).fillna({"project_name": "", "loc": 0})
 
-    fired = F.array(*(F.when(F.coalesce(F.expr(r.gate) & r.test, F.lit(False)), r.text) for r in rules))
-    listing = lambda values: "element_at(array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in values) + "), seq + 1)"
-    about = [F.expr(listing([getattr(r, c) for r in rules])).alias(c) for c in ("rule_id", "severity", "dimension", "wrapped", "always")]
-    found = own.select("repo", F.posexplode(fired).alias("seq", "finding")).filter("finding IS NOT NULL").select("repo", "seq", *about[:3], "finding", *about[3:])
+    under = lambda c: F.replace(c, F.lit("-"), F.lit("_"))
+    own = own.withColumns({"under": under(F.col("project_name")), "repo_under": under(F.col("name"))})
+
+    gates = ru.gates_of(rules, by_path)
+    sizes = words(len(ru.ATOMS), len(ru.CONDITIONS))
+    holds = [f"if({c}, {1 << i % WORD}L, 0L)" for i, c in enumerate(ru.CONDITIONS)]
+    cond = [" | ".join(holds[i : i + WORD]) for i in range(0, len(holds), WORD)]
+    bits = F.array(*(F.coalesce(F.col(f"{r}{i}"), F.lit(0)) for r in ("own", "root") for i in range(sizes[r])), *map(F.expr, cond)).alias("bits")
+    opened = F.explode(F.expr("array_compact(array(" + ", ".join(f"if({g}, {i}, NULL)" for g, i in gates.items()) + "))")).alias("gate")
+    shown = F.array(*(F.col(v).cast("string") for v in ru.VALUES)).alias("shown")
+    fires = F.expr("exists(clauses, c -> forall(c, x -> (bits[x.word] & x.mask) = x.want))")
+    finding = F.expr("format_string(template, " + ", ".join(f"shown[{i}]" for i in range(len(ru.VALUES))) + ")").alias("finding")
+    table = small(spark, ru.rule_table(rules, gates), ru.RULE_TABLE)
+    behind = small(spark, ru.gate_table(rules, by_path, gates), "gate int, rule_id string, wrapped boolean")
+    found = own.select("repo", bits, shown, opened).join(F.broadcast(table), "gate").filter(fires).select("repo", "seq", "rule_id", "severity", "dimension", finding, "wrapped", "always")
     found = materialise(found, "repo-findings")
-
-    gates: dict[str, str] = {}
-    for rule, gate in [*((r.rule_id, r.gate) for r in rules if r.wrapped), *((x[0], x[3]) for x in by_path), *((k, v[2]) for k, v in (ru.SOURCE_RULES | ru.CROSS_RULES).items())]:
-        gates[rule] = f"({gates[rule]}) OR ({gate})" if rule in gates else gate
-    every = dict(gates)
-    for r in rules:
-        if not r.wrapped:
-            every[r.rule_id] = f"({every[r.rule_id]}) OR ({r.gate})" if r.rule_id in every else r.gate
-    listed = F.expr("array_compact(array(" + ", ".join(f"if({g}, struct('{k}' AS rule_id, {str(k in gates).lower()} AS wrapped), NULL)" for k, g in every.items()) + "))")
-    checked = materialise(repos.select("repo", "language", F.explode(listed).alias("x")).select("repo", "language", "x.*"), "checked-rules")
+    checked = materialise(repos.select("repo", "language", opened).join(F.broadcast(behind), "gate").select("repo", "language", "rule_id", "wrapped").distinct(), "checked-rules")
 
     tests = F.expr("array_compact(array(" + ", ".join(f"if({t}, struct({1000 + i} AS seq, '{rule}' AS rule_id, '{sev}' AS severity, '{dim}' AS dimension, format_string('{text}', path) AS finding), NULL)" for i, (rule, sev, dim, _, t, text) in enumerate(by_path)) + "))")
     by_file = materialise(files.select("repo", F.explode(tests).alias("x")).select("repo", "x.*"), "file-findings")
     facts_rows = source_facts(files)
     kinds = ru.SOURCE_RULES | ru.CROSS_RULES
-    look = lambda i: F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v[i])))
-    place = F.create_map(*(F.lit(x) for i, k in enumerate(kinds) for x in (k, 2000 + i)))
+    about = small(spark, [(k, 2000 + i, v[0], v[1]) for i, (k, v) in enumerate(kinds.items())], "rule_id string, seq int, severity string, dimension string")
     from_source = facts_rows.filter(F.col("kind").isin(*ru.SOURCE_RULES)).select("repo", F.col("kind").alias("rule_id"), F.col("text").alias("finding"), F.col("path").endswith(".py").alias("py"))
     from_cross = _cross(files, facts_rows, repos, facts).select("repo", "rule_id", "finding", F.lit(None).cast("boolean").alias("py"))
-    parsed = from_source.union(from_cross).select("repo", place[F.col("rule_id")].alias("seq"), "rule_id", look(0)[F.col("rule_id")].alias("severity"), look(1)[F.col("rule_id")].alias("dimension"), "finding", "py")
+    parsed = from_source.union(from_cross).join(F.broadcast(about), "rule_id").select("repo", "seq", "rule_id", "severity", "dimension", "finding", "py")
     some = by_file.withColumn("py", F.lit(None).cast("boolean")).unionByName(parsed)
     some = some.join(checked.filter("wrapped").select("repo", "rule_id", "language"), ["repo", "rule_id"]).filter("rule_id NOT IN ('API-004', 'TEST-013') OR py = (language = 'python')")
     found = found.unionByName(some.select("repo", "seq", "rule_id", "severity", "dimension", "finding", F.lit(True).alias("wrapped"), F.lit(False).alias("always")))
@@ -219,14 +231,13 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     broke = (broke if unread is None else broke.union(unread)).join(repos.select("repo"), "repo", "left_semi").distinct()
     found = found.unionByName(broke.select("repo", F.lit(3000).alias("seq"), F.lit("CHECKER").alias("rule_id"), F.lit("WARN").alias("severity"), F.lit(ru.STRUCT).alias("dimension"), F.col("text").alias("finding"), F.lit(False).alias("wrapped"), F.lit(True).alias("always")))
 
-    cuts = lambda table: F.create_map(*(F.lit(k) if i == 0 else F.array(*map(F.lit, sorted(v))) for k, v in table.items() for i in (0, 1)))
-    none = F.array().cast("array<string>")
-    by_type = F.coalesce(F.try_element_at(cuts(TYPE_SKIPS), F.col("repo_type")), none)
-    by_trait = F.flatten(F.transform(F.coalesce("traits", none), lambda t: F.coalesce(F.try_element_at(cuts(TRAIT_SKIPS), t), none)))
+    by_type = small(spark, [(k, x) for k, v in TYPE_SKIPS.items() for x in sorted(v)], "repo_type string, rule_id string")
+    by_trait = small(spark, [(k, x) for k, v in TRAIT_SKIPS.items() for x in sorted(v)], "trait string, rule_id string")
     reason = lambda c: F.explode(c).alias("e")
     exempt = repos.select("repo", reason("exemptions")).select("repo", F.trim("e.rule").alias("rule_id"), F.nullif(F.trim("e.reason"), F.lit("")).alias("exempt")).filter("rule_id <> ''")
     defer = repos.select("repo", reason("deferrals")).select("repo", F.trim("e.rule").alias("rule_id"), F.nullif(F.trim("e.reason"), F.lit("")).alias("put_off")).filter("rule_id <> ''").groupBy("repo", "rule_id").agg(F.max("put_off").alias("put_off"))
-    auto = repos.select("repo", F.explode(F.array_distinct(F.concat(by_type, by_trait))).alias("rule_id")).withColumn("exempt", F.lit(None).cast("string"))
+    auto = repos.join(F.broadcast(by_type), "repo_type").select("repo", "rule_id")
+    auto = auto.union(repos.select("repo", F.explode("traits").alias("trait")).join(F.broadcast(by_trait), "trait").select("repo", "rule_id")).withColumn("exempt", F.lit(None).cast("string"))
     skips = auto.unionByName(exempt).groupBy("repo", "rule_id").agg(F.max("exempt").alias("exempt")).join(defer, ["repo", "rule_id"], "left").select("repo", "rule_id", fd.skip_reason(F.col("exempt"), F.col("put_off")).alias("reason"), F.lit(True).alias("skipped"))
 
     kept = found.join(skips.drop("reason"), ["repo", "rule_id"], "left").filter("always OR skipped IS NULL").drop("skipped")
