@@ -24,6 +24,8 @@ ASTRO_CONFIG = "path IN ('astro.config.mjs', 'astro.config.ts')"
 
 #: (files in scope, test of such a file) by SQL text, in the order of their bits.
 ATOMS: list[tuple[str, str]] = []
+#: The atoms that ask for a token: their bit -> (scope, token, whether in lower case). Automata find these (functions/marks.py).
+TOKENS: dict[int, tuple[str, str, bool]] = {}
 
 
 def _bit(scope: str, test: str) -> int:
@@ -57,7 +59,12 @@ def folder(prefix: str) -> Test:
 
 def tok(scope: str, *tokens: str, low: bool = False, row: str = "own") -> Test:
     """Whether a file in scope holds any of the tokens."""
-    return _any((atom(f"contains({'low' if low else 'content'}, {_quote(t)})", row, scope) for t in tokens))
+    tests = []
+    for t in tokens:
+        i = _bit(scope, f"contains({'low' if low else 'content'}, {_quote(t)})")
+        TOKENS[i] = (scope, t, low)
+        tests.append(bit(row, i))
+    return _any(tests)
 
 
 def rx(scope: str, pattern: str) -> Test:

@@ -1,12 +1,14 @@
 """All rules over all repositories: files and repositories in, findings and checked rules out.
 
-Contents are read in two passes, one for the tests of files and one for what needs a parse. Both leave small rows: the
-bits of a repository, and the facts and findings of its files. These are written once, as several rules read them and
-as plans of a hundred rules' expressions are slow to make again for every join that follows.
+One pass over contents leaves small rows (file_rows): the bits and tests of each file and the facts that need a parse.
+Only the two rules that look for names in tests and docs read those files again. Rules are rows of tables, joined to the
+repositories by their gates, so plans do not grow with them. The rows of files, of repositories, findings and checked
+rules are written when evaluate() is called, as several rules read them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.marks import Marks
 from ..functions.ship import ship
 from ..functions.source_facts import source_rows
 from ..functions.store import materialise
@@ -62,6 +65,7 @@ FLAGS = {
 }
 #: Files whose contents rules read.
 READ = "startswith(path, 'src/') OR startswith(path, 'tests/') OR startswith(path, '.github/workflows/') OR path IN ('README.md', 'CHANGELOG.md', 'pyproject.toml', 'package.json', 'requirements.txt', '.releaserc.json', '.env.example', 'index.yaml', 'prefect.yaml')"
+_INIT = re.compile(r"src/[^/]+/__init__\.py\Z")
 _NAME = r'(?m)^\s*name\s*=\s*"([^"]+)"'
 
 
@@ -80,26 +84,61 @@ def prepared(files: DataFrame) -> DataFrame:
     return out.withColumn("low", F.lower("content")).withColumn("front", F.regexp_extract("content", r"(?s)^---\s*\n(.*?)\n---", 1))
 
 
-def repo_facts(files: DataFrame) -> DataFrame:
-    """One row a repository: the bits of all atoms, first paths, lines of code, names. One pass, one shuffle of small rows."""
+#: Tests of a file by their number: those of rules about files from 0, those whose first path is asked for from here.
+FIRST = 500
+FILE_ROWS = "repo string, path string, kind string, text string, detail string, marks array<bigint>, hits array<int>, loc bigint, project_name string, src_package string"
 
-    def chunk(atoms: list[tuple[str, str]]) -> str:
-        """The bits of one file, as SQL; a scope is tested once for all of its tests."""
-        scopes: dict[str, list[str]] = {}
-        for i, (scope, test) in enumerate(atoms):
-            scopes.setdefault(scope, []).append(f"if({test}, {1 << i}L, 0L)")
-        return " | ".join(f"if({scope}, {' | '.join(tests)}, 0L)" for scope, tests in scopes.items())
 
-    bits = [F.expr(f"bit_or({chunk(ru.ATOMS[i : i + 60])})").alias(f"own{i // 60}") for i in range(0, len(ru.ATOMS), 60)]
-    firsts = [F.min(F.when(F.expr(t), F.col("path"))).alias(n) for n, t in ru.FIRST_PATHS.items()]
-    code = F.expr("startswith(path, 'src/') AND ext IN ('py', 'ts', 'tsx', 'js', 'mjs') AND content <> ''")
-    loc = F.sum(F.when(code, F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"))).otherwise(0)).alias("loc")
-    project = F.max(F.when(F.col("path") == "pyproject.toml", F.regexp_extract("content", _NAME, 1))).alias("project_name")
+def file_rows(files: DataFrame, by_path: tuple) -> DataFrame:
+    """One row of kind `file` for each file, and a row for each of its facts; written, from one pass over contents.
+
+    marks: the words of the file's atoms, patterns and paths by SQL, tokens by automata. hits: the numbers of its tests.
+    Facts: repo, path, kind, text, detail of what needs a parse, and the texts of READMEs and packages.
+    """
+    own = [" | ".join(f"if(({scope}) AND ({test}), {1 << i % WORD}L, 0L)" for i, (scope, test) in enumerate(ru.ATOMS) if i // WORD == w and i not in ru.TOKENS) or "0L" for w in range(-(-len(ru.ATOMS) // WORD))]
+    scopes = [*dict.fromkeys(scope for scope, _, _ in ru.TOKENS.values())]
+    if len(scopes) > WORD:
+        raise ValueError("more scopes of tokens than bits of a word")
+    tokens = {i: (scopes.index(scope), token, low) for i, (scope, token, low) in ru.TOKENS.items()}
+    tests = [*((i, x[4]) for i, x in enumerate(by_path)), *((FIRST + i, t) for i, t in enumerate(ru.FIRST_PATHS.values()))]
+    parse = "ext IN ('py', 'ts', 'tsx', 'js', 'jsx', 'astro') OR path IN ('package.json', '.releaserc.json', 'index.yaml', '.env.example')"
+    code = "startswith(path, 'src/') AND ext IN ('py', 'ts', 'tsx', 'js', 'mjs') AND content <> ''"
     package = F.regexp_extract("path", r"^src/([^/]+)/", 1)
-    readme = F.max(F.when(F.col("path") == "README.md", F.col("low"))).alias("readme")
+    source = files.select(
+        "repo", "path", F.expr(" | ".join(f"if({x}, {1 << i}L, 0L)" for i, x in enumerate(scopes))).alias("scopes"), F.expr(parse).alias("parse"),
+        F.array(*map(F.expr, own)).alias("marks"), F.expr("array_compact(array(" + ", ".join(f"if({t}, {i}, NULL)" for i, t in tests) + "))").alias("hits"),
+        F.when(F.expr(code), F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"))).otherwise(0).cast("long").alias("loc"),
+        F.when(F.col("path") == "pyproject.toml", F.regexp_extract("content", _NAME, 1)).alias("project_name"), F.when(~package.isin("", "__pycache__"), package).alias("src_package"), "content",
+    ).withColumn("content", F.when(F.col("parse") | (F.col("scopes") > 0), F.col("content")))
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(FILE_ROWS)])
+    n_words = len(own)
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Marks(tokens, WORD, n_words)
+        for b in parts:
+            rows = []
+            for f in b.to_pylist():
+                text = f.pop("content") or ""
+                in_scopes, parsed = f.pop("scopes"), f.pop("parse")
+                rows.append(f | {"kind": "file", "marks": walk.words(text, in_scopes, f["marks"])})
+                at = {"repo": f["repo"], "path": f["path"]}
+                if f["path"] == "README.md" or _INIT.match(f["path"]):
+                    rows.append(at | {"kind": "readme" if f["path"] == "README.md" else "init", "text": text, "src_package": f["src_package"]})
+                if parsed:
+                    rows += [at | {"kind": k, "text": t, "detail": d} for k, t, d in source_rows(f["path"], text)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    ship(files.sparkSession)
+    return materialise(source.mapInArrow(scan, FILE_ROWS), "file-rows")
+
+
+def repo_facts(rows: DataFrame) -> DataFrame:
+    """One row a repository: the bits of all atoms, first paths, lines of code, names. rows: file_rows(); small ones are shuffled."""
+    bits = [F.bit_or(F.col("marks")[i]).alias(f"own{i}") for i in range(-(-len(ru.ATOMS) // WORD))]
+    firsts = [F.min(F.when(F.array_contains("hits", FIRST + i), F.col("path"))).alias(n) for i, n in enumerate(ru.FIRST_PATHS)]
     any_of = lambda name, *paths: F.bool_or(F.col("path").isin(*paths)).alias(name)
     flavor = [any_of("astro", "astro.config.mjs", "astro.config.ts"), any_of("vite", "vite.config.ts", "vite.config.js", "vite.config.mjs"), any_of("own_release", ".releaserc.json"), F.bool_or(F.col("path").startswith("tests/")).alias("has_tests")]
-    return files.groupBy("repo").agg(*bits, *firsts, loc, project, F.min(F.when(~package.isin("", "__pycache__"), package)).alias("src_package"), readme, *flavor)
+    return rows.filter("kind = 'file'").groupBy("repo").agg(*bits, *firsts, F.sum("loc").alias("loc"), F.max("project_name").alias("project_name"), F.min("src_package").alias("src_package"), *flavor)
 
 
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -109,20 +148,6 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=types.names), types)
 
 
-def source_facts(files: DataFrame) -> DataFrame:
-    """repo, path, kind, text, detail of everything that needs a parse, written; a file's rows come from one pass over it."""
-
-    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            rows = [(r, p, *x) for r, p, t in zip(*(b.column(c).to_pylist() for c in ("repo", "path", "content"))) for x in source_rows(p, t)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["repo", "path", "kind", "text", "detail"])
-
-    ship(files.sparkSession)
-    wanted = files.filter("ext IN ('py', 'ts', 'tsx', 'js', 'jsx', 'astro') OR path IN ('package.json', '.releaserc.json', 'index.yaml', '.env.example')")
-    return materialise(wanted.select("repo", "path", "content").mapInArrow(scan, "repo string, path string, kind string, text string, detail string"), "source-facts")
-
-
 def _unseen(named: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """repo, name of the names (repo, name) that no text of their repository contains.
 
@@ -186,11 +211,14 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     files = prepared(files)
     repos = repos.withColumn("repo_type", repo_type(F.col("repo_type"))).withColumn("mono_rules", F.lit(mono_rules))
     repos = repos.select("*", *(F.expr(e).alias(n) for n, e in FLAGS.items()))
-    facts = materialise(repo_facts(files), "repo-facts")
-    n = -(-len(ru.ATOMS) // 60)
+    rows = file_rows(files, by_path)
+    facts_rows = rows.filter("kind <> 'file'").select("repo", "path", "kind", "text", "detail")
+    facts = materialise(repo_facts(rows), "repo-facts")
+    n = -(-len(ru.ATOMS) // WORD)
     roots = facts.select(F.col("repo").alias("root"), *(F.col(f"own{i}").alias(f"root{i}") for i in range(n)))
-    init = files.filter("path RLIKE '^src/[^/]+/__init__\\\\.py$'").select("repo", F.regexp_extract("path", "^src/([^/]+)/", 1).alias("src_package"), F.col("low").alias("init"))
-    own = repos.join(facts, "repo", "left").join(roots, "root", "left").join(init, ["repo", "src_package"], "left")
+    init = rows.filter("kind = 'init'").select("repo", "src_package", F.lower("text").alias("init"))
+    readme = rows.filter("kind = 'readme'").groupBy("repo").agg(F.max(F.lower("text")).alias("readme"))
+    own = repos.join(facts, "repo", "left").join(roots, "root", "left").join(init, ["repo", "src_package"], "left").join(readme, "repo", "left")
     called = [F.coalesce(F.lower(c), F.lit("")) for c in ("project_name", "src_package")]
     texts = [F.coalesce(c, F.lit("")) for c in ("init", "readme")]
     documented = reduce(lambda a, b: a & b, (t.contains(x) for t in texts for x in called))
@@ -215,9 +243,9 @@ def evaluate(files: DataFrame, repos: DataFrame, mono_rules: bool = False, names
     found = materialise(found, "repo-findings")
     checked = materialise(repos.select("repo", "language", opened).join(F.broadcast(behind), "gate").select("repo", "language", "rule_id", "wrapped").distinct(), "checked-rules")
 
-    tests = F.expr("array_compact(array(" + ", ".join(f"if({t}, struct({1000 + i} AS seq, '{rule}' AS rule_id, '{sev}' AS severity, '{dim}' AS dimension, format_string('{text}', path) AS finding), NULL)" for i, (rule, sev, dim, _, t, text) in enumerate(by_path)) + "))")
-    by_file = materialise(files.select("repo", F.explode(tests).alias("x")).select("repo", "x.*"), "file-findings")
-    facts_rows = source_facts(files)
+    of_file = small(spark, [(i, 1000 + i, x[0], x[1], x[2], x[5].replace("%s", "%1$s")) for i, x in enumerate(by_path)], "hit int, seq int, rule_id string, severity string, dimension string, template string")
+    by_file = rows.filter("kind = 'file'").select("repo", "path", F.explode("hits").alias("hit")).join(F.broadcast(of_file), "hit")
+    by_file = by_file.select("repo", "seq", "rule_id", "severity", "dimension", F.expr("format_string(template, path)").alias("finding"))
     kinds = ru.SOURCE_RULES | ru.CROSS_RULES
     about = small(spark, [(k, 2000 + i, v[0], v[1]) for i, (k, v) in enumerate(kinds.items())], "rule_id string, seq int, severity string, dimension string")
     from_source = facts_rows.filter(F.col("kind").isin(*ru.SOURCE_RULES)).select("repo", F.col("kind").alias("rule_id"), F.col("text").alias("finding"), F.col("path").endswith(".py").alias("py"))
