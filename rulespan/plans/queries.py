@@ -527,7 +527,7 @@ _ANSWERS = (
     '[{"finding": "@", "rule_id": "R#"}, 3, {"message": " @ ", "violation_id": ""}]', 'Here it is: ```JSON {"findings": [{"description": "@", "severity": "WARN", "violation_id": "V#"}]} ``` and more', '```\n[{"detail": "@", "text": "no"}, {"finding": "", "rule_id": ""}]\n```',
     '{"findings": "@"}', "@", '{"findings": [{"finding": null, "text": "@", "violation_id": null, "rule_id": "R2"}, {"finding": false, "detail": 0}]}', '{"other": [{"finding": "@"}]}',
 )
-_ASK = "replace(replace([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in _ANSWERS) + "][CAST(conv_id % 7 AS INT) + 1], '@', regexp_replace(substr(text, 1, 40), '[^a-zA-Z ]', '', 'g')), '#', CAST(turn AS VARCHAR))"
+_ASK = "replace(replace([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in _ANSWERS) + "][CAST(conv_id % 7 AS INT) + 1], '@', coalesce(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), '')), '#', CAST(turn AS VARCHAR))"
 _ITEMS = (
     f"WITH a AS (SELECT conv_id, turn, {_ASK} AS raw FROM conversations), b AS (SELECT *, CASE WHEN regexp_matches(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```') THEN regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) ELSE raw END AS body FROM a), "
     "j AS (SELECT conv_id, turn, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM b), l AS (SELECT conv_id, turn, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN CASE WHEN json_type(json_extract(j, '$.findings')) = 'ARRAY' THEN json_extract(j, '$.findings') END END AS l FROM j), "
@@ -541,7 +541,7 @@ def _truthy(k: str) -> str:
 
 def _answers(t):
     pick = F.element_at(F.array(*map(lit, _ANSWERS)), (c("conv_id") % 7 + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", F.replace(F.replace(pick, lit("@"), F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z ]", "")), lit("#"), c("turn").cast("string")).alias("raw"))
+    return t.conversations.select("conv_id", "turn", F.replace(F.replace(pick, lit("@"), F.coalesce(F.regexp_replace("text", "[^a-zA-Z ]", ""), lit(""))), lit("#"), c("turn").cast("string")).alias("raw"))
 
 
 @query(_ITEMS + " SELECT conv_id, turn, i FROM o")
@@ -622,6 +622,36 @@ def q_inventory_topk(t):
     return top.union(more.select("source", lit(61).cast("long"), F.concat(lit("... ("), (c("total") - 60).cast("string"), lit(" more)"))))
 
 
+# --- archives ---------------------------------------------------------------------------------------------------
+
+
+def _archives(t, *paths: str) -> DataFrame:
+    """The documents as archives of 200 files at most, written and read back. A line ends as in a checked out file."""
+    from ..sources import archives as ar
+
+    at = shared_dir(t.spark, "repository-archives")
+    number = c("doc_id")
+    files = t.documents.select(F.concat(lit("d"), F.floor(number / 200).cast("string")).alias("repo"), F.concat(F.coalesce("lang", lit("und")), lit("/"), number.cast("string"), lit(".md")).alias("path"), c("text").alias("content"))
+    ar.write_archives(files, at)
+    ar.register(t.spark)
+    return t.spark.read.format("repoarchive").option("members", "\n".join(paths)).load(at)
+
+
+_TEXT = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_MEMBER = f"SELECT 'd' || CAST(floor(doc_id / 200) AS BIGINT) AS repo, coalesce(lang, 'und') || '/' || doc_id || '.md' AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256({_TEXT}) AS content_sha256 FROM documents"
+
+
+@query(_MEMBER)
+def q_archive_files(t):
+    return _archives(t).select("repo", "path", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(_MEMBER + " WHERE lang = 'en'")
+def q_archive_paths(t):
+    """Only members that a pattern matches are inflated."""
+    return _archives(t, "en/*").select("repo", "path", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
 from . import rule_queries  # noqa: E402
 
 QUERIES |= {n: (lambda q: lambda spark, folder: q(Tables(spark, folder)))(q) for n, q in rule_queries.QUERIES.items()}

@@ -39,9 +39,11 @@ class RepoReader(DataSourceReader):
         store, root = self._store()
         return [RepoPartition(i.base_name, i.path) for i in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.path) if i.type == fs.FileType.Directory]
 
-    def read(self, partition: RepoPartition) -> Iterator[tuple]:
+    def read(self, partition: RepoPartition | None) -> Iterator[tuple]:
         from pyarrow import fs
 
+        if partition is None:  # an empty folder
+            return
         store, _ = self._store()
         for i in sorted(store.get_file_info(fs.FileSelector(partition.root, recursive=True)), key=lambda i: i.path):
             path = i.path[len(partition.root) :].lstrip("/")
