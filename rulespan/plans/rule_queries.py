@@ -372,3 +372,65 @@ def q_ast_rules(t) -> DataFrame:
 QUERIES["q_ast_rules"] = q_ast_rules
 _FOUND = ", ".join("(" + ", ".join([str(i), *("'" + x.replace("'", "''") + "'" for x in f)]) + ")" for i, m in enumerate(_MODULES) for f in m[2])
 SQL["q_ast_rules"] = f"SELECT 'p' || p_partkey AS repo, rule_id, severity, dimension, replace(finding, '%', 'src/m/f' || p_size || '.py') AS finding FROM part JOIN (VALUES {_FOUND}) x(nth, rule_id, severity, dimension, finding) ON nth = p_partkey % {len(_MODULES)}"
+
+
+# --- rules that compare files -----------------------------------------------------------------------------------
+# Each part is a repository whose type, names, routes, keys, versions and files follow from its brand (b) and size (s);
+# the SQL states from the same columns what each rule must find. Texts of both dialects.
+
+_PARTS = "SELECT p_partkey AS k, CAST(substr(p_brand, 7) AS INT) AS b, CAST(p_size AS INT) AS s FROM part"
+_API, _SITE, _COG, _STD = (f"b % 4 = {i}" for i in range(4))
+_BODY = "' client.get(\"/v1/a' || s || '\")' || chr(10) || ' m = MagicMock()' || chr(10) || CASE WHEN s % 5 = 0 THEN ' m.assert_called_once()' || chr(10) ELSE '' END || CASE WHEN s % 7 = 0 THEN ' client.get(\"/v1/b' || b || '\")' || chr(10) ELSE '' END"
+_ROUTE = "'@router.{0}(\"/v1/{1}' || {2} || '\", summary=\"s\", description=\"d\", response_model=M)' || chr(10) || 'async def {1}(u=Depends(f)):' || chr(10) || '    \"\"\"Doc.\"\"\"' || chr(10)"
+_PIN = "CASE s % 4 WHEN 0 THEN '4.1.' || s WHEN 1 THEN '^4.1.' || s WHEN 2 THEN 'latest' ELSE '4.x' END"
+#: path -> (where it is, its content)
+_PART_FILES = {
+    "src/m/settings.py": (f"{_API} OR {_COG}", "'class AppSettings(BaseSettings):' || chr(10) || '    \"\"\"Doc.\"\"\"' || chr(10) || '    KEY_' || s || ': str' || chr(10)"),
+    ".env.example": (f"{_API} OR {_COG}", "'KEY_' || s || '=1' || chr(10) || CASE WHEN s % 3 <> 0 THEN 'EXTRA_' || b || '=2' || chr(10) ELSE '' END || CASE WHEN s % 2 = 0 THEN '# external' || chr(10) || 'TOOL=3' || chr(10) ELSE '' END"),
+    "src/m/main.py": (_API, _ROUTE.format("get", "a", "s") + " || " + _ROUTE.format("post", "b", "b")),
+    "tests/test_a.py": (f"{_API} OR {_COG}", "CASE WHEN s % 2 = 0 THEN 'from x import TestClient' || chr(10) ELSE '' END || 'def test_a():' || chr(10) || " + _BODY),
+    "src/page.astro": (_SITE, "'---' || chr(10) || CASE WHEN s % 2 = 0 THEN 'try { x } catch { y }' ELSE 'x' END || chr(10) || 'const a = await fetch(\"/u' || s || '\");' || chr(10) || '---' || chr(10)"),
+    "src/run.astro": (_SITE, "'<script>fetch(\"/' || CASE WHEN s % 3 = 0 THEN 'u' || s ELSE 'x' END || '\"); fetch(\"/w' || b || '\")</script>'"),
+    "README.md": (_SITE, "'Site /u' || s || ' /x' || CASE WHEN s % 4 = 0 THEN ' /W' || b ELSE '' END"),
+    "package.json": (_SITE, "'{\"dependencies\": {\"astro\": \"' || " + _PIN + " || '\", \"@astrojs/x\": 3, \"other\": \"*\"}}'"),
+    "src/c.ts": (_SITE, "'import.meta.env.VITE_A' || b || '; import.meta.env.PUBLIC_B'"),
+    "astro.config.mjs": (_SITE, "'x'"),
+    "index.yaml": (_STD, "CASE s % 3 WHEN 0 THEN 'schema:' || chr(10) || '  traits: [a]' || chr(10) || '  dod_types: {a: 1}' WHEN 1 THEN 'schema:' || chr(10) || '  repo_types: [a, b]' || chr(10) || '  rule_severities: [x]' ELSE 'a: [' END"),
+    ".releaserc.json": ("s % 6 <> 0", "'{\"plugins\": [[\"@semantic-release/exec\", {\"prepareCmd\": \"sed pyproject.toml\"}], [\"@semantic-release/git\", {\"assets\": [' || CASE WHEN b % 3 = 0 THEN '\"README.md\"' ELSE '\"CHANGELOG.md\"' END || CASE WHEN s % 2 = 0 THEN ', \"pyproject.toml\"' ELSE '' END || ']}]]}'"),
+    "src/m/bad.py": ("s % 10 = 0", "NULL"),
+}
+#: rule, severity, dimension, where it is found, SQL of the finding's text
+_PART_FOUND = (
+    ("CFG-002", "WARN", "configuration_consistency", f"({_API} OR {_COG}) AND s % 3 <> 0", "'.env.example key ''EXTRA_' || b || ''' not declared on Settings.'"),
+    ("TEST-008", "WARN", "test_coverage", f"{_API} AND s % 2 = 1", "'tests/test_a.py::test_a: references /v1/ without TestClient/AsyncClient.'"),
+    ("TEST-011", "ERROR", "test_coverage", f"({_API} OR {_COG}) AND s % 5 <> 0", "'tests/test_a.py::test_a: creates mocks but has no assert_called* assertion.'"),
+    ("TEST-010", "ERROR", "test_coverage", f"{_API} AND s % 7 <> 0", "'1 route(s) have no contract test referencing them: /v1/b' || b || '.'"),
+    ("FE-006", "ERROR", "structural_conformance", f"{_SITE} AND s % 2 = 1", "'src/page.astro: frontmatter fetch() without try/catch error handling.'"),
+    ("FE-008", "WARN", "structural_conformance", _SITE, "'dependencies: @astrojs/x version must be a string semver for FE-008 scanning.'"),
+    ("FE-008", "WARN", "structural_conformance", f"{_SITE} AND s % 4 <> 0", f"'dependencies: astro is not pinned to an exact version (''' || {_PIN} || ''').'"),
+    ("FE-009", "WARN", "structural_conformance", f"{_SITE} AND s % 3 = 0", "'Astro component performs runtime fetch of URL also used in frontmatter (src/run.astro).'"),
+    ("FE-010", "WARN", "structural_conformance", f"{_SITE} AND s % 4 <> 0", "'Runtime fetch URL not documented in README/docs (src/run.astro: /w' || b || ').'"),
+    ("XSTACK-004", "WARN", "structural_conformance", _SITE, "'src/c.ts: env var VITE_A' || b || ' uses VITE_ prefix in a repo expecting PUBLIC_.'"),
+    ("META-003", "WARN", "structural_conformance", f"{_STD} AND s % 3 < 2", "'schema.' || CASE s % 3 WHEN 0 THEN 'traits' ELSE 'repo_types' END || ' is a YAML list — canonical enums must be dict maps.'"),
+    ("META-003", "WARN", "structural_conformance", f"{_STD} AND s % 3 = 1", "'schema.rule_severities is a YAML list — canonical enums must be dict maps.'"),
+    ("META-003", "WARN", "structural_conformance", f"{_STD} AND s % 3 = 2", "'index.yaml is not parseable YAML — cannot validate canonical enum dict shapes.'"),
+    ("VER-008", "ERROR", "cd_readiness", "s % 6 <> 0 AND b % 3 = 0", "'CHANGELOG.md is absent from @semantic-release/git assets.'"),
+    ("VER-008", "ERROR", "cd_readiness", "s % 6 <> 0 AND s % 2 = 1", "'pyproject.toml is written by prepareCmd but absent from @semantic-release/git assets.'"),
+    ("CHECKER", "WARN", "structural_conformance", "s % 10 = 0", "'Check of src/m/bad.py raised an unexpected error: not UTF-8'"),
+)
+
+
+def q_cross_rules(t) -> DataFrame:
+    """The rules that compare files or read data files, and the rows of files that cannot be checked."""
+    parts = t.part.selectExpr("p_partkey", "p_brand", "p_size")
+    parts = parts.selectExpr("p_partkey AS k", "CAST(substr(p_brand, 7) AS INT) AS b", "CAST(p_size AS INT) AS s")
+    made = ", ".join(f"if({there}, struct('{path}' AS path, CAST({text} AS STRING) AS content), NULL)" for path, (there, text) in _PART_FILES.items())
+    files = parts.selectExpr("concat('c', k) AS repo", f"inline(array_compact(array({made})))").withColumn("decode_ok", F.col("content").isNotNull())
+    kind = f"CASE WHEN {_API} THEN 'api-service' WHEN {_SITE} THEN 'static-site' WHEN {_COG} THEN 'pipeline-cog' ELSE 'standards-repo' END"
+    none = "CAST(array() AS array<struct<rule:string,reason:string>>)"
+    repos = parts.selectExpr("concat('c', k) AS repo", "concat('c', k) AS name", f"if({_SITE}, 'typescript', 'python') AS language", f"{kind} AS repo_type", "CAST(NULL AS STRING) AS root", "CAST(array() AS array<string>) AS traits", f"{none} AS exemptions", f"{none} AS deferrals", "CAST(NULL AS INT) AS standards_age_days")
+    return evaluate(files, repos)[0].filter(F.col("rule_id").isin(*{r[0] for r in _PART_FOUND})).select("repo", "rule_id", "severity", "dimension", "finding")
+
+
+QUERIES["q_cross_rules"] = q_cross_rules
+SQL["q_cross_rules"] = f"WITH p AS ({_PARTS}) " + " UNION ALL ".join(f"SELECT 'c' || k AS repo, '{rule}' AS rule_id, '{sev}' AS severity, '{dim}' AS dimension, {text} AS finding FROM p WHERE {where}" for rule, sev, dim, where, text in _PART_FOUND)
