@@ -108,6 +108,12 @@ def standards_version(override: Column, fetched: Column) -> Column:
     return F.coalesce(filled(override), filled(fetched), F.lit("unknown"))
 
 
+def published_version(package: Column) -> Column:
+    """The version field of a package.json's text; where it is absent, empty or no JSON, the query that reads it fails."""
+    version = filled(F.try_variant_get(F.try_parse_json(package), "$.version", "string"))
+    return F.coalesce(version, F.raise_error(F.lit("no standards version: version field absent from package.json")))
+
+
 def unmarked_rules(rules: DataFrame) -> DataFrame:
     """rule_id, problem: a row for each rule whose notes do not say how it is checked, however often it is listed."""
     first = F.split(F.regexp_replace(F.coalesce("check_notes", F.lit("")), r"^\s+", ""), "\n")[0]

@@ -520,6 +520,22 @@ def q_run_metrics_rules(t):
     return ev.collection_findings(runs, lit(1995))
 
 
+_IMPORT = "SELECT o_orderkey AS run, count(l_orderkey) AS attempted, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS imported, count(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 END) AS failed, count(CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN 1 END) + CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS duplicates, count(CASE WHEN l_linenumber = 6 THEN 1 END) AS unrecognized, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'F' END AS ingested, {} AS labels FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority"
+
+
+@query(
+    "WITH n AS (SELECT *, attempted - imported - failed - duplicates AS gap FROM (" + _IMPORT.format("string_agg(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 's' || l_linenumber END, ', ' ORDER BY 's' || l_linenumber)") + ")), f AS ("
+    "SELECT run, 'WARN' AS severity, gap || ' of ' || attempted || ' attempted files are neither imported, failed nor duplicates' AS finding FROM n WHERE gap > 0 UNION ALL SELECT run, 'WARN', (-gap) || ' more files imported, failed or duplicates than the ' || attempted || ' attempted' FROM n WHERE gap < 0 "
+    "UNION ALL SELECT run, 'WARN', failed || ' of ' || attempted || ' attempted files failed: ' || labels FROM n WHERE failed > 0 UNION ALL SELECT run, 'ERROR', 'No file imported of ' || attempted || ' attempted' FROM n WHERE imported = 0 AND attempted > 0 UNION ALL SELECT run, 'INFO', duplicates || ' possible duplicates not imported' FROM n WHERE duplicates > 0 "
+    "UNION ALL SELECT run, 'INFO', unrecognized || ' files skipped for their names' FROM n WHERE unrecognized > 0 UNION ALL SELECT run, 'ERROR', 'API ingest failed' FROM n WHERE NOT ingested) SELECT * FROM f UNION ALL SELECT run, 'INFO', imported || ' files imported' FROM n WHERE run NOT IN (SELECT run FROM f)"
+)
+def q_run_import_rules(t):
+    """An order is a run and its line items the files."""
+    failed = "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN concat('s', l_linenumber) END"
+    sql = _IMPORT.format(f"sort_array(collect_list({failed}))").replace("FROM orders LEFT JOIN lineitem", "FROM {orders} LEFT JOIN {lineitem}")
+    return ev.import_findings(t.spark.sql(sql, orders=t.orders, lineitem=t.lineitem))
+
+
 # --- model responses --------------------------------------------------------------------------------------------
 
 #: Answers made from conversations by their number: a list, prose around a fence, other keys, no list, no JSON, odd values.

@@ -61,8 +61,33 @@ def collection_findings(runs: DataFrame, year: Column) -> DataFrame:
         (~F.exists("names", lambda n: n.contains(year.cast("string"))), "WARN", F.lit("Current year folder missing")),
         ((F.col("sets") == 0) & some, "WARN", F.lit("No sets found across any folder")),
     )
-    fine = F.when(~reduce(lambda a, b: a | b, (t for t, _, _ in rules)), F.struct(F.lit("INFO").alias("severity"), F.format_string("%d folders, %d tabs, %d sets", "folders", "tabs", "sets").alias("finding")))
-    hits = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(s).alias("severity"), x.alias("finding"))) for t, s, x in rules), fine))
+    return _run_findings(runs, rules, F.format_string("%d folders, %d tabs, %d sets", "folders", "tabs", "sets"))
+
+
+def import_findings(runs: DataFrame) -> DataFrame:
+    """run, severity, finding of imports of files. runs: run, attempted, imported, failed, duplicates, unrecognized (numbers, null: 0), labels (array of the failed sets' names), ingested (boolean; null: none was needed).
+
+    Files that were attempted and are neither imported, failed nor duplicates are a gap; so are more results than attempts.
+    """
+    n = lambda name: F.coalesce(F.col(name), F.lit(0))
+    gap = n("attempted") - n("imported") - n("failed") - n("duplicates")
+    labels = F.coalesce(F.nullif(F.array_join("labels", ", "), F.lit("")), F.lit("(none)"))
+    rules = (
+        (gap > 0, "WARN", F.format_string("%d of %d attempted files are neither imported, failed nor duplicates", gap, n("attempted"))),
+        (gap < 0, "WARN", F.format_string("%d more files imported, failed or duplicates than the %d attempted", -gap, n("attempted"))),
+        (n("failed") > 0, "WARN", F.format_string("%d of %d attempted files failed: %s", n("failed"), n("attempted"), labels)),
+        ((n("imported") == 0) & (n("attempted") > 0), "ERROR", F.format_string("No file imported of %d attempted", n("attempted"))),
+        (n("duplicates") > 0, "INFO", F.format_string("%d possible duplicates not imported", n("duplicates"))),
+        (n("unrecognized") > 0, "INFO", F.format_string("%d files skipped for their names", n("unrecognized"))),
+        (~F.coalesce("ingested", F.lit(True)), "ERROR", F.lit("API ingest failed")),
+    )
+    return _run_findings(runs, rules, F.format_string("%d files imported", n("imported")))
+
+
+def _run_findings(runs: DataFrame, rules: tuple, fine: Column) -> DataFrame:
+    """The findings of the rules (test, severity, text) that hold for a run, or an INFO row where none does."""
+    none = F.when(~reduce(lambda a, b: a | b, (t for t, _, _ in rules)), F.struct(F.lit("INFO").alias("severity"), fine.alias("finding")))
+    hits = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(s).alias("severity"), x.alias("finding"))) for t, s, x in rules), none))
     return runs.select("run", F.explode(hits).alias("x")).select("run", "x.*")
 
 

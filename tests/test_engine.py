@@ -265,3 +265,31 @@ def test_undecodable_file_is_told(spark):
     found = [(r["rule_id"], r["finding"]) for r in evaluate(files, repos)[0].collect()]
     assert [f for r, f in found if r == "CHECKER"] == ["Check of src/a.py raised an unexpected error: not UTF-8"]
     assert ("CD-003", "print() statement found in src/b.py.") in found
+
+
+def test_version_that_is_absent_raises(spark):
+    from pyspark.sql import functions as F
+
+    from rulespan.operators.findings import published_version
+
+    read = lambda text: spark.range(1).select(published_version(F.lit(text)).alias("v")).first()["v"]
+    assert read('{"version": " 6.1.0 ", "name": "x"}') == "6.1.0"
+    for bad in ('{"name": "x"}', '{"version": ""}', '{"version": null}', "no json", None):
+        with pytest.raises(Exception, match="no standards version"):
+            read(bad)
+
+
+def test_import_runs(spark):
+    from rulespan.streaming.events import import_findings
+
+    rows = [("fine", 3, 3, 0, 0, 0, [], None), ("empty", None, None, None, None, None, None, None), ("more", 1, 2, 0, 0, 0, [], True), ("bad", 4, 0, 2, 1, 1, ["a", "b"], False)]
+    runs = spark.createDataFrame(rows, "run string, attempted int, imported int, failed int, duplicates int, unrecognized int, labels array<string>, ingested boolean")
+    got = {}
+    for r in import_findings(runs).collect():
+        got.setdefault(r["run"], []).append((r["severity"], r["finding"]))
+    assert got["fine"] == [("INFO", "3 files imported")] and got["empty"] == [("INFO", "0 files imported")]
+    assert got["more"] == [("WARN", "1 more files imported, failed or duplicates than the 1 attempted")]
+    assert got["bad"] == [
+        ("WARN", "1 of 4 attempted files are neither imported, failed nor duplicates"), ("WARN", "2 of 4 attempted files failed: a, b"), ("ERROR", "No file imported of 4 attempted"),
+        ("INFO", "1 possible duplicates not imported"), ("INFO", "1 files skipped for their names"), ("ERROR", "API ingest failed"),
+    ]
