@@ -8,7 +8,9 @@ first, a class of first words at a time, all members of a class at once in array
 
 A phrase that is frequent over all shards may be rare in each, so a shard can't prune by its own counts. Three rounds
 tell it what is frequent: words, pairs, then all phrases whose pairs are frequent. After each round the popcounts are
-summed over shards and only what is frequent returns, to the shards that have it, by shuffles alone.
+summed over shards and only what is frequent returns, to the shards that have it, by shuffles alone. Pairs and phrases
+are dealt to parts by their hashes, and a shard sends a part what it has in one packed row: ordered hashes as their
+differences, or joined texts, and counts.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import calm, materialise, raw, relax, word_chunks
+from .set_join import mixed
 
 #: Words of the longest phrase, least occurrences, and phrases reported for each language.
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -30,6 +35,8 @@ SHARD, HELD = 1 << 20, 4 << 20
 #: Bits of a bitmap's block, and blocks of a class of phrases that are extended at once.
 BLOCK = np.uint8
 CLASS = 1 << 18
+#: Positions whose pairs or phrases one part sums, about, and parts at least; bits of a pair's hash in its part.
+PART, PARTS, HASH = 1 << 23, 32, 31
 _GAP = b"\xff"
 _TABLE = bytes(10 if chr(c) in ".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -209,65 +216,137 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, int]:
     return unpacked(table.column("positions")[0].as_py()), table.column("starts")[0].as_py()
 
 
-def pair_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """shard, pair, hash, n of all pairs of a shard's frequent words; n is 0 for those of its tail. right: shard, word, hash of its frequent words."""
-    out = [(np.empty((0, 2), np.int64), np.empty(0, np.int64))]
+def hashed(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of phrases, from their words' hashes in order."""
+    h = words[0]
+    for w in words[1:]:
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w)
+    return h
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+    """part * 2^HASH + the pair's hash in its part, from the words' hashes."""
+    h = hashed([first, second])
+    return (part_of(h, parts) << HASH) | (h & np.uint64((1 << HASH) - 1)).astype(np.int64)
+
+
+def ascending(hashes: np.ndarray) -> bytes:
+    return packed(np.diff(hashes, prepend=0))
+
+
+def from_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.int64)
+
+
+def runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of each run of equal values."""
+    ends = np.flatnonzero(np.diff(ordered)) + 1
+    for lo, hi in zip(np.r_[0, ends], np.r_[ends, len(ordered)]) if len(ordered) else ():
+        yield int(ordered[lo]), int(lo), int(hi)
+
+
+_PAIRS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_MET = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("hashes", pa.binary())])
+_PHRASES = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+
+def pair_counts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+    """part, shard, hashes, counts: all pairs of a shard's frequent words, a row a part; the count is 0 for those of its tail. right: shard, word, hash of its frequent words."""
+    rows = []
     word = right.column("word").to_numpy()
     if left.num_rows and len(word):
         order = np.argsort(word)
         word, hashes = word[order], right.column("hash").to_numpy()[order].view(np.uint64)
         ids, starts = _columns(left)
-        out += mine(ids, starts, word, None, 2)
+        out = [*mine(ids, starts, word, None, 2)]
         # pairs that begin behind the shard count there, but phrases of this shard may end in them
-        tail = np.stack([ids[starts:-1], ids[starts + 1 :]], axis=1).astype(np.int64) if len(ids) > starts + 1 else out[0][0]
+        tail = np.stack([ids[starts:-1], ids[starts + 1 :]], axis=1).astype(np.int64) if len(ids) > starts + 1 else np.empty((0, 2), np.int64)
         tail = tail[within(tail[:, 0], word) & within(tail[:, 1], word)]
         out.append((tail, np.zeros(len(tail), np.int64)))
-    found, n = np.concatenate([f for f, _ in out]), np.concatenate([c for _, c in out])
-    if len(found):
-        h = (hashes[np.searchsorted(word, found[:, 0])] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[np.searchsorted(word, found[:, 1])]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    else:
-        h = np.empty(0, np.uint64)
-    shard = left.column("shard")[0].as_py() if left.num_rows else 0
+        found, n = np.concatenate([f for f, _ in out]), np.concatenate([c for _, c in out])
+        key, same = np.unique(pair_keys(*(hashes[np.searchsorted(word, found[:, i])] for i in (0, 1)), parts), return_inverse=True)
+        n = np.bincount(same, weights=n, minlength=len(key)).astype(np.int64)
+        shard = left.column("shard")[0].as_py()
+        rows = [(part, shard, ascending(key[lo:hi] & ((1 << HASH) - 1)), packed(n[lo:hi])) for part, lo, hi in runs(key >> HASH)]
     relax()
-    return pa.table({"shard": np.full(len(n), shard, np.int64), "pair": (found[:, 0] << 32) | found[:, 1], "hash": h.view(np.int64), "n": n})
+    return pa.Table.from_pylist([dict(zip(_PAIRS.names, r)) for r in rows], schema=_PAIRS)
 
 
-def phrase_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """lang, phrase, size, n of all phrases of a shard whose pairs are frequent. right: shard, pair."""
-    langs, phrases, sizes, counts = [], [], [], []
+def frequent_pairs(group: pa.Table, least: int) -> pa.Table:
+    """shard, part, hashes: those of a part's pairs that occur `least` times in all shards together, for each shard that has them. group: rows of pair_counts() of one part."""
+    each = [from_ascending(x) for x in group.column("hashes").to_pylist()]
+    key, same = np.unique(np.concatenate(each), return_inverse=True)
+    often = key[np.bincount(same, weights=np.concatenate([unpacked(x) for x in group.column("counts").to_pylist()])) >= least]
+    rows = [(shard, part, h[within(h, often)]) for shard, part, h in zip(group.column("shard").to_pylist(), group.column("part").to_pylist(), each)]
+    relax()
+    return pa.Table.from_pylist([dict(zip(_MET.names, (shard, part, ascending(h)))) for shard, part, h in rows if len(h)], schema=_MET)
+
+
+def phrase_counts(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+    """part, lang, phrases, counts: all phrases of a shard whose pairs are frequent, a row a part. right: rows of frequent_pairs()."""
+    rows = []
     if left.num_rows and right.num_rows:
-        words, lang = left.column("words")[0].as_py(), left.column("lang")[0].as_py()
-        pairs = np.sort(right.column("pair").to_numpy())
-        for found, n in mine(*_columns(left), np.unique(np.r_[pairs >> 32, pairs & 0xFFFFFFFF]), pairs, LONGEST):
-            phrases += [" ".join([words[i] for i in row]) for row in found.tolist()]
-            sizes += [found.shape[1]] * len(n)
+        names, lang = left.column("words")[0].values, left.column("lang")[0].as_py()
+        ids, starts = _columns(left)
+        often = np.sort(np.concatenate([(part << HASH) | from_ascending(x) for part, x in zip(right.column("part").to_pylist(), right.column("hashes").to_pylist())]))
+        seed = xxhash.xxh64_intdigest(lang, 42)  # Spark's xxhash64(lang, word)
+        own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names.to_pylist()), np.uint64, len(names))
+        first, second = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
+        fit = (first > 0) & (second > 0) & within(pair_keys(own[first], own[second], parts), often)
+        pairs = np.unique((first[fit] << 32) | second[fit])
+        texts, of, counts = [pa.array([], pa.string())], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for found, n in mine(ids, starts, np.unique(np.r_[pairs >> 32, pairs & 0xFFFFFFFF]), pairs, LONGEST):
+            texts.append(pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in found.T), " "))
+            of.append(part_of(hashed([own[c] for c in found.T]), parts))
             counts.append(n)
-        langs = [lang] * len(phrases)
+        part, n = np.concatenate(of), np.concatenate(counts)
+        order = np.argsort(part, kind="stable")
+        phrases = pa.concat_arrays(texts).take(pa.array(order))
+        for p, lo, hi in runs(part[order]):
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), phrases[lo:hi]), "\n")[0].as_py()
+            rows.append((p, lang, zstandard.compress(text.encode(), 3), packed(n[order[lo:hi]])))
+    relax()
+    return pa.Table.from_pylist([dict(zip(_PHRASES.names, r)) for r in rows], schema=_PHRASES)
+
+
+def summed_phrases(group: pa.Table, least: int) -> pa.Table:
+    """lang, phrase, size, a of a part's phrases that occur `least` times. group: rows of phrase_counts() of one language and part."""
+    texts = [pc.split_pattern(pa.array([zstandard.decompress(x).decode()]), "\n").flatten() for x in group.column("phrases").to_pylist()]
+    counts = [pa.array(unpacked(x).astype(np.int64)) for x in group.column("counts").to_pylist()]
+    sums = pa.table({"phrase": pa.chunked_array(texts), "n": pa.chunked_array(counts)}).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+    sums = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+    phrase, a = sums.column("phrase"), sums.column("n_sum")
+    size = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int64())
+    lang = pa.array([group.column("lang")[0].as_py()] * len(phrase), pa.string())
+    del texts, counts
     relax()
-    n = np.concatenate(counts) if counts else np.empty(0, np.int64)
-    return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "size": pa.array(sizes, pa.int64()), "n": n})
+    return pa.table({"lang": lang, "phrase": phrase, "size": size, "a": a})
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a of all phrases of 1 to LONGEST words that occur `least` times or more; lang, n of all languages).
 
     Of three rounds the first two return to each shard what of its words and pairs is frequent: a window sums the
-    popcounts of a word or pair over shards. A window's group has a row a shard, whatever the number of occurrences.
-    Pairs meet by a 64-bit hash; if two fall together a pair passes that is not frequent, which the last round's counts,
-    by the phrases themselves, mend.
+    popcounts of a word over shards, a group those of a part of the pairs. A window's group has a row a shard, whatever
+    the number of occurrences; a part has about PART positions' pairs or phrases, so there are more on larger tables.
+    Pairs meet by a hash in their part; if two fall together a pair passes that is not frequent, which the last round's
+    counts, by the phrases themselves, mend. A count of positions, one number, is sent to the driver.
     """
     parts = materialise(shards(docs, text, lang, size), "phrase-shards")
+    n_parts = max(PARTS, -(-(parts.agg(F.sum("starts")).first()[0] or 0) // PART))
     in_shard = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "of")).select("shard", "lang", F.col("number").cast("long").alias("number"), F.col("of.words").alias("phrase"), F.col("of.counts").alias("n")).filter("number > 0")  # words of the tail alone too, with n = 0
     totals = parts.select("lang", F.expr("aggregate(counts, 0L, (s, x) -> s + x)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     over = in_shard.withColumn("a", F.sum("n").over(Window.partitionBy("lang", "phrase"))).filter(F.col("a") >= least)
     words = materialise(over, "phrase-words")
     known = words.select("shard", F.col("number").alias("word"), F.xxhash64("lang", "phrase").alias("hash"))
-    made = parts.select("shard", "positions", "starts").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(pair_counts, "shard long, pair long, hash long, n long")
-    met = made.withColumn("a", F.sum("n").over(Window.partitionBy("hash"))).filter(F.col("a") >= least)
-    pairs = materialise(met.select("shard", "pair"), "phrase-pairs")
-    found = parts.select("shard", "lang", "words", "positions", "starts").groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(phrase_counts, "lang string, phrase string, size long, n long")
-    longer = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    made = parts.select("shard", "positions", "starts").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda left, right: pair_counts(left, right, n_parts), "part long, shard long, hashes binary, counts binary")
+    pairs = materialise(made.groupBy("part").applyInArrow(lambda group: frequent_pairs(group, least), "shard long, part long, hashes binary"), "phrase-pairs")
+    found = parts.select("shard", "lang", "words", "positions", "starts").groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(lambda left, right: phrase_counts(left, right, n_parts), "part long, lang string, phrases binary, counts binary")
+    longer = found.groupBy("lang", "part").applyInArrow(lambda group: summed_phrases(group, least), "lang string, phrase string, size long, a long")
     single = words.groupBy("lang", "phrase").agg(F.max("a").alias("a")).select("lang", "phrase", F.lit(1).cast("long").alias("size"), "a")
     return materialise(single.union(longer), "phrases"), totals
 

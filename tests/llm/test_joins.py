@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from .conftest import make_docs
@@ -219,6 +221,36 @@ def test_collocations_against_plain_counts(spark, size):
         same(rows_of(collocations(df, least=least, top=top, size=size), *names), want)
 
 
+def test_a_shard_sends_a_row_a_part(spark):
+    """Pairs and phrases travel packed: rows follow shards and parts, not what occurs in them; sums are as by plain counts."""
+    from rulespan.llm import collocations as co
+
+    rnd = random.Random(31)
+    docs = [("en", " ".join(f"w{min(rnd.randrange(12), rnd.randrange(12))}" for _ in range(1500))) for _ in range(4)]
+    df = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    shards = co.shards(df, "text", "lang", 1500).toArrow()
+    assert shards.num_rows >= 4
+    parts, least, pairs, phrases = 3, 8, [], []
+    lone = [shards.slice(i, 1) for i in range(shards.num_rows)]
+    for s in lone:
+        words = s.column("words")[0].as_py()[1:]
+        hashes = [r[0] for r in spark.createDataFrame([("en", w) for w in words], "l string, w string").selectExpr("xxhash64(l, w)").collect()]
+        known = pa.table({"word": range(1, len(words) + 1), "hash": hashes}, schema=pa.schema([("word", pa.int64()), ("hash", pa.int64())]))
+        pairs.append(co.pair_counts(s, known, parts))
+    assert all(0 < t.num_rows <= parts for t in pairs)
+    sent = pa.concat_tables(pairs)
+    met = pa.concat_tables(co.frequent_pairs(sent.filter(pc.equal(sent.column("part"), p)), least) for p in range(parts))
+    for s in lone:
+        phrases.append(co.phrase_counts(s, met.filter(pc.equal(met.column("shard"), s.column("shard")[0])), parts))
+    assert all(t.num_rows <= parts for t in phrases)
+    sent = pa.concat_tables(phrases)
+    found = pa.concat_tables(co.summed_phrases(sent.filter(pc.equal(sent.column("part"), p)), least) for p in range(parts)).to_pylist()
+    want = Counter(" ".join(w[i : i + k]) for _, t in docs for w in [t.split()] for k in range(2, 6) for i in range(len(w) - k + 1))
+    want = {p: n for p, n in want.items() if n >= least}
+    assert {r["phrase"]: r["a"] for r in found} == want and len(want) > 50
+    assert all(r["lang"] == "en" and r["size"] == len(r["phrase"].split()) for r in found)
+
+
 def test_long_texts_are_counted_whole(spark, monkeypatch):
     from rulespan.llm import collocations, spelling
     from rulespan.llm.set_join import shingles
