@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import calm, key_text, materialise, raw, word_chunks
 from .components import connected_components
-from .simhash import deal_outer, outer_links, outer_rows, value_groups
+from .simhash import deal_outer, outer_links, outer_rows, set_groups
 
 #: Bands begin at these multiples of each other; less than 1 / similarity would have a set visit more than one band below.
 RATIO = 1.5
@@ -254,7 +254,7 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Shingles count as equal if their 64-bit hashes are, sets if their 128-bit hashes are. Signatures name a set by 64 of
     those bits; two sets of one such name are compared with all that either meets, though not with each other. What is
-    sent to the driver is a row a size band, under a hundred, and a filter of FILTER_BITS bits.
+    sent to the driver is a row a size band, under a hundred, and a broadcast filter of FILTER_BITS bits.
     """
     sizes = Sizes(percent)
     rows = materialise(set_names(docs, key, text, k), "set-names")
@@ -288,24 +288,25 @@ def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in bitmaps])
 
 
-def _may_hold(wanted: DataFrame, column: str) -> Column:
-    """Whether a column of another table may be among the wanted 64-bit hashes: a bit of FILTER_BITS for each, sent with the plan.
+def _may_hold(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose column of 64-bit hashes may be among the wanted ones: a bit of FILTER_BITS for each, broadcast in words of 64.
 
     Its size is fixed. Where so many are wanted that most bits are set, it only leaves out fewer rows.
     """
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in wanted.select(F.floor(bit / 64).alias("at"), F.expr("shiftleft(1L, cast(pmod(" + f"`{column}`" + ", 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r["at"] * 8 : r["at"] * 8 + 8] = np.frombuffer((r["bits"] & (1 << 64) - 1).to_bytes(8, "little"), dtype=np.uint8)
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits.tobytes())), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.expr(f"shiftleft(1, cast(pmod(`{column}`, 8) as int))").bitwiseAND(byte) != 0
+    bits = wanted.select(_word(column).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    met = rows.withColumn("word", _word(column)).join(F.broadcast(bits), "word")
+    return met.filter(F.expr(f"bits & shiftleft(1L, cast(pmod({column}, 64) as int)) != 0")).select(*rows.columns)
+
+
+def _word(column: str) -> Column:
+    return F.expr(f"pmod({column}, {FILTER_BITS}L) div 64")
 
 
 def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
     """row, set (hashes as bytes), bitmap (its parity()) of the wanted nodes, from a row of docs that has each."""
     wanted = materialise(wanted.select("name", "second", "row", F.col("key").alias("of"), F.col("body").alias("from")), "set-wanted")
     src = key_text(docs, key, text).withColumn("body", F.xxhash64("text"))
-    src = src.filter(_may_hold(wanted.select(F.col("from").alias("body")), "body"))  # before texts are shuffled
+    src = _may_hold(src, "body", wanted.select(F.col("from").alias("body")))  # before texts are shuffled
     src = src.join(wanted, src["key"].eqNullSafe(F.col("of")) & (src["body"] == F.col("from"))).select("row", "name", "second", "text")
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +370,7 @@ def similar_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     them, so its set travels once, and in each group the rows outside its largest component are compared with all.
     """
     most = members.groupBy("row", "n").agg(F.max_by("value", F.struct("n_sets", "value")).alias("value"))
-    roots = value_groups(most.select("value", "row", "n"), lambda _: sets, percent / 100)
+    roots = set_groups(most.select("value", "row", "n"), sets, percent / 100)
     first = materialise(roots.select(F.col("row").alias("a"), F.col("root").alias("b")), "set-links")
     comps = members.join(first.select(F.col("a").alias("row"), F.col("b").alias("comp")), "row", "left").select("value", "row", "n", F.coalesce("comp", "row").alias("comp"))
     rest = outer_rows(comps)

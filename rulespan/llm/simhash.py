@@ -9,7 +9,7 @@ Texts are read in parts, so that memory holds counts or eight bytes a shingle, n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -327,20 +327,36 @@ def outer_rows(members: DataFrame) -> DataFrame:
     return materialise(rows.join(main, "value").select("value", "row", "n", "comp", "main", "copies", "blocks"), "similar-outer")
 
 
-def value_groups(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """row, root: the components of all pairs of rows that share a value and have the similarity.
+def value_groups(members: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
+    """row, root: the components of all pairs of rows that share a value and have the similarity of their k-word shingles.
 
-    members: value, row, n (the row's shingles, distinct); sets_of: gives a written table of row, set (of rows at least).
-    Of values with the same rows one
-    counts. Rows of a value are dealt to blocks of bounded size, and a task compares all pairs of a block by a product of
+    members: value, row, n (the row's shingles, distinct); src: row, text. Only texts of rows that share a value are read.
+    """
+    rows = _value_rows(members)
+    # written first: Spark then knows their size, and shuffles the texts only where they are too many to broadcast
+    wanted = materialise(rows.select("row").distinct(), "similar-wanted")
+    return _row_groups(rows, materialise(shingle_sets(src.join(wanted, "row", "left_semi"), k), "similar-sets"), similarity)
+
+
+def set_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """As value_groups(), of a written table of row, set (the rows that share a value at least)."""
+    return _row_groups(_value_rows(members), sets, similarity)
+
+
+def _value_rows(members: DataFrame) -> DataFrame:
+    """value, row, n, blocks (its value's blocks of bounded size) of members; of values with the same rows one counts."""
+    groups = _distinct_values(members).select("value", _blocks(F.col("m"), F.col("n")).alias("blocks"))
+    return materialise(members.join(groups, "value").select("value", "row", "n", "blocks"), "similar-rows")
+
+
+def _row_groups(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """row, root: the components of all pairs of rows that share a value and have the similarity. rows: of _value_rows(); sets: row, set.
+
+    Rows of a value are dealt to blocks of bounded size, and a task compares all pairs of a block by a product of
     matrices: no pair is a row of a table, and no more links leave a block than join it. Where a value has several blocks, one row of each component
     is compared next, which leaves most rows in one large component; then all rows outside it are compared with every
     row of the value. So no pair of a value is left out but of rows that are in one component already.
     """
-    groups = _distinct_values(members).select("value", _blocks(F.col("m"), F.col("n")).alias("blocks"))
-    rows = materialise(members.join(groups, "value").select("value", "row", "n", "blocks"), "similar-rows")
-    # written first: Spark then knows their size, and shuffles the texts only where they are too many to broadcast
-    sets = sets_of(materialise(rows.select("row").distinct(), "similar-wanted"))
     links = materialise(_block_links(rows.select("value", F.pmod(F.xxhash64("row", F.lit(2)), "blocks").alias("block"), "row"), sets, similarity), "similar-links")
     large = materialise(rows.filter("blocks > 1"), "similar-large")
     roots = connected_components(links)
@@ -377,4 +393,4 @@ def similar_groups(docs: DataFrame, row: str, text: str, k: int = 5, similarity:
     groups = fingerprint_groups(banded.select(F.col("row").alias("key"), "fp"), radius).select(F.col("key").alias("row"), F.xxhash64("component_id").alias("value"))
     balls = groups.join(banded.select("row", "n"), "row").select("value", "row", "n")
     members = banded.select(F.explode("values").alias("value"), "row", "n").union(balls)
-    return value_groups(members, lambda wanted: materialise(shingle_sets(src.join(wanted, "row", "left_semi"), k), "similar-sets"), similarity)
+    return value_groups(members, src, k, similarity)

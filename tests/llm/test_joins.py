@@ -272,3 +272,22 @@ def _cut(text):
     from rulespan.llm.common import word_chunks
 
     return word_chunks(text, 300)
+
+
+def test_stars_take_no_step_and_plans_stay_small(spark, monkeypatch):
+    """Links that are stars need no step; filters of many hashes are no literals, whose bytes each plan's texts would repeat."""
+    from rulespan.llm import components, set_join
+
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or df.localCheckpoint())
+    found = lambda links: {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found([(1, 5), (5, 1), (7, 1), (9, 8), (3, 3), (None, 4)]) == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8} and len(written) == 1
+    assert found([(i, i + 1) for i in range(20)] + [(40, 30), (40, 31)]) == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 40: 30} and len(written) > 2
+    assert found([]) == {}
+
+    hashes = [0, -1, 63, 64, -(1 << 63), (1 << 63) - 1, 12345678901]
+    wanted = spark.createDataFrame([(h,) for h in hashes], "body long")
+    rows = spark.createDataFrame([(h, str(h)) for h in hashes + [1, 62, 65, -2, 99999]], "body long, text string")
+    met = set_join._may_hold(rows, "body", wanted)
+    assert sorted(r["body"] for r in met.collect()) == sorted(hashes) and met.columns == rows.columns
+    assert len(met._jdf.queryExecution().toString()) < 50_000
